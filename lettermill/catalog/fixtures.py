@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Bring rows to all cores if they come from fewer file splits than there are cores, as from one small
+    file; a large table has more splits than that and is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -60,7 +67,7 @@ def mail_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mail_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mail_of(documents, table(spark, sf_dir, "labels"))
+    return mail_of(spread(documents, "doc_id"), table(spark, sf_dir, "labels"))
 
 
 def parsed(mail: DataFrame) -> DataFrame:

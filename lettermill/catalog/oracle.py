@@ -187,8 +187,8 @@ SELECT seq, array_to_string(flags, ' ') AS flags, array_to_string(keywords, ' ')
     q["split_recipients"] = f"""WITH {NORM} SELECT seq, array_to_string(recipients, ';') AS recipients FROM norm"""
     q["build_recipients"] = f"""WITH {NORM}
 SELECT seq, array_to_string(list_concat(recipients, [sender]), ';') AS recipients FROM norm"""
-    q["parse_int"] = f"""WITH w AS (SELECT doc_id, [x for x in string_split({ws("text")}, ' ') if regexp_full_match(x, '[0-9]{{1,18}}')] AS n FROM documents)
-SELECT doc_id, len(n) AS n_integers, coalesce(list_sum([cast(x AS bigint) % 1000003 for x in n]), 0)::bigint AS digest FROM w"""
+    q["parse_int"] = f"""WITH w AS (SELECT doc_id, [x for x in string_split({ws("text")}, ' ') if regexp_full_match(x, '[+-]?[0-9]+') and try_cast(x AS bigint) IS NOT NULL] AS n FROM documents)
+SELECT doc_id, len(n) AS n_integers, coalesce(list_sum([try_cast(x AS bigint) % 1000003 for x in n]), 0)::bigint AS digest FROM w"""
     q["parse_dates"] = f"""WITH {NORM}
 SELECT seq, {stamp("sent_at")} AS sent_at, sent_at_iso FROM norm"""
     q["parse_rfc822"] = f"""WITH {MAIL}

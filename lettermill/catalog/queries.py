@@ -16,7 +16,7 @@ from lettermill.catalog.oracle import CHUNK_LIMIT, LOOKBACK_DAYS, WINDOW
 from lettermill.functions import text as T
 from lettermill.functions import vectors as V
 from lettermill.functions.flags import build_recipients, keywords_of, parse_flags, split_recipients
-from lettermill.functions.dates import iso_to_timestamp, parse_common_date, sent_at_iso
+from lettermill.functions.dates import common_date_fields, iso_to_timestamp, parse_common_date, sent_at_iso
 from lettermill.operators import chunks as C
 from lettermill.operators import digest as D
 from lettermill.operators import embed as E
@@ -84,8 +84,9 @@ def _terms(value: Column | str) -> Column:
 # Fixture shorthands
 
 
-def _normalized(spark: SparkSession, sf: str) -> DataFrame:
-    return N.normalize_messages(X.messages(spark, sf)).ok
+def _normalized(spark: SparkSession, sf: str, rare_dates: bool = False) -> DataFrame:
+    """The fixture's headers are of the usual shape or no dates, so only one query takes the detour to Python."""
+    return N.normalize_messages(X.messages(spark, sf), rare_dates=rare_dates).ok
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +114,7 @@ def _missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return X.table(spark, sf, "documents").select("doc_id", "text")
+    return X.spread(X.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 # Sources
@@ -195,7 +196,8 @@ def parse_int(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
-    raw = X.mail_messages(spark, sf).select("seq", "date_raw", parse_common_date(F.col("date_raw")).alias("p"))
+    raw = X.mail_messages(spark, sf).select("seq", "date_raw", common_date_fields(F.col("date_raw")).alias("fields"))
+    raw = raw.withColumn("p", parse_common_date(F.col("fields")))
     iso = raw.select("seq", sent_at_iso(F.col("date_raw"), F.col("p"), rare_forms=True).alias("sent_at_iso"))
     return iso.withColumn("sent_at", iso_to_timestamp(F.col("sent_at_iso"))).select("seq", _stamp("sent_at"), "sent_at_iso")
 
@@ -223,7 +225,7 @@ def extractive_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def normalize_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return _normalized(spark, sf).select(
+    return _normalized(spark, sf, rare_dates=True).select(
         "seq",
         "fingerprint",
         "source_message_id",
@@ -265,7 +267,7 @@ def merge_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def merge_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """All mail of one sender under one Message-ID: twenty hot groups that cannot be merged."""
     mail = X.messages(spark, sf).withColumn("message_id", F.col("sender"))
-    found = M.merge_duplicates(N.normalize_messages(mail).ok, on_conflict="report").conflicts
+    found = M.merge_duplicates(N.normalize_messages(mail, rare_dates=False).ok, on_conflict="report").conflicts
     return found.select("fingerprint", "copies", "conflict")
 
 
@@ -274,7 +276,7 @@ def merge_uid_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with equal text as copies of one message: a folder then has several UIDs for it."""
     text_id = T.sha256_hex(T.collapse_whitespace(F.col("body")))
     mail = X.messages(spark, sf).withColumns({"message_id": text_id, "subject": F.lit("same")})
-    return M.merged_rows(N.normalize_messages(mail).ok).select("fingerprint", "copies", "conflict")
+    return M.merged_rows(N.normalize_messages(mail, rare_dates=False).ok).select("fingerprint", "copies", "conflict")
 
 
 @_query
@@ -439,7 +441,7 @@ def embed_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two overlapping states of a documents table; the second has other text for every fifth document."""
-    d = X.table(spark, sf, "documents")
+    d = X.spread(X.table(spark, sf, "documents"), "doc_id")
 
     def state(rows: DataFrame, text: Column, title: Column) -> DataFrame:
         clean = T.collapse_whitespace(text)

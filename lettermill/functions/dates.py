@@ -29,25 +29,29 @@ _COMMON_DATE = (
 )
 
 
-def _common_date_fields(raw: Column) -> Column:
-    """``[day, month name, year, hour, minute, second, zone]`` or null; one regex match per row."""
-    fields = F.regexp_replace(raw, _COMMON_DATE, "$1|$2|$3|$4|$5|0$6|$7")
-    return F.when(raw.rlike(_COMMON_DATE), F.split(fields, r"\|"))
+def common_date_fields(raw: Column) -> Column:
+    """``[day, month name, year, hour, minute, second, zone]`` of the usual header shapes, null for others.
+
+    Store it as a column before :func:`parse_common_date` takes it apart, so that a row is matched once.
+    """
+    fields = F.split(F.regexp_replace(raw, _COMMON_DATE, "$1|$2|$3|$4|$5|0$6|$7"), r"\|")
+    return F.when(raw.rlike(_COMMON_DATE), fields)
 
 
-def parse_common_date(raw: Column) -> Column:
-    """``struct<local timestamp, offset string>`` for the usual header shapes, null otherwise."""
-    part = _common_date_fields(raw)
+def parse_common_date(part: Column) -> Column:
+    """``struct<local timestamp, offset string>`` from the fields; null without fields or for an impossible date."""
     number = lambda i: part[i].cast("int")
     month = ((F.position(part[1], F.lit(_MONTHS)) + 2) / 3).cast("int")
-    local = F.when(number(5) < 60, F.try_make_timestamp(number(2), month, number(0), number(3), number(4), number(5), F.lit("UTC")))
+    local = F.try_make_timestamp(number(2), month, number(0), number(3), number(4), number(5), F.lit("UTC"))
     zones = F.create_map(*[F.lit(v) for pair in ZONE_OFFSETS.items() for v in pair])
     offset = F.coalesce(F.try_element_at(zones, part[6]), part[6])
-    return F.when(local.isNotNull(), F.struct(local.alias("local"), offset.alias("offset")))
+    return F.when((number(5) < 60) & local.isNotNull(), F.struct(local.alias("local"), offset.alias("offset")))
 
 
 @pandas_udf(T.StringType())
-def _library_iso(raws: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def library_iso(raws: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Any header the standard library can parse."""
+
     def one(raw: str | None) -> str | None:
         if not raw:
             return None
@@ -71,7 +75,7 @@ def sent_at_iso(raw: Column, parsed: Column, rare_forms: bool) -> Column:
     common = F.concat(F.date_format(parsed["local"], "yyyy-MM-dd'T'HH:mm:ss"), suffix)
     if not rare_forms:
         return common
-    return F.coalesce(common, _library_iso(F.when(parsed.isNull() & (raw != ""), raw)))
+    return F.coalesce(common, library_iso(F.when(parsed.isNull() & (raw != ""), raw)))
 
 
 def iso_to_timestamp(iso: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lettermill import schemas
-from lettermill.functions.dates import iso_to_timestamp, parse_common_date, sent_at_iso
+from lettermill.functions.dates import common_date_fields, iso_to_timestamp, library_iso, parse_common_date, sent_at_iso
 from lettermill.functions.flags import build_recipients
 from lettermill.functions.text import blank_to_null, collapse_whitespace, is_blank, sha256_hex
 
@@ -51,7 +51,7 @@ def canonical_rows(messages: DataFrame, rare_dates: bool = True) -> DataFrame:
         text("sender").alias("sender"),
         build_recipients(F.col("to"), F.col("cc"), F.col("bcc"), F.col("reply_to")).alias("recipients"),
         F.coalesce("date_raw", F.lit("")).alias("raw_date"),
-        parse_common_date(F.col("date_raw")).alias("parsed_date"),
+        common_date_fields(F.coalesce("date_raw", F.lit(""))).alias("date_fields"),
         text("folder").alias("folder"),
         text("body").alias("body"),
         F.coalesce("headers", _empty_map(schemas.HEADER_MAP)).alias("headers"),
@@ -59,7 +59,8 @@ def canonical_rows(messages: DataFrame, rare_dates: bool = True) -> DataFrame:
         "imap_flags",
         "imap_keywords",
     )
-    joined = cleaned.select(
+    dated = cleaned.withColumn("parsed_date", parse_common_date(F.col("date_fields")))
+    joined = dated.select(
         "*",
         blank_to_null(F.col("message_id")).alias("source_message_id"),
         F.concat_ws("\n\n", blank_to_null(F.col("subject")), blank_to_null(F.col("body"))).alias("searchable_text"),
@@ -108,6 +109,18 @@ def normalize_messages(messages: DataFrame, strict: bool = False, rare_dates: bo
     return Normalized(canonical_rows(messages.where(~blank), rare_dates), rejected)
 
 
+def repair_rare_dates(rows: DataFrame) -> DataFrame:
+    """Parse the date headers that ``rare_dates=False`` left open, with the standard library's parser."""
+    open_header = F.when(F.col("sent_at_iso").isNull() & (F.col("raw_date") != ""), F.col("raw_date"))
+    iso = F.coalesce("sent_at_iso", library_iso(open_header))
+    return rows.withColumn("sent_at_iso", iso).withColumn("sent_at", iso_to_timestamp(F.col("sent_at_iso")))
+
+
+def has_rare_dates(rows: DataFrame) -> bool:
+    """Whether any header is left that could be a date; one without a digit cannot. Stops at the first one."""
+    return not rows.where(F.col("sent_at_iso").isNull() & F.col("raw_date").rlike("[0-9]")).select("seq").isEmpty()
+
+
 def to_document(merged: DataFrame) -> DataFrame:
     """Merged mail rows to document rows without timestamps."""
     metadata = F.struct(

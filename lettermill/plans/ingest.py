@@ -13,7 +13,7 @@ from lettermill.functions.vectors import round_vector
 from lettermill.operators import embed as E
 from lettermill.operators import sync as S
 from lettermill.operators.merge import merge_duplicates
-from lettermill.operators.normalize import normalize_messages, to_document
+from lettermill.operators.normalize import has_rare_dates, normalize_messages, repair_rare_dates, to_document
 from lettermill.session import materialize
 from lettermill.sinks import upserts as U
 from lettermill.sinks.store import Store
@@ -159,7 +159,9 @@ def persist_messages(
     buckets with a changed key are rewritten. An empty batch writes no document.
     """
     moment = F.lit(observed_at).cast("timestamp")
-    normalized = materialize(normalize_messages(fetched, strict).ok, "normalized")
+    normalized = materialize(normalize_messages(fetched, strict, rare_dates=False).ok, "normalized")
+    if has_rare_dates(normalized):
+        normalized = repair_rare_dates(normalized)
     merged = merge_duplicates(normalized).ok
     incoming = materialize(to_document(merged), "incoming")
 

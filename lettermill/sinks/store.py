@@ -9,9 +9,11 @@ a hash bucket of their key, so that a small batch rewrites the buckets it touche
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from lettermill import schemas
 
 BUCKET = "key_bucket"
-_LIST_SCHEMA = "table string, bucket int, path string, version long"
+_LIST_SCHEMA = "table string, bucket int, path string"
 
 
 @dataclass(frozen=True)
@@ -49,37 +51,44 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 8):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._known: tuple[int, dict[str, dict[int, str]]] = (0, {})
 
-    def _lists(self) -> DataFrame | None:
-        lists = f"{self.root}/current"
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(lists)  # noqa: SLF001
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
-        if not files.exists(path):
-            return None
-        return self.spark.read.schema(_LIST_SCHEMA).option("recursiveFileLookup", "true").json(lists)
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)  # noqa: SLF001
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path  # noqa: SLF001
 
-    def _current(self) -> tuple[int, dict[str, dict[int, str]]]:
-        """Version and folder per table and bucket: at most tables x buckets short rows."""
-        lists = self._lists()
-        if lists is None:
-            return 0, {}
-        newest = lists.agg(F.max("version")).first()[0]
-        folders: dict[str, dict[int, str]] = {}
-        for row in lists.where(F.col("version") == newest).collect():
-            folders.setdefault(row.table, {})[row.bucket] = row.path
-        return newest, folders
+    def _children(self, name: str) -> list[str]:
+        """Names inside a folder of the shared file system; none if it does not exist."""
+        files, path = self._folder(name)
+        return [entry.getPath().getName() for entry in files.listStatus(path)] if files.exists(path) else []
 
     def version(self) -> int:
-        return self._current()[0]
+        """The newest published version, 0 before the first."""
+        published = [int(name[1:]) for name in self._children(f"{self.root}/current") if name.startswith("v")]
+        for version in sorted(published, reverse=True):
+            if "_SUCCESS" in self._children(f"{self.root}/current/v{version}"):
+                return version
+        return 0
+
+    def _current(self) -> tuple[int, dict[str, dict[int, str]]]:
+        """Version and folder per table and bucket: at most tables x buckets short rows, read once per version."""
+        version = self.version()
+        if version != self._known[0]:
+            rows = self.spark.read.schema(_LIST_SCHEMA).json(f"{self.root}/current/v{version}").collect()
+            folders: dict[str, dict[int, str]] = {}
+            for row in rows:
+                if row.table:
+                    folders.setdefault(row.table, {})[row.bucket] = row.path
+            self._known = (version, folders)
+        return self._known[0], {table: dict(by_bucket) for table, by_bucket in self._known[1].items()}
 
     def bootstrap(self) -> None:
         """Create the first, empty version if there is none."""
-        if self._lists() is None:
+        if self.version() == 0:
             self._publish(1, {})
 
     def _publish(self, version: int, folders: dict[str, dict[int, str]]) -> None:
-        rows = [(t, b, p, version) for t, by_bucket in folders.items() for b, p in by_bucket.items()]
-        rows = rows or [("", -1, "", version)]
+        rows = [(t, b, p) for t, by_bucket in folders.items() for b, p in by_bucket.items()] or [("", -1, "")]
         # One file per version and an error if the version exists: two writers cannot both win.
         self.spark.createDataFrame(rows, _LIST_SCHEMA).coalesce(1).write.json(f"{self.root}/current/v{version}")
 
@@ -111,27 +120,28 @@ class Store:
         ``changes`` maps a table to its new rows and the buckets these rows fully replace (None for all).
         """
         version, folders = self._current()
-        for table, (rows, buckets) in changes.items():
+
+        def write(table: str) -> dict[int, str]:
+            rows, buckets = changes[table]
             spec = TABLES[table]
             folder = f"{self.root}/{table}/{version + 1}-{uuid.uuid4().hex}"
             rows = rows.select(*spec.schema.names)
             if spec.key is None:
                 rows.write.parquet(folder)
-                folders[table] = {0: folder}
-                continue
+                return {0: folder}
             replaced = list(range(self.buckets)) if buckets is None else buckets
             kept = {b: p for b, p in folders.get(table, {}).items() if b not in replaced}
             if replaced:
                 # REBALANCE brings a bucket together and splits it again where it is too large for a task.
                 laid_out = rows.withColumn(BUCKET, self.bucket_of(F.col(spec.key))).hint("rebalance", F.col(BUCKET))
                 laid_out.write.partitionBy(BUCKET, *spec.partition_by).parquet(folder)
-                kept |= {b: f"{folder}/{BUCKET}={b}" for b in self._written_buckets(folder)}
-            folders[table] = kept
+                names = [name for name in self._children(folder) if name.startswith(f"{BUCKET}=")]
+                kept |= {int(name.split("=")[1]): f"{folder}/{name}" for name in names}
+            return kept
+
+        # The tables are written side by side; each write is a Spark job of its own.
+        with ThreadPoolExecutor(max_workers=len(changes)) as pool:
+            written = list(pool.map(inheritable_thread_target(self.spark)(write), changes))
+        folders.update(zip(changes, written, strict=True))
         self._publish(version + 1, folders)
         return version + 1
-
-    def _written_buckets(self, folder: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
-        listed = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)  # noqa: SLF001
-        names = [entry.getPath().getName() for entry in listed]
-        return [int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}=")]

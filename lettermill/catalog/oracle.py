@@ -168,6 +168,44 @@ FROM digests GROUP BY 1, 2),
 norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM cells GROUP BY 1)"""
 
 
+# The split tree of every text: halved at the last space before the middle, else the first after, else the middle.
+TREE = f"""
+tree AS (
+SELECT doc_id, '' AS path, {ws("text")} AS chunk FROM documents
+UNION ALL
+SELECT doc_id, path || s.side, trim(CASE WHEN s.side = 'L' THEN substr(chunk, 1, cut) ELSE substr(chunk, cut + 1) END)
+FROM (SELECT doc_id, path, chunk,
+        CASE WHEN strpos(reverse(substr(chunk, 1, length(chunk) // 2)), ' ') > 0
+             THEN length(chunk) // 2 - strpos(reverse(substr(chunk, 1, length(chunk) // 2)), ' ') + 1
+             WHEN strpos(substr(chunk, length(chunk) // 2 + 1), ' ') > 0
+             THEN length(chunk) // 2 + strpos(substr(chunk, length(chunk) // 2 + 1), ' ')
+             ELSE length(chunk) // 2 END AS cut
+      FROM tree WHERE length(chunk) > {CHUNK_LIMIT}) t CROSS JOIN (SELECT 'L' AS side UNION ALL SELECT 'R') s)"""
+
+
+def _pooled(levels: int = 20) -> str:
+    """Level-wise pooling of the tree's leaf vectors (length, spaces, 1), one common table per level."""
+    spaces = "length(chunk) - length(replace(chunk, ' ', ''))"
+    leaf = lambda v: f"CASE WHEN length(chunk) <= {CHUNK_LIMIT} THEN cast({v} AS double) END"
+    ctes = [
+        f"l{levels} AS MATERIALIZED (SELECT doc_id, path, length(chunk) AS n, {leaf('length(chunk)')} AS v0, "
+        f"{leaf(spaces)} AS v1, {leaf('1')} AS v2 FROM tree)"
+    ]
+    for d in range(levels, 0, -1):
+        ctes.append(
+            f"""m{d} AS MATERIALIZED (SELECT doc_id, left(path, {d - 1}) AS path, sum(v0 * n) / sum(n) AS a, sum(v1 * n) / sum(n) AS b,
+sum(v2 * n) / sum(n) AS c FROM l{d} WHERE length(path) = {d} GROUP BY 1, 2)"""
+        )
+        ctes.append(
+            f"""l{d - 1} AS MATERIALIZED (SELECT t.doc_id, t.path, t.n, coalesce(t.v0, m.a / sqrt(m.a * m.a + m.b * m.b + m.c * m.c)) AS v0,
+coalesce(t.v1, m.b / sqrt(m.a * m.a + m.b * m.b + m.c * m.c)) AS v1, coalesce(t.v2, m.c / sqrt(m.a * m.a + m.b * m.b + m.c * m.c)) AS v2
+FROM l{d} t LEFT JOIN m{d} m ON m.doc_id = t.doc_id AND m.path = t.path WHERE length(t.path) < {d})"""
+        )
+    tops = f"""tops AS (SELECT doc_id, count(*) AS chunk_count, string_agg(cast(n AS varchar), ',' ORDER BY path) AS chunk_lengths
+FROM l{levels} WHERE length(path) = 1 GROUP BY 1)"""
+    return f"WITH RECURSIVE {TREE}, " + ", ".join(ctes) + f", {tops}"
+
+
 def oracle_sql() -> dict[str, str]:
     counts = lambda n: _COUNTS.format(n=n)
     stamp = _STAMP.format
@@ -233,6 +271,7 @@ GROUP BY GROUPING SETS ((term_type, folder_name, term), (term_type, term))"""
 SELECT term_type, {label}, term, {counts("term_occurrences")},
        {stamp("min(sent_at)")} AS first_seen_sent_at, {stamp("max(sent_at)")} AS last_seen_sent_at
 FROM terms GROUP BY GROUPING SETS ((term_type, folder_name, term), (term_type, term))"""
+    q["report_from_json"] = q["report_terms_summary_filtered"]
     q["report_system_flags"] = f"""WITH {TERMS}
 SELECT {label}, term AS flag_name, {counts("flag_occurrences")}
 FROM terms WHERE term_type = 'flag' AND left(term, 1) = chr(92)
@@ -253,18 +292,14 @@ GROUP BY d.doc_id"""
 SELECT vec_id, len(embedding) AS dimensions, round(norm, 6) AS norm,
        round(list_sum([cast(v AS double) / norm for v in embedding]), 6) AS unit_sum FROM n"""
     q["vector_literal"] = """SELECT vec_id, '[' || array_to_string([printf('%.8f', cast(v AS double)) for v in embedding], ',') || ']' AS literal FROM embeddings"""
-    q["chunk_text"] = f"""WITH RECURSIVE tree AS (
-SELECT doc_id, '' AS path, {ws("text")} AS chunk FROM documents
-UNION ALL
-SELECT doc_id, path || s.side, trim(CASE WHEN s.side = 'L' THEN substr(chunk, 1, cut) ELSE substr(chunk, cut + 1) END)
-FROM (SELECT doc_id, path, chunk,
-        CASE WHEN strpos(reverse(substr(chunk, 1, length(chunk) // 2)), ' ') > 0
-             THEN length(chunk) // 2 - strpos(reverse(substr(chunk, 1, length(chunk) // 2)), ' ') + 1
-             WHEN strpos(substr(chunk, length(chunk) // 2 + 1), ' ') > 0
-             THEN length(chunk) // 2 + strpos(substr(chunk, length(chunk) // 2 + 1), ' ')
-             ELSE length(chunk) // 2 END AS cut
-      FROM tree WHERE length(chunk) > {CHUNK_LIMIT}) t CROSS JOIN (SELECT 'L' AS side UNION ALL SELECT 'R') s)
+    q["chunk_text"] = f"""WITH RECURSIVE {TREE}
 SELECT doc_id, path, length(chunk) AS chunk_length, sha256(chunk) AS chunk_hash FROM tree WHERE length(chunk) <= {CHUNK_LIMIT}"""
+    q["pool_chunks"] = f"""{_pooled()}
+SELECT r.doc_id, coalesce(chunk_count, 0) AS chunk_count, coalesce(chunk_lengths, '') AS chunk_lengths,
+       round(v0, 6) AS v0, round(v1, 6) AS v1 FROM l0 r LEFT JOIN tops ON tops.doc_id = r.doc_id"""
+    q["embed_long_texts"] = f"""{_pooled()}
+SELECT r.doc_id, 3 AS dimensions, chunk_count, round(v0, 6) AS v0, round(v1, 6) AS v1, cast(NULL AS varchar) AS error
+FROM l0 r LEFT JOIN tops ON tops.doc_id = r.doc_id"""
     q["model_embed"] = f"""SELECT doc_id, CASE WHEN n <= 4000 THEN 3 END AS dimensions, 'demo' AS provider, 'lengths' AS model_name,
        CASE WHEN n <= 4000 THEN round(n + 2.0 * e + 3.0 * s, 6) END AS weighted_sum,
        CASE WHEN n > 4000 THEN 'text is too long' END AS error
@@ -366,6 +401,12 @@ UNION ALL SELECT fingerprint, 1, folder_ord, false, folder FROM missing),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY phase DESC, ord DESC) AS rn FROM obs)
 SELECT fingerprint AS document_key, present AS was_present_in_mailbox, folder_names FROM ranked
 WHERE rn = 1 AND fingerprint NOT IN (SELECT fingerprint FROM gone)"""
+    q["ingest_sync_state"] = f"""WITH {SYNC}
+SELECT folder AS imap_folder, cast(uidvalidity AS bigint) AS uidvalidity, uidnext - 1 AS last_synced_uid, 'run-now' AS sync_run_id,
+       message_count AS total_emails_in_folder FROM status
+UNION ALL
+SELECT o.folder, cast(o.uidvalidity AS bigint), o.last_synced_uid, 'run-previous', 0 FROM stored_state o
+WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.folder = o.folder AND s.uidvalidity = o.uidvalidity)"""
     q["dry_run"] = f"""WITH {SYNC}
 SELECT count(DISTINCT fingerprint) AS fetched, cast(0 AS bigint) AS inserted, cast(0 AS bigint) AS embedding_updates, count(DISTINCT fingerprint) AS skipped FROM fetched"""
     q["idempotent_rerun"] = f"""WITH {SYNC}

@@ -31,6 +31,7 @@ from lettermill.session import fresh_dir, materialize, use_utc
 from lettermill.sinks import upserts as U
 from lettermill.sinks.store import Store
 from lettermill.sources import mailbox as B
+from lettermill.sources.documents import documents_from_json, documents_to_json
 from lettermill.sources.rfc822 import parse_rfc822
 from lettermill.streaming.ingest import stream_ingest as run_stream
 
@@ -337,6 +338,13 @@ def report_system_flags(spark: SparkSession, sf: str) -> DataFrame:
     return R.report_system_flags(_documents(spark, sf))
 
 
+@_query
+def report_from_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The bounded summary over documents whose metadata came as JSON text."""
+    documents = documents_from_json(documents_to_json(_documents(spark, sf)))
+    return _seen(R.report_terms_summary_filtered(documents, *WINDOW, folder_name="Archive"))
+
+
 # Embeddings
 
 
@@ -660,6 +668,18 @@ def _ingest(spark: SparkSession, sf: str, store: Store, run_id: str = "run-now",
     )
 
 
+_RUNS: dict[tuple[str, str], tuple[Store, P.IngestReport]] = {}
+
+
+def _one_run(spark: SparkSession, sf: str) -> tuple[Store, P.IngestReport]:
+    """One ingest over the stored mailbox; the queries below look at different results of the same run."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        store = _stored_mailbox(spark, sf)
+        _RUNS[key] = (store, _ingest(spark, sf, store))
+    return _RUNS[key]
+
+
 @_query
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     store = _stored_mailbox(spark, sf)
@@ -674,29 +694,32 @@ def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingest(spark, sf, _stored_mailbox(spark, sf)).totals_frame()
+    return _one_run(spark, sf)[1].totals_frame()
 
 
 @_query
 def ingest_folders(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingest(spark, sf, _stored_mailbox(spark, sf)).folders
+    return _one_run(spark, sf)[1].folders
 
 
 @_query
 def ingest_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    store = _stored_mailbox(spark, sf)
-    _ingest(spark, sf, store)
-    return store.read("vector_embeddings").select("document_key", "provider", "model_name", "dimensions")
+    rows = _one_run(spark, sf)[0].read("vector_embeddings")
+    return rows.select("document_key", "provider", "model_name", "dimensions")
 
 
 @_query
 def ingest_sync_runs(spark: SparkSession, sf: str) -> DataFrame:
-    store = _stored_mailbox(spark, sf)
-    _ingest(spark, sf, store)
-    rows = store.read("document_sync_runs")
+    rows = _one_run(spark, sf)[0].read("document_sync_runs")
     return rows.select("document_key", "was_present_in_mailbox", _list("folder_names").alias("folder_names"))
 
 
+@_query
+def ingest_sync_state(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _one_run(spark, sf)[0].read("mailbox_sync_state")
+    return rows.select("imap_folder", "uidvalidity", "last_synced_uid", "sync_run_id", "total_emails_in_folder")
+
+
 @_query
 def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     return P.run_counters(_ingest(spark, sf, _stored_mailbox(spark, sf), dry_run=True).persisted)

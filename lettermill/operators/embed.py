@@ -35,12 +35,11 @@ def hash_cells(texts: DataFrame, key: str, text: str, dimensions: int = HASH_DIM
     """
     _check_dimensions(dimensions)
     tokens = texts.select(key, F.explode_outer(word_tokens(F.col(text))).alias("token"))
-    digest = F.sha2("token", 256)
-    hashed = tokens.select(key, digest.alias("digest"))
-    # The bucket is the first four digest bytes, big-endian; the sign is the parity of the fifth byte.
-    bucket = (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    odd = F.conv(F.substring("digest", 10, 1), 16, 10).cast("int") % 2
-    signed = hashed.select(key, bucket.alias("bucket"), (1 - 2 * odd).alias("sign"))
+    # Five digest bytes as one number: the first four, big-endian, give the bucket, the parity of the fifth the sign.
+    head = F.conv(F.substring(F.sha2("token", 256), 1, 10), 16, 10).cast("long")
+    hashed = tokens.select(key, head.alias("head"))
+    bucket = (F.shiftright("head", 8) % dimensions).cast("int")
+    signed = hashed.select(key, bucket.alias("bucket"), (1 - 2 * (F.col("head") % 2)).alias("sign"))
     return signed.groupBy(key, "bucket").agg(F.sum("sign").alias("weight"))
 
 

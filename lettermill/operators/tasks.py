@@ -114,11 +114,12 @@ def checklist_hydrate(todos: DataFrame, items: DataFrame, part_size: int = CHECK
     nested = rows.groupBy("todo_uuid", "part").agg(F.sort_array(F.collect_list("item")).alias("sorted"))
     bare = F.transform("sorted", lambda i: F.struct(i["uuid"].alias("uuid"), i["title"].alias("title"), i["status"].alias("status")))
     lists = nested.select(F.col("todo_uuid").alias("uuid"), "part", bare.alias("checklist_items"))
-    joined = todos.drop("has_checklist").join(lists, "uuid", "left")
+    # An inner join, whose list side AQE may split if one to-do has most of the parts; the others are added.
+    plain = todos.drop("has_checklist")
+    filled = plain.join(lists, "uuid")
     none = F.array().cast("array<struct<uuid:string,title:string,status:string>>")
-    return joined.withColumns(
-        {"part": F.coalesce("part", F.lit(0)), "checklist_items": F.coalesce("checklist_items", none)}
-    )
+    empty = plain.join(rows.select(F.col("todo_uuid").alias("uuid")), "uuid", "left_anti")
+    return filled.unionByName(empty.withColumns({"part": F.lit(0), "checklist_items": none}))
 
 
 def checklist_flatten(hydrated: DataFrame) -> DataFrame:

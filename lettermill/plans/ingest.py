@@ -184,16 +184,16 @@ def persist_messages(
     purged = orphans.union(emptied.where(U.is_orphan()).select("document_key")).distinct()
     purged = materialize(purged, "purged")
 
-    # Only documents without a current vector are embedded.
-    embedding_buckets = store.touched(incoming.select("document_key"), purged)
+    # Only documents without a current vector are embedded, and only their vectors are joined with stored ones.
+    embedding_buckets = store.touched(keys, purged)
     old_vectors = store.read("vector_embeddings", embedding_buckets)
     stale = E.stale_documents(incoming, old_vectors, embedder.provider, embedder.model_name, embedder.dimensions)
     vectors = embedder(stale.select("document_key", "searchable_text"))
     vectors = vectors.join(incoming.select("document_key", "content_checksum"), "document_key").withColumn(
         "embedding", round_vector(F.col("vector"))
     )
-    upserted = U.upsert_embeddings(old_vectors, vectors, observed_at)
-    upserted = upserted if dry_run else materialize(upserted, "embeddings")
+    same_vectors = old_vectors.join(keys, "document_key", "left_semi")
+    upserted = materialize(U.upsert_embeddings(same_vectors, vectors, observed_at), "embeddings")
 
     known = store.read("vector_documents", embedding_buckets).select("document_key", F.lit(True).alias("known"))
     written = upserted.where("updated").select("document_key").distinct().withColumn("written", F.lit(True))
@@ -221,16 +221,26 @@ def persist_messages(
     if dry_run:
         return IngestReport(totals, modes, persisted, None)
 
-    document_buckets = store.touched(incoming.select("document_key"), missing.select("document_key"), purged)
-    documents = U.upsert_documents(
-        store.read("vector_documents", document_buckets), incoming, observed_at, merge_metadata
-    ).drop("inserted")
-    documents = U.remove_folder_membership(documents, missing).join(purged, "document_key", "left_anti")
+    # Untouched rows of a rewritten bucket pass one anti join with the keys of the batch, which is broadcast
+    # when small; only rows of these keys take part in the upsert.
+    changed = materialize(keys.union(missing.select("document_key")).union(purged).distinct(), "changed-keys")
+    document_buckets = store.touched(changed)
+    old_documents = store.read("vector_documents", document_buckets)
+    affected = old_documents.join(changed, "document_key", "left_semi")
+    affected = U.upsert_documents(affected, incoming, observed_at, merge_metadata).drop("inserted")
+    affected = U.remove_folder_membership(affected, missing).join(purged, "document_key", "left_anti")
+    documents = old_documents.join(changed, "document_key", "left_anti").unionByName(affected)
+
+    embeddings = old_vectors.join(keys.union(purged), "document_key", "left_anti").unionByName(
+        upserted.drop("updated").join(purged, "document_key", "left_anti")
+    )
 
     observations = S.present_observations(incoming, run_id, moment).unionByName(
         S.missing_observations(missing, run_id, moment)
     )
-    runs = U.record_document_sync(store.read("document_sync_runs", document_buckets), observations, observed_at)
+    old_runs = store.read("document_sync_runs", document_buckets)
+    this_run = U.record_document_sync(old_runs.where(F.col("sync_run_id") == run_id), observations, observed_at)
+    runs = old_runs.where(F.col("sync_run_id") != run_id).unionByName(this_run)
     runs = runs.join(purged, "document_key", "left_anti")
 
     states = cursors.select(
@@ -246,10 +256,7 @@ def persist_messages(
     version = store.commit(
         {
             "vector_documents": (documents, document_buckets),
-            "vector_embeddings": (
-                upserted.drop("updated").join(purged, "document_key", "left_anti"),
-                embedding_buckets,
-            ),
+            "vector_embeddings": (embeddings, embedding_buckets),
             "document_sync_runs": (runs, document_buckets),
             "mailbox_sync_state": (U.upsert_sync_state(store.read("mailbox_sync_state"), states, observed_at), None),
         }

@@ -14,10 +14,10 @@ from lettermill.operators import embed as E
 from lettermill.operators import sync as S
 from lettermill.operators.merge import merge_duplicates
 from lettermill.operators.normalize import has_rare_dates, normalize_messages, repair_rare_dates, to_document
-from lettermill.session import materialize
+from lettermill.session import drop_folder, fresh_dir, materialize
 from lettermill.sinks import upserts as U
 from lettermill.sinks.store import Store
-from lettermill.sources.mailbox import folder_selection
+from lettermill.sources.mailbox import folder_selection, normalize_folders
 
 
 @dataclass(frozen=True)
@@ -123,6 +123,7 @@ def ingest_mailbox(
     ``messages`` follow ``schemas.MESSAGE`` plus ``seq`` and ``received_date``; ``server_uids`` is (folder, uid),
     ``folder_state`` (folder, message_count, uidvalidity, uidnext).
     """
+    folders = normalize_folders(folders)
     store.bootstrap()
     plan = materialize(fetch_plan(store, folder_state, account, folders, incremental), "fetch-plan")
     fetched = S.range_fetch(messages, plan, days, today)
@@ -159,11 +160,12 @@ def persist_messages(
     buckets with a changed key are rewritten. An empty batch writes no document.
     """
     moment = F.lit(observed_at).cast("timestamp")
-    normalized = materialize(normalize_messages(fetched, strict, rare_dates=False).ok, "normalized")
+    scratch = fresh_dir(store.spark, "ingest")
+    normalized = materialize(normalize_messages(fetched, strict, rare_dates=False).ok, "normalized", scratch)
     if has_rare_dates(normalized):
         normalized = repair_rare_dates(normalized)
     merged = merge_duplicates(normalized).ok
-    incoming = materialize(to_document(merged), "incoming")
+    incoming = materialize(to_document(merged), "incoming", scratch)
 
     # The state after the upsert, as far as memberships need it: stored rows of other keys, and the batch.
     # Neither side is joined in full; with a small batch its keys are simply broadcast.
@@ -178,11 +180,11 @@ def persist_messages(
         missing = store.spark.createDataFrame([], "document_key string, folder string, folder_ord int, uid long")
     else:
         memberships = S.current_folder_uids(after, folders)
-        missing = materialize(S.reconcile_missing(memberships, server_uids, plan), "missing")
+        missing = materialize(S.reconcile_missing(memberships, server_uids, plan), "missing", scratch)
     orphans = after.where(U.is_orphan()).select("document_key")
     emptied = U.remove_folder_membership(after.join(missing, "document_key", "left_semi"), missing)
     purged = orphans.union(emptied.where(U.is_orphan()).select("document_key")).distinct()
-    purged = materialize(purged, "purged")
+    purged = materialize(purged, "purged", scratch)
 
     # Only documents without a current vector are embedded, and only their vectors are joined with stored ones.
     embedding_buckets = store.touched(keys, purged)
@@ -193,7 +195,7 @@ def persist_messages(
         "embedding", round_vector(F.col("vector"))
     )
     same_vectors = old_vectors.join(keys, "document_key", "left_semi")
-    upserted = materialize(U.upsert_embeddings(same_vectors, vectors, observed_at), "embeddings")
+    upserted = materialize(U.upsert_embeddings(same_vectors, vectors, observed_at), "embeddings", scratch)
 
     known = store.read("vector_documents", embedding_buckets).select("document_key", F.lit(True).alias("known"))
     written = upserted.where("updated").select("document_key").distinct().withColumn("written", F.lit(True))
@@ -219,11 +221,12 @@ def persist_messages(
     }
     modes = plan.select("folder", "sync_mode", "message_count", "uidvalidity", "uidnext")
     if dry_run:
+        drop_folder(store.spark, scratch)
         return IngestReport(totals, modes, persisted, None)
 
     # Untouched rows of a rewritten bucket pass one anti join with the keys of the batch, which is broadcast
     # when small; only rows of these keys take part in the upsert.
-    changed = materialize(keys.union(missing.select("document_key")).union(purged).distinct(), "changed-keys")
+    changed = materialize(keys.union(missing.select("document_key")).union(purged).distinct(), "changed-keys", scratch)
     document_buckets = store.touched(changed)
     old_documents = store.read("vector_documents", document_buckets)
     affected = old_documents.join(changed, "document_key", "left_semi")
@@ -261,4 +264,5 @@ def persist_messages(
             "mailbox_sync_state": (U.upsert_sync_state(store.read("mailbox_sync_state"), states, observed_at), None),
         }
     )
+    drop_folder(store.spark, scratch)
     return IngestReport(totals, modes, persisted, version)

@@ -50,12 +50,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result feeds several branches and is costly to compute twice. Unlike a cache it survives
     the loss of executors, and unlike ``checkpoint`` the reader can still prune columns and push filters.
+    ``folder`` groups what a job drops together in the end, see :func:`drop_folder`.
     """
-    path = fresh_dir(df.sparkSession, name)
+    path = f"{folder}/{name}" if folder else fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a job's own intermediate tables once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001

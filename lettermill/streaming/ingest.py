@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lettermill.operators.sync import latest_sync_state
 from lettermill.plans.ingest import Account, HashEmbedder, persist_messages
-from lettermill.session import materialize
+from lettermill.session import drop_folder, fresh_dir, materialize
 from lettermill.sinks.store import Store
 
 
@@ -25,7 +25,8 @@ def ingest_batch(
     different ones. A stream says nothing about vanished messages, so nothing is reconciled.
     """
     store.bootstrap()
-    batch = materialize(batch, "stream-batch")
+    scratch = fresh_dir(store.spark, "stream-batch")
+    batch = materialize(batch, "messages", scratch)
     seen = batch.where(F.col("folder").isNotNull()).groupBy("folder").agg(
         F.max("imap_uid").alias("batch_uid"), F.count(F.lit(1)).alias("batch_count")
     )
@@ -50,6 +51,7 @@ def ingest_batch(
         store, batch, plan=plan, cursors=cursors, server_uids=None, account=account, run_id=run_id,
         observed_at=observed_at, embedder=embedder, merge_metadata=True,
     )
+    drop_folder(store.spark, scratch)
 
 
 def stream_ingest(

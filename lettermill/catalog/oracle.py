@@ -301,7 +301,7 @@ SELECT r.doc_id, coalesce(chunk_count, 0) AS chunk_count, coalesce(chunk_lengths
 SELECT r.doc_id, 3 AS dimensions, chunk_count, round(v0, 6) AS v0, round(v1, 6) AS v1, cast(NULL AS varchar) AS error
 FROM l0 r LEFT JOIN tops ON tops.doc_id = r.doc_id"""
     q["model_embed"] = f"""SELECT doc_id, CASE WHEN n <= 4000 THEN 3 END AS dimensions, 'demo' AS provider, 'lengths' AS model_name,
-       CASE WHEN n <= 4000 THEN round(n + 2.0 * e + 3.0 * s, 6) END AS weighted_sum,
+       CASE WHEN n <= 4000 THEN round(cast(n + 2 * e + 3 * s AS double), 6) END AS weighted_sum,
        CASE WHEN n > 4000 THEN 'text is too long' END AS error
 FROM (SELECT doc_id, length(t) AS n, length(t) - length(replace(t, 'e', '')) AS e, length(t) - length(replace(t, ' ', '')) AS s
       FROM (SELECT doc_id, {ws("text")} AS t FROM documents))"""

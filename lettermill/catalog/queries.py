@@ -109,8 +109,13 @@ def _plan(spark: SparkSession, sf: str) -> DataFrame:
     return S.cursor_join(status, S.latest_sync_state(X.stored_sync_state(spark, sf)))
 
 
-def _missing(spark: SparkSession, sf: str) -> DataFrame:
-    memberships = S.current_folder_uids(_documents(spark, sf))
+def _stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged mail as a table, for queries that read it more than once."""
+    return materialize(_documents(spark, sf), "documents")
+
+
+def _missing(spark: SparkSession, sf: str, documents: DataFrame) -> DataFrame:
+    memberships = S.current_folder_uids(documents)
     return S.reconcile_missing(memberships, X.server_uids(spark, sf), _plan(spark, sf))
 
 
@@ -192,7 +197,7 @@ def build_recipients_query(spark: SparkSession, sf: str) -> DataFrame:
 def parse_int(spark: SparkSession, sf: str) -> DataFrame:
     numbers = T.parse_int_list(F.col("text"))
     digest = F.aggregate("n", F.lit(0).cast("bigint"), lambda acc, n: acc + n % 1000003)
-    return _texts(spark, sf).select("doc_id", numbers.alias("n")).select("doc_id", F.size("n").alias("n_integers"), digest.alias("digest"))
+    return _texts(spark, sf).select("doc_id", numbers.alias("n")).select("doc_id", F.size("n").cast("long").alias("n_integers"), digest.alias("digest"))
 
 
 @_query
@@ -206,13 +211,13 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _texts(spark, sf).select("doc_id", T.word_tokens(F.col("text")).alias("t"))
-    return tokens.select("doc_id", F.size("t").alias("n_tokens"), T.sha256_hex(_list("t", " ")).alias("tokens_hash"))
+    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), T.sha256_hex(_list("t", " ")).alias("tokens_hash"))
 
 
 @_query
 def split_words(spark: SparkSession, sf: str) -> DataFrame:
     c = X.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.size(T.split_words(F.col("text"))).alias("n_words"))
+    return c.select("conv_id", "turn", F.size(T.split_words(F.col("text"))).cast("long").alias("n_words"))
 
 
 @_query
@@ -241,7 +246,7 @@ def normalize_messages(spark: SparkSession, sf: str) -> DataFrame:
         _terms("folder_keywords").alias("folder_keywords"),
         T.sha256_hex(F.col("body")).alias("body_hash"),
         "content_checksum",
-        F.length("searchable_text").alias("n_chars"),
+        F.length("searchable_text").cast("long").alias("n_chars"),
     )
 
 
@@ -362,7 +367,7 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
         "dimensions",
         "provider",
         "model_name",
-        F.size(F.filter("vector", lambda v: v != 0)).alias("n_nonzero"),
+        F.size(F.filter("vector", lambda v: v != 0)).cast("long").alias("n_nonzero"),
         F.round(weighted, 6).alias("weighted_sum"),
         F.round(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + F.abs(v)), 6).alias("l1"),
     )
@@ -373,7 +378,7 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     e = X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     unit = e.withColumn("norm", V.l2_norm(F.col("v"))).withColumn("unit", V.scale_to_unit(F.col("v"), F.col("norm")))
     total = F.aggregate("unit", F.lit(0.0), lambda acc, v: acc + v)
-    return unit.select("vec_id", F.size("v").alias("dimensions"), F.round("norm", 6).alias("norm"), F.round(total, 6).alias("unit_sum"))
+    return unit.select("vec_id", F.size("v").cast("long").alias("dimensions"), F.round("norm", 6).alias("norm"), F.round(total, 6).alias("unit_sum"))
 
 
 @_query
@@ -384,7 +389,7 @@ def vector_literal(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     chunks = C.chunk_text(_texts(spark, sf), "doc_id", "text", CHUNK_LIMIT)
-    return chunks.select("doc_id", "path", "chunk_length", T.sha256_hex(F.col("chunk")).alias("chunk_hash"))
+    return chunks.select("doc_id", "path", F.col("chunk_length").cast("long").alias("chunk_length"), T.sha256_hex(F.col("chunk")).alias("chunk_hash"))
 
 
 @_query
@@ -396,7 +401,7 @@ def pool_chunks(spark: SparkSession, sf: str) -> DataFrame:
     pooled = C.pool_chunks(nodes.drop("chunk"), vectors, "doc_id")
     return pooled.select(
         "doc_id",
-        "chunk_count",
+        F.col("chunk_count").cast("long").alias("chunk_count"),
         _list(F.transform("chunk_lengths", lambda n: n.cast("string")), ",").alias("chunk_lengths"),
         F.round(F.col("vector")[0], 6).alias("v0"),
         F.round(F.col("vector")[1], 6).alias("v1"),
@@ -429,7 +434,7 @@ def embed_long_texts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         "doc_id",
         "dimensions",
-        "chunk_count",
+        F.col("chunk_count").cast("long").alias("chunk_count"),
         F.round(F.col("vector")[0], 6).alias("v0"),
         F.round(F.col("vector")[1], 6).alias("v1"),
         "error",
@@ -532,8 +537,9 @@ def upsert_sync_state(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def record_document_sync(spark: SparkSession, sf: str) -> DataFrame:
     seen = F.lit(NOW).cast("timestamp")
-    present = S.present_observations(_documents(spark, sf), "run-now", seen)
-    observed = present.unionByName(S.missing_observations(_missing(spark, sf), "run-now", seen))
+    documents = _stored_documents(spark, sf)
+    present = S.present_observations(documents, "run-now", seen)
+    observed = present.unionByName(S.missing_observations(_missing(spark, sf, documents), "run-now", seen))
     rows = U.record_document_sync(spark.createDataFrame([], schemas.SYNC_RUNS), observed, NOW)
     return rows.select("document_key", "sync_run_id", "was_present_in_mailbox", _list("folder_names").alias("folder_names"))
 
@@ -577,12 +583,17 @@ def current_folder_uids(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def reconcile_folders(spark: SparkSession, sf: str) -> DataFrame:
-    return _missing(spark, sf)
+    return _missing(spark, sf, _documents(spark, sf))
+
+
+def _without_missing(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _stored_documents(spark, sf)
+    return U.remove_folder_membership(documents, _missing(spark, sf, documents))
 
 
 @_query
 def remove_folder_membership(spark: SparkSession, sf: str) -> DataFrame:
-    rows = U.remove_folder_membership(_documents(spark, sf), _missing(spark, sf))
+    rows = _without_missing(spark, sf)
     return rows.select(
         "document_key",
         _list("metadata.folders").alias("folders"),
@@ -593,19 +604,19 @@ def remove_folder_membership(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def purge_orphan_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = U.remove_folder_membership(_documents(spark, sf), _missing(spark, sf))
+    rows = _without_missing(spark, sf)
     return U.purge_orphan_documents(rows).select("document_key")
 
 
 @_query
 def deleted_count(spark: SparkSession, sf: str) -> DataFrame:
-    rows = U.remove_folder_membership(_documents(spark, sf), _missing(spark, sf))
+    rows = _without_missing(spark, sf)
     return rows.where(U.is_orphan()).agg(F.count(F.lit(1)).alias("deleted"))
 
 
 @_query
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
-    rows = U.remove_folder_membership(_documents(spark, sf), _missing(spark, sf))
+    rows = _without_missing(spark, sf)
     children = _normalized(spark, sf).select(F.col("fingerprint").alias("document_key"), F.col("folders")[0].alias("folder"))
     return U.cascade_delete(children, U.purge_orphan_documents(rows))
 
@@ -613,7 +624,8 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def schema_backfill(spark: SparkSession, sf: str) -> DataFrame:
     old = _stored_vectors(spark, sf).drop("provider")
-    return U.backfill_embeddings(old).select("document_key", "provider", "model_name", "dimensions")
+    rows = U.backfill_embeddings(old)
+    return rows.select("document_key", "provider", "model_name", F.col("dimensions").cast("long").alias("dimensions"))
 
 
 def _stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -870,4 +882,4 @@ def digest_build(spark: SparkSession, sf: str) -> DataFrame:
     """One digest per conversation, in the order of its turns."""
     audience = F.concat(F.lit("reader-"), F.col("conv_id").cast("string"))
     items = _summaries(spark, sf).select(audience.alias("audience"), F.col("turn").alias("ord"), "item")
-    return D.digest_build(items)
+    return D.digest_build(items).withColumn("items", F.col("items").cast("long"))

@@ -243,12 +243,12 @@ SELECT seq, fingerprint, source_message_id, subj AS subject, sndr AS sender, arr
 SELECT fingerprint, first_seq, copies, source_message_id, subject, sender, recipients, {stamp("sent_at")} AS sent_at,
        content_checksum, folders, folder_uids, folder_flags, folder_keywords FROM merged"""
     q["merge_conflicts"] = f"""WITH {NORM}
-SELECT sha256(sndr) AS fingerprint, count(*) AS copies, 'different content checksums' AS conflict
+SELECT sha256(sndr) AS fingerprint, count(*) AS copies, 'different content' AS conflict
 FROM norm GROUP BY sndr HAVING count(DISTINCT content_checksum) > 1"""
     q["merge_uid_conflicts"] = f"""WITH {NORM},
 keyed AS (SELECT sha256(txt) AS k, folder, count(DISTINCT imap_uid) AS n, count(*) AS c FROM norm GROUP BY 1, 2)
 SELECT sha256(k) AS fingerprint, cast(sum(c) AS bigint) AS copies,
-       CASE WHEN max(n) > 1 THEN 'different IMAP UIDs for one folder' END AS conflict FROM keyed GROUP BY k"""
+       CASE WHEN max(n) > 1 THEN 'two UIDs in one folder' END AS conflict FROM keyed GROUP BY k"""
     q["dedup_ratio"] = f"""WITH {NORM} SELECT count(*) AS messages, count(DISTINCT fingerprint) AS documents FROM norm"""
     q["to_document"] = f"""WITH {MERGED}
 SELECT fingerprint AS document_key, 'email' AS source_type, source_message_id AS source_id, subject AS title, content_checksum,
@@ -423,7 +423,7 @@ SELECT uuid, title, project_uuid, cast(NULL AS varchar) AS project_title, cast(N
 SELECT uuid, title, project_uuid, heading_uuid, notes, status FROM open_todos"""
     q["map_checklist_item"] = f"WITH {TODOS} SELECT uuid, todo_uuid, title, status, cast(pos AS bigint) AS pos FROM items"
     q["require_nonblank"] = f"""WITH {PROJECTS}
-SELECT uuid, 'project is missing required field ''notes''' AS reason FROM open_projects WHERE notes IS NULL OR trim(notes) = ''"""
+SELECT uuid, 'project without notes' AS reason FROM open_projects WHERE notes IS NULL OR trim(notes) = ''"""
     q["checklist_hydrate"] = f"""WITH {TODOS}
 SELECT t.uuid, t.title, count(c.uuid) AS n_items, coalesce(string_agg(c.uuid || '/' || c.title || '/' || c.status, ';' ORDER BY c.pos, c.uuid), '') AS items
 FROM open_todos t LEFT JOIN checklist c ON c.todo_uuid = t.uuid GROUP BY t.uuid, t.title"""

@@ -114,7 +114,7 @@ def _pool_level(level: DataFrame, key: str, depth: int) -> DataFrame:
     )
     total = F.col("left_length") + F.col("right_length")
     mean = F.when(
-        F.size("left") != F.size("right"), F.raise_error(F.lit("inconsistent chunk embedding dimensions"))
+        F.size("left") != F.size("right"), F.raise_error(F.lit("chunk vectors of one text differ in length"))
     ).otherwise(F.zip_with("left", "right", lambda a, b: (a * F.col("left_length") + b * F.col("right_length")) / total))
     pooled = pairs.withColumn("mean", mean).withColumn("norm", l2_norm(F.col("mean")))
     return pooled.select(

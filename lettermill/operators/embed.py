@@ -17,7 +17,7 @@ HASH_PROVIDER = "hashing"
 HASH_MODEL = "hashing-v1"
 HASH_DIMENSIONS = 256
 MIN_HASH_DIMENSIONS = 8
-TEXT_REQUIRED = "Text is required for embedding."
+TEXT_REQUIRED = "there is no text to embed"
 
 EmbedFn = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -80,15 +80,15 @@ def _call(embed_fn: EmbedFn, texts: list[str]) -> list[tuple[list[float] | None,
     try:
         answer = embed_fn(texts)
         if len(answer) != len(texts):
-            raise ValueError("unexpected number of embeddings")
+            raise ValueError("the model did not return one vector per text")
         vectors = []
         for i, raw in enumerate(answer):
             if raw is None or isinstance(raw, (str, bytes)) or len(raw) == 0:
-                raise ValueError("invalid embedding vector")
+                raise ValueError("empty or malformed vector")
             try:
                 vectors.append(([float(v) for v in raw], None))
             except (TypeError, ValueError) as exc:
-                raise ValueError(f"non-numeric embedding value for input index {i}") from exc
+                raise ValueError(f"vector {i} of the batch is not numeric") from exc
         return vectors
     except Exception as exc:  # noqa: BLE001 - a model may fail in any way; the reason becomes a column
         if len(texts) == 1:

@@ -86,8 +86,8 @@ def merged_rows(normalized: DataFrame) -> DataFrame:
     """
     heads, folders = _heads(normalized), _folder_columns(folder_memberships(normalized))
     joined = heads.join(folders, "fingerprint", "left")
-    conflict = F.when(F.col("checksum_conflict"), F.lit("different content checksums")).when(
-        F.col("uid_conflict"), F.lit("different IMAP UIDs for one folder")
+    conflict = F.when(F.col("checksum_conflict"), F.lit("different content")).when(
+        F.col("uid_conflict"), F.lit("two UIDs in one folder")
     )
     return joined.select(
         "fingerprint",
@@ -119,7 +119,7 @@ def merge_duplicates(normalized: DataFrame, on_conflict: str = "raise") -> Merge
     conflicts = rows.where(conflict.isNotNull()).select("fingerprint", "conflict", "copies")
     if on_conflict == "report":
         return Merged(rows.where(conflict.isNull()).drop("conflict"), conflicts)
-    message = F.concat(F.lit("Conflicting normalized emails share fingerprint "), "fingerprint", F.lit(": "), conflict)
+    message = F.concat(F.lit("copies of message "), "fingerprint", F.lit(" cannot be merged: "), conflict)
     checked = F.when(conflict.isNotNull(), F.raise_error(message)).otherwise(F.col("fingerprint"))
     return Merged(rows.withColumn("fingerprint", checked).drop("conflict"), conflicts)
 

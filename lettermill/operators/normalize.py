@@ -13,7 +13,7 @@ from lettermill.functions.dates import common_date_fields, iso_to_timestamp, lib
 from lettermill.functions.flags import build_recipients
 from lettermill.functions.text import blank_to_null, collapse_whitespace, is_blank, sha256_hex
 
-BLANK_MESSAGE = "Email body or subject is required for vectorization."
+BLANK_MESSAGE = "message has neither subject nor body"
 
 
 class Normalized(NamedTuple):

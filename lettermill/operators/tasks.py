@@ -33,7 +33,7 @@ def _typed(entity: DataFrame, columns: dict[str, str], *extra: Column) -> DataFr
     """Rename to the stored names; an absent column is null, one that is no string fails the job."""
     for source in columns.values():
         if source in entity.columns and entity.schema[source].dataType.simpleString() not in ("string", "void"):
-            raise TypeError(f"field '{source}' must be a string when present")
+            raise TypeError(f"column '{source}' holds no strings")
     have = set(entity.columns)
     return entity.select(
         *[(F.col(src) if src in have else F.lit(None)).cast("string").alias(dst) for dst, src in columns.items()], *extra
@@ -43,7 +43,7 @@ def _typed(entity: DataFrame, columns: dict[str, str], *extra: Column) -> DataFr
 def require_nonblank(entity: DataFrame, *fields: str, strict: bool = False, name: str = "item") -> Checked:
     """Rows with all ``fields`` filled, and the others with the first missing field; ``strict`` fails the job."""
     missing = F.coalesce(*[F.when(is_blank(F.col(f)), F.lit(f)) for f in fields])
-    message = F.concat(F.lit(f"{name} is missing required field '"), missing, F.lit("'"))
+    message = F.concat(F.lit(f"{name} without "), missing)
     rejected = entity.where(missing.isNotNull()).withColumn("reason", message)
     if not strict:
         return Checked(entity.where(missing.isNull()), rejected)

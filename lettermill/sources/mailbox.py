@@ -37,7 +37,7 @@ def _arrival(folders: Sequence[str]) -> Column:
 
 def lookback_start(days: int, today: date | str) -> Column:
     if days < 1:
-        raise ValueError("days must be greater than 0")
+        raise ValueError("a look-back needs at least one day")
     return F.date_sub(F.lit(today).cast("date"), days)
 
 
@@ -51,7 +51,7 @@ def scan_lookback(messages: DataFrame, folders: Sequence[str], days: int, today:
 def scan_uid_range(messages: DataFrame, folder: str, start_uid: int, end_uid: int | None = None) -> DataFrame:
     """Messages of one folder with a UID in the closed range, open at the end if there is none."""
     if start_uid < 1:
-        raise ValueError("start_uid must be greater than 0")
+        raise ValueError("UIDs start at 1")
     wanted = (F.col("folder") == folder) & (F.col("imap_uid") >= start_uid)
     if end_uid:
         wanted &= F.col("imap_uid") <= end_uid

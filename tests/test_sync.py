@@ -171,7 +171,7 @@ def test_model_with_fallback(spark, store):
 def test_strict_mode_and_rejects(spark, store):
     rows = mail(spark, ("a", "INBOX", 5), ("b", "INBOX", 6)).withColumn("body", F.when(F.col("seq") == 5, F.col("body"))).withColumn("subject", F.when(F.col("seq") == 5, F.col("subject")))
     server, status = uids(spark, INBOX=[5, 6]), state(spark, ("INBOX", 2, 9, 7))
-    with pytest.raises(Exception, match="body or subject"):
+    with pytest.raises(Exception, match="neither subject nor body"):
         run(store, rows, server, status, "run-1", strict=True)
     totals = run(store, rows, server, status, "run-1").totals
     assert (totals["total_fetched"], totals["total_normalized"]) == (2, 1)

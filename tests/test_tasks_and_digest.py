@@ -73,13 +73,13 @@ def test_required_fields_and_types(spark):
     bad = spark.createDataFrame([("a", " "), (None, "b"), ("c", "d")], "uuid string, title string")
     checked = K.require_nonblank(bad, "uuid", "title", name="area")
     assert [r.uuid for r in checked.ok.collect()] == ["c"]
-    assert sorted(r.reason for r in checked.rejected.collect()) == ["area is missing required field 'title'", "area is missing required field 'uuid'"]
-    with pytest.raises(Exception, match="missing required field"):
+    assert sorted(r.reason for r in checked.rejected.collect()) == ["area without title", "area without uuid"]
+    with pytest.raises(Exception, match="item without"):
         K.require_nonblank(bad, "uuid", "title", strict=True).ok.collect()
     with pytest.raises(TypeError):
         K.map_areas(spark.createDataFrame([(1, "x")], "uuid int, title string"))
     null_title = spark.createDataFrame([("t", None)], "uuid string, title string")
-    with pytest.raises(Exception, match="missing required field"):
+    with pytest.raises(Exception, match="without title"):
         K.require_nonblank(K.map_todos(null_title), "uuid", "title", strict=True).ok.collect()
 
 

@@ -25,7 +25,7 @@ _COMMON_DATE = (
     r"^(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), )?(\d{1,2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) "
     r"([1-9]\d{3}) (\d{1,2}):(\d{2})(?::(\d{2}))? ([+-](?:[01]\d|2[0-3])[0-5]\d|"
     + "|".join(ZONE_OFFSETS)
-    + r")(?: \([A-Za-z ]*\))?$"
+    + r")(?: \([A-Za-z ]*\))?\z"
 )
 
 

@@ -41,6 +41,7 @@ DATES = [
     "11 Apr 2026 09:15:60 +0000", "11 Apr 2026 09:15:00 CET", "not-a-real-email-date", "", "11 April 2026 09:15:00 +0100",
     "11 Apr 2026 09:15:00 +2500", "11 Apr 0026 09:15:00 +0000", "1|Apr|2026|9|15|00|+0000", "Fri Apr 11 09:15:00 2026",
     "11 Apr 2026 09:15:00 +0090", "11-Apr-2026 09:15:00 +0000", "Fri,11 Apr 2026 09:15:00 +0000", "29 Feb 2023 10:00:00 Z",
+    "11 Apr 2026 09:15:00 -0000\n", " 11 Apr 2026 09:15:00 +0000",
 ]
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, url_filter
+from lettermill.llm import chat, packing, token_counts, url_filter
+from lettermill.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,7 +105,32 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+# --- 5 and 9: packing and token counts
+
+BPE = "byte_bpe_50k.json"
+WINDOW, END_ID = 1024, 0
+
+
+def tokenizer_path(name: str = BPE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), window=WINDOW, end_id=END_ID)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count the tokens of all documents, with a cache that is empty before."""
+    cache = fresh_dir(spark, "token-cache")
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), cache, tokenizer_path(), limit=WINDOW)
+
+
 QUERIES: dict[str, Query] = {
+    "op5_packing": op5_packing,
+    "op9_token_counts": op9_token_counts,
     "op3_url_filter": op3_url_filter,
     "op10_chat_format": op10_chat_format,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, packing, token_counts, url_filter
+from lettermill.llm import chat, packing, token_counts, top_k, url_filter
 from lettermill.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,26 @@ SELECT page_id, host, path, best.rule AS rule,
 FROM judged j LEFT JOIN bad b ON b.canonical = j.canonical AND j.host <> ''
 """
 
+# --- 8: exact top-k search
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every twentieth vector among all others."""
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 20
+"""
+
 # --- 10: chat formatting
 
 DRAFT, DELTA = 40, 256
@@ -130,11 +150,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
+    "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op3_url_filter": op3_url_filter,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op3_url_filter": OP3_SQL, "op8_top_k": OP8_SQL, "op10_chat_format": OP10_SQL}
 
 
 def queries() -> dict[str, Query]:

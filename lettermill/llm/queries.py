@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, packing, token_counts, top_k, url_filter
+from lettermill.llm import chat, packing, simhash, token_counts, top_k, url_filter
 from lettermill.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,15 @@ SELECT page_id, host, path, best.rule AS rule,
 FROM judged j LEFT JOIN bad b ON b.canonical = j.canonical AND j.host <> ''
 """
 
+# --- 6: SimHash near-duplicates
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=3)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 # --- 8: exact top-k search
 
 
@@ -150,6 +159,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
     "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op3_url_filter": op3_url_filter,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, packing, simhash, token_counts, top_k, url_filter
+from lettermill.llm import chat, decontamination, lang_id, packing, simhash, token_counts, top_k, url_filter
 from lettermill.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: benchmark decontamination
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document."""
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# --- 2: language ID
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a third of them is not learned from."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = lang_id.predict(docs.select("doc_id", "text"), lang_id.train_on_rest(docs))
+    return found.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 # --- 3: URL filter
 
 URL_RULES = [
@@ -158,6 +176,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_top_k": op8_top_k,

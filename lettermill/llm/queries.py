@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, decontamination, lang_id, packing, simhash, token_counts, top_k, url_filter
+from lettermill.llm import chat, decontamination, html_text, lang_id, packing, simhash, token_counts, top_k, url_filter
 from lettermill.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# --- 7: HTML extraction
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 # --- 8: exact top-k search
 
 
@@ -180,6 +188,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_html_text": op7_html_text,
     "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op3_url_filter": op3_url_filter,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, decontamination, html_text, lang_id, packing, simhash, token_counts, top_k, url_filter
+from lettermill.llm import chat, decontamination, html_text, lang_id, packing, pii, simhash, token_counts, top_k, url_filter
 from lettermill.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +160,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+# --- 4: personal data
+
+PII_KEY = "corpus"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with surrogates for personal data."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, PII_KEY).select("doc_id", "text", "pii_count")
+
+
 # --- 5 and 9: packing and token counts
 
 BPE = "byte_bpe_50k.json"
@@ -186,6 +197,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_html_text": op7_html_text,

@@ -192,7 +192,7 @@ def replace_pii(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFra
     draw for an entity in any corpus.
     """
     columns = [c for c in docs.columns if c != "pii_count"]
-    docs, text = docs.select(*columns), F.col(text_col)
+    docs, text = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).alias("text")), F.col("text")
     has = F.coalesce(text.rlike(ANY), F.lit(False))
     digest = F.sha2(text, 256)
     found = docs.where(has).select(digest.alias("pii_digest"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)).alias("found"))
@@ -215,5 +215,6 @@ def replace_pii(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFra
     )
     hits = F.aggregate("pii.hit", F.lit(0), lambda a, h: a + h)
     with_pii = docs.where(has).withColumn("pii_key", digest).join(replaced, F.col("pii_key") == F.col("pii_digest"), "left")
-    changed = with_pii.select(*[filled.alias(c) if c == text_col else F.col(c) for c in columns], F.coalesce(hits, F.lit(0)).alias("pii_count"))
-    return docs.where(~has).select(*columns, F.lit(0).alias("pii_count")).unionByName(changed)
+    kept = [filled.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns]
+    changed = with_pii.select(*kept, F.coalesce(hits, F.lit(0)).alias("pii_count"))
+    return docs.where(~has).select("row.*", F.lit(0).alias("pii_count")).unionByName(changed)

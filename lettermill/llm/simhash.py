@@ -57,18 +57,22 @@ def fingerprints(docs: DataFrame, words: int = 3, *, id_col: str = "doc_id", tex
     return own.mapInArrow(run, schema)
 
 
-def _filed(distinct: DataFrame) -> DataFrame:
-    """(key, fp, own): each half itself (own), and with each of its set bits cleared."""
+def filings(fp: Column) -> Column:
+    """Array of (key, own): each half itself (own), and with each of its set bits cleared."""
     whole = F.lit(0xFFFFFFFF).cast("bigint")
     rows = []
-    for half, value in enumerate((F.col("fp").bitwiseAND(whole), F.shiftrightunsigned("fp", 32))):
+    for half, value in enumerate((fp.bitwiseAND(whole), F.shiftrightunsigned(fp, 32))):
         cleared = [
             F.when(value.bitwiseAND(F.lit(1 << bit)) != 0, F.struct((value + ((half << 32) - (1 << bit))).alias("key"), F.lit(False).alias("own")))
             for bit in range(32)
         ]
         rows += [F.struct((value + (half << 32)).alias("key"), F.lit(True).alias("own")), *cleared]
-    filed = distinct.select("fp", F.explode(F.array_compact(F.array(*rows))).alias("f"))
-    return filed.select("f.key", "fp", "f.own")
+    return F.array_compact(F.array(*rows))
+
+
+def _filed(distinct: DataFrame) -> DataFrame:
+    """(key, fp, own) of ``distinct(fp)``."""
+    return distinct.select("fp", F.explode(filings(F.col("fp"))).alias("f")).select("f.key", "fp", "f.own")
 
 
 def _filed_again(deferred: DataFrame) -> DataFrame:

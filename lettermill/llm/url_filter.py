@@ -52,14 +52,20 @@ def bloom_filter(keys: DataFrame, blocks: int = 4096) -> DataFrame:
     return marked.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def maybe_listed(probes: DataFrame, bloom: DataFrame, blocks: int = 4096) -> DataFrame:
-    """The rows of ``probes`` (with a column ``key``) whose bits are all set."""
+def with_bloom(probes: DataFrame, bloom: DataFrame, blocks: int = 4096) -> DataFrame:
+    """``probes`` (with a column ``key``) and ``maybe``: whether all bits of the key are set. Null keys are not listed."""
     block, masks = _bits(F.col("key"), blocks)
-    own = probes.withColumns({"block": block} | {f"m{i}": m for i, m in enumerate(masks)})
-    hit = own.join(F.broadcast(bloom), "block")
-    for i in range(WORDS):
-        hit = hit.where(F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) != 0)
-    return hit.select(*probes.columns)
+    small = F.broadcast(bloom.withColumnRenamed("block", "bloom_block"))
+    both = probes.join(small, block == F.col("bloom_block"), "left")
+    hit = F.col("bloom_block").isNotNull() & F.col("key").isNotNull()
+    for i, mask in enumerate(masks):
+        hit &= F.col(f"w{i}").bitwiseAND(mask) != 0
+    return both.select(*[probes[c] for c in probes.columns], hit.alias("maybe"))
+
+
+def maybe_listed(probes: DataFrame, bloom: DataFrame, blocks: int = 4096) -> DataFrame:
+    """The rows of ``probes`` whose bits are all set."""
+    return with_bloom(probes, bloom, blocks).where("maybe").drop("maybe")
 
 
 def filter_urls(

@@ -119,7 +119,8 @@ def chat_events(turns: DataFrame) -> DataFrame:
     """The log that ``turns`` (conv_id, turn, role, text) come from.
 
     A message starts as a short draft. A user's or system's draft is edited into the full text; an assistant's is regenerated and
-    streamed in pieces. Every row of the table is a message of its own.
+    streamed in pieces. Every row of the table is a message of its own; a null turn
+    comes before turn 0.
     """
     text = F.coalesce("text", F.lit(""))
     kind = lambda name, body: F.struct(F.lit(name).alias("kind"), body.alias("text"))
@@ -128,7 +129,7 @@ def chat_events(turns: DataFrame) -> DataFrame:
     log = F.concat(F.array(kind("message", F.substring(text, 1, DRAFT))), rest.otherwise(F.array(kind("edit", text))))
     rows = turns.select("conv_id", "turn", "role", F.monotonically_increasing_id().alias("message_id"), log.alias("log"))
     return rows.select("conv_id", "turn", "role", "message_id", F.posexplode("log").alias("n", "event")).select(
-        "conv_id", (F.col("turn") * F.lit(1 << 32) + F.col("n")).alias("seq"), "message_id", "role", "event.kind", "event.text"
+        "conv_id", (F.coalesce("turn", F.lit(-1)) * F.lit(1 << 32) + F.col("n")).alias("seq"), "message_id", "role", "event.kind", "event.text"
     )
 
 

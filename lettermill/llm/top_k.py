@@ -100,7 +100,7 @@ class Ranking:
         good = (scores >= self.floor[rows]) & (ids[cols] != self.ids[rows])
         rows, scores, names = rows[good], scores[good], ids[cols[good]]
         touched, first = np.unique(rows, return_index=True)
-        for i, a, b in zip(touched.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+        for i, a, b in zip(touched.tolist(), first.tolist(), np.append(first, len(rows))[1:].tolist(), strict=True):
             s, n = np.concatenate([self.best[i][0], scores[a:b]]), np.concatenate([self.best[i][1], names[a:b]])
             order = np.lexsort((n, -s))[: self.k]
             self.best[i] = s[order], n[order]

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose pieces are made distinct together; a longer text is encoded on its own.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Distinct pieces whose ids a worker remembers at most.
 REMEMBERED = 1_000_000
 _UNICODE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")

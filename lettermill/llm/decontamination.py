@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lettermill.llm.bytes_of import lower_letters, text_blocks
+from lettermill.llm.bytes_of import lower_letters, short_batches, text_blocks
 
 Q = 10
 #: Edits allowed for a character of the passage; fewer for short passages, so that this many shared q-grams stay needed.
@@ -195,6 +195,7 @@ def leaks_in(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The passages in blocks of about ``BENCHMARK_BLOCK`` characters."""
     own = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    short_batches(benchmark.sparkSession)
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // BENCHMARK_BLOCK)
     for block in range(blocks):

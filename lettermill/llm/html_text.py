@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.llm.bytes_of import short_batches
 from lettermill.llm.url_filter import url_host
 from lettermill.session import materialize
 
@@ -241,6 +242,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     Null and empty pages have empty text; a null URL, or one without a host, is of the host that has no name. Repeated rows are
     extracted one by one. A very long page is parsed whole. An empty table gives no rows; other columns are ignored.
     """
+    short_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     own = own.withColumn("host", url_host(F.col("url")))
     cut = importance(style_counts(own.select("host", "html"))).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lettermill.llm.bytes_of import lower_letters, text_blocks
+from lettermill.llm.bytes_of import lower_letters, short_batches, text_blocks
 from lettermill.session import materialize
 
 DIM = 4096
@@ -106,6 +106,7 @@ def _sample(labelled: DataFrame, sample: int) -> DataFrame:
 
 def train(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model | None:
     """Fit on ``labelled(doc_id, text, lang)``; rows without label, or without a letter, teach nothing. None if nothing is left."""
+    short_batches(labelled.sparkSession)
     own = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +164,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     language. Repeated rows are judged alike; very long texts whole. An empty table gives no rows. The other columns stay; those of
     the three new names are replaced.
     """
+    short_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*kept)
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

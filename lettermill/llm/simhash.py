@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lettermill.session import fresh_dir, materialize
+from lettermill.llm.bytes_of import short_batches
+from lettermill.session import materialize
 
 SEED = 42
 #: Fingerprints of one bucket that one task compares; larger buckets are filed again.
@@ -46,6 +47,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed bigint."""
+    short_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([own.schema["doc_id"], T.StructField("fp", T.LongType())])
 

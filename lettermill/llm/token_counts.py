@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.llm.bytes_of import short_batches
 from lettermill.llm.codec import codec
+from lettermill.session import materialize
 
 CACHE = "version string, digest binary, n_tokens bigint"
 
@@ -42,6 +44,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, *, id_col: str = "
     are encoded whole. Empty tables give no rows. Ids may be null or repeated; other columns are ignored.
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
+    short_batches(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     missing = own.select(content_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     if _exists(docs, cache):
@@ -58,7 +61,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, *, id_col: str = "
     fresh = missing.dropDuplicates(["digest"]).mapInArrow(encode, "digest binary, n_tokens bigint")
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
-    counts = counts.groupBy(F.col("digest").alias("known_digest")).agg(F.max("n_tokens").alias("n_tokens"))
+    counts = materialize(counts.groupBy(F.col("digest").alias("known_digest")).agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     keyed = own.select(
         "doc_id", content_digest(F.col("text")).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes")
     )

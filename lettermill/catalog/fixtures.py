@@ -16,10 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Bring rows to all cores if they come from fewer file splits than there are cores, as from one small
-    file; a large table has more splits than that and is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    """On a local master, bring rows of one small file to all cores. A cluster's tables come in many splits and are left as they are."""
+    context = rows.sparkSession.sparkContext
+    return rows.repartition(context.defaultParallelism, key) if context.master.startswith("local[") else rows
 
 
 def _text(column: str) -> Column:

@@ -425,8 +425,8 @@ SELECT uuid, title, project_uuid, heading_uuid, notes, status FROM open_todos"""
     q["require_nonblank"] = f"""WITH {PROJECTS}
 SELECT uuid, 'project without notes' AS reason FROM open_projects WHERE notes IS NULL OR trim(notes) = ''"""
     q["checklist_hydrate"] = f"""WITH {TODOS}
-SELECT t.uuid, t.title, count(c.uuid) AS n_items, coalesce(string_agg(c.uuid || '/' || c.title || '/' || c.status, ';' ORDER BY c.pos, c.uuid), '') AS items
-FROM open_todos t LEFT JOIN checklist c ON c.todo_uuid = t.uuid GROUP BY t.uuid, t.title"""
+SELECT t.uuid, t.title, cast(coalesce(c.pos, -1) AS bigint) AS pos, c.uuid AS item_uuid, c.title AS item_title, c.status AS item_status
+FROM open_todos t LEFT JOIN checklist c ON c.todo_uuid = t.uuid"""
     q["checklist_flatten"] = f"WITH {TODOS} SELECT uuid, todo_uuid, title, status FROM checklist"
     q["collect_notes"] = f"WITH {NOTES} SELECT * FROM notes"
     q["replace_snapshot"] = f"""WITH {AREAS}, {HEADINGS}, {NOTES}
@@ -436,13 +436,12 @@ UNION ALL SELECT 'task_headings', uuid, title, project_uuid FROM headings
 UNION ALL SELECT 'task_todos', uuid, title, project_uuid FROM open_todos
 UNION ALL SELECT 'task_checklist_items', uuid, title, todo_uuid FROM checklist
 UNION ALL SELECT 'task_notes', item_uuid || '/' || item_type, title, content FROM notes"""
-    q["snapshot_json"] = f"""WITH {AREAS}, {HEADINGS}, {NOTES},
-lists AS (SELECT t.uuid, string_agg('{{"status":"' || c.status || '","title":"' || c.title || '","uuid":"' || c.uuid || '"}}', ',' ORDER BY c.pos, c.uuid) AS l
-          FROM open_todos t JOIN checklist c ON c.todo_uuid = t.uuid GROUP BY t.uuid)
+    q["snapshot_json"] = f"""WITH {AREAS}, {HEADINGS}, {NOTES}
 SELECT 'areas' AS slice, '{{"title":"' || title || '","uuid":"' || uuid || '"}}' AS json FROM areas
 UNION ALL SELECT 'projects', '{{"area_uuid":"' || area_uuid || '","notes":' || coalesce('"' || notes || '"', 'null') || ',"status":"' || status || '","title":"' || title || '","uuid":"' || uuid || '"}}' FROM open_projects
 UNION ALL SELECT 'headings', '{{"notes":null,"project_title":null,"project_uuid":"' || project_uuid || '","start":null,"status":"' || status || '","title":"' || title || '","uuid":"' || uuid || '"}}' FROM headings
-UNION ALL SELECT 'todos', '{{"area_uuid":null,"checklist_items":[' || coalesce(l.l, '') || '],"heading_title":null,"heading_uuid":"' || heading_uuid || '","notes":"' || notes || '","project_title":null,"project_uuid":"' || project_uuid || '","start":null,"status":"' || status || '","title":"' || title || '","uuid":"' || t.uuid || '"}}' FROM open_todos t LEFT JOIN lists l ON l.uuid = t.uuid
+UNION ALL SELECT 'todos', '{{"area_uuid":null,"heading_title":null,"heading_uuid":"' || heading_uuid || '","notes":"' || notes || '","project_title":null,"project_uuid":"' || project_uuid || '","start":null,"status":"' || status || '","title":"' || title || '","uuid":"' || t.uuid || '"}}' FROM open_todos t
+UNION ALL SELECT 'checklist_items', '{{"pos":' || pos || ',"status":"' || status || '","title":"' || title || '","todo_uuid":"' || todo_uuid || '","uuid":"' || uuid || '"}}' FROM checklist
 UNION ALL SELECT 'notes', '{{"area_uuid":' || coalesce('"' || area_uuid || '"', 'null') || ',"content":"' || content || '","item_type":"' || item_type || '","item_uuid":"' || item_uuid || '","project_uuid":' || coalesce('"' || project_uuid || '"', 'null') || ',"title":"' || title || '"}}' FROM notes"""
 
     q["extractive_summary"] = f"WITH {SUMMARIES} SELECT conv_id, turn, summary FROM summaries"
@@ -451,8 +450,9 @@ UNION ALL SELECT 'notes', '{{"area_uuid":' || coalesce('"' || area_uuid || '"',
 SELECT role AS audience, 2 AS section, conv_id, turn, '- ' || summary AS line FROM kept
 UNION ALL SELECT DISTINCT role, 0, cast(NULL AS bigint), cast(NULL AS bigint), '## Daily Digest for ' || upper(substr(role, 1, 1)) || lower(substr(role, 2)) FROM kept
 UNION ALL SELECT DISTINCT role, 1, cast(NULL AS bigint), cast(NULL AS bigint), '' FROM kept"""
-    q["digest_build"] = f"""WITH {SUMMARIES}
-SELECT 'reader-' || conv_id AS audience, cast(0 AS bigint) AS part, count(*) AS items,
-       '## Daily Digest for Reader-' || conv_id || chr(10) || chr(10) || string_agg('- ' || summary, chr(10) ORDER BY turn) AS markdown
-FROM summaries WHERE summary IS NOT NULL GROUP BY conv_id"""
+    q["digest_build"] = f"""WITH {SUMMARIES},
+kept AS (SELECT 'reader-' || conv_id AS audience, conv_id, turn, summary FROM summaries WHERE summary IS NOT NULL)
+SELECT audience, 2 + row_number() OVER (PARTITION BY audience ORDER BY turn, '- ' || summary) AS line_no, '- ' || summary AS line FROM kept
+UNION ALL SELECT DISTINCT audience, 1, '## Daily Digest for Reader-' || conv_id FROM kept
+UNION ALL SELECT DISTINCT audience, 2, '' FROM kept"""
     return q

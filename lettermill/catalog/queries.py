@@ -680,16 +680,10 @@ def _ingest(spark: SparkSession, sf: str, store: Store, run_id: str = "run-now",
     )
 
 
-_RUNS: dict[tuple[str, str], tuple[Store, P.IngestReport]] = {}
-
-
 def _one_run(spark: SparkSession, sf: str) -> tuple[Store, P.IngestReport]:
-    """One ingest over the stored mailbox; the queries below look at different results of the same run."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RUNS:
-        store = _stored_mailbox(spark, sf)
-        _RUNS[key] = (store, _ingest(spark, sf, store))
-    return _RUNS[key]
+    """An ingest over the stored mailbox; the queries below look at different results of such a run."""
+    store = _stored_mailbox(spark, sf)
+    return store, _ingest(spark, sf, store)
 
 
 @_query
@@ -818,9 +812,9 @@ def require_nonblank(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def checklist_hydrate(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.transform("checklist_items", lambda i: F.concat_ws("/", i["uuid"], i["title"], i["status"]))
     rows = H.build_snapshot(_task_tables(spark, sf)).nested_todos
-    return rows.select("uuid", "title", F.size("checklist_items").cast("long").alias("n_items"), _list(text, ";").alias("items"))
+    item = [F.col(f"checklist_item.{c}").alias(f"item_{c}") for c in ("uuid", "title", "status")]
+    return rows.select("uuid", "title", F.coalesce("pos", F.lit(-1)).alias("pos"), *item)
 
 
 @_query
@@ -882,4 +876,4 @@ def digest_build(spark: SparkSession, sf: str) -> DataFrame:
     """One digest per conversation, in the order of its turns."""
     audience = F.concat(F.lit("reader-"), F.col("conv_id").cast("string"))
     items = _summaries(spark, sf).select(audience.alias("audience"), F.col("turn").alias("ord"), "item")
-    return D.digest_build(items).withColumn("items", F.col("items").cast("long"))
+    return D.digest_build(items)

@@ -11,9 +11,13 @@ from lettermill.functions.text import collapse_whitespace, nonblank_array
 SYSTEM_FLAGS = ("\\Answered", "\\Deleted", "\\Draft", "\\Flagged", "\\Recent", "\\Seen")
 
 
+# Fixed value: where a fetch descriptor lists the flags.
+FLAG_GROUP = r"FLAGS \(([^)]*)\)"
+
+
 def parse_flags(descriptor: Column) -> Column:
     """Ordered distinct flags of the first ``FLAGS (...)`` group; empty when there is none."""
-    inner = F.regexp_extract(descriptor, r"FLAGS \(([^)]*)\)", 1)
+    inner = F.regexp_extract(descriptor, FLAG_GROUP, 1)
     return F.array_distinct(nonblank_array(F.split(collapse_whitespace(inner), " ")))
 
 

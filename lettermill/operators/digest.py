@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.flags import collapse_edges
 from lettermill.functions.text import capitalize
+from lettermill.session import materialize
 
 # Fixed value: the audience when none is given.
 DEFAULT_AUDIENCE = "robert"
 
-# Most lines of one digest part.
-DIGEST_PART = 1000
-
 
 def digest_item(text: Column, summary: Column | None = None) -> Column:
     """A plain item, or the ``summary`` of a structured one, trimmed; null when nothing is left."""
@@ -49,24 +47,20 @@ def digest_lines(items: DataFrame, order: list[str]) -> DataFrame:
     return header.unionByName(body)
 
 
-def digest_build(items: DataFrame, part_size: int = DIGEST_PART) -> DataFrame:
-    """``(audience, part, items, markdown)``: digests as text.
+def digest_build(items: DataFrame) -> DataFrame:
+    """``(audience, line_no, line)``: the Markdown lines of every audience's digest, numbered from 1.
 
-    ``items`` has ``audience``, ``ord`` (the place of the item in the list, unique per audience) and
-    ``item``. Normally a digest is one row with ``part`` 0. A list of more than ``part_size`` places is
-    continued in further rows, which joined by line breaks give the whole digest, so an audience with
-    very many items is never gathered in one task. Audiences without any item have no digest.
+    ``items`` has ``audience``, ``ord`` (the order of its items) and ``item``. All digests are sorted in ranges, so one audience may
+    span many tasks; lines are counted per range and audience, and only these counts are summed in order. Equal or null ``ord`` are
+    ordered by the text. Audiences without any item have no digest.
     """
-    clean = items.select(
-        digest_audience(F.col("audience")).alias("audience"),
-        F.col("ord").cast("long").alias("ord"),
-        digest_item(F.col("item")).alias("item"),
-    ).where(F.col("item").isNotNull())
-    place = F.floor(F.col("ord") / part_size).alias("part")
-    parts = clean.groupBy("audience", place).agg(F.sort_array(F.collect_list(F.struct("ord", "item"))).alias("entries"))
-    firsts = clean.groupBy("audience").agg(F.min(F.floor(F.col("ord") / part_size)).alias("first_part"))
-    lines = F.transform("entries", lambda e: F.concat(F.lit("- "), e["item"]))
-    opening = F.array(digest_header(F.col("audience")), F.lit(""))
-    text = F.when(F.col("part") == F.col("first_part"), F.concat(opening, lines)).otherwise(lines)
-    joined = parts.join(firsts, "audience")
-    return joined.select("audience", "part", F.size("entries").alias("items"), F.array_join(text, "\n").alias("markdown"))
+    lines = digest_lines(items, ["ord"]).repartitionByRange("audience", "section", "ord", "line")
+    placed = lines.sortWithinPartitions("audience", "section", "ord", "line").select(
+        "audience", "line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")
+    )
+    placed = materialize(placed, "digest-lines")
+    counts = placed.groupBy("audience", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("audience").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(counts.select("audience", "part", (before - F.col("first")).alias("shift")), "digest-starts")
+    number = (F.col("place") + F.col("shift") + 1).alias("line_no")
+    return placed.join(starts, ["audience", "part"]).select("audience", number, "line")

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions.checks import fail_where
 from lettermill import schemas
 
 _FIRST_WINS = (
@@ -120,8 +121,7 @@ def merge_duplicates(normalized: DataFrame, on_conflict: str = "raise") -> Merge
     if on_conflict == "report":
         return Merged(rows.where(conflict.isNull()).drop("conflict"), conflicts)
     message = F.concat(F.lit("copies of message "), "fingerprint", F.lit(" cannot be merged: "), conflict)
-    checked = F.when(conflict.isNotNull(), F.raise_error(message)).otherwise(F.col("fingerprint"))
-    return Merged(rows.withColumn("fingerprint", checked).drop("conflict"), conflicts)
+    return Merged(fail_where(rows, conflict.isNotNull(), message).drop("conflict"), conflicts)
 
 
 def dedup_ratio(normalized: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lettermill.functions.checks import fail_where
 from lettermill import schemas
 from lettermill.functions.dates import common_date_fields, iso_to_timestamp, library_iso, parse_common_date, sent_at_iso
 from lettermill.functions.flags import build_recipients
@@ -103,9 +104,7 @@ def normalize_messages(messages: DataFrame, strict: bool = False, rare_dates: bo
     reason = F.lit(BLANK_MESSAGE)
     rejected = canonical_rows(messages.where(blank), rare_dates=False).select("seq", "fingerprint", reason.alias("reason"))
     if strict:
-        rows = canonical_rows(messages, rare_dates)
-        checked = F.when(F.col("searchable_text") == "", F.raise_error(reason)).otherwise(F.col("searchable_text"))
-        return Normalized(rows.withColumn("searchable_text", checked), rejected)
+        return Normalized(canonical_rows(fail_where(messages, blank, reason), rare_dates), rejected)
     return Normalized(canonical_rows(messages.where(~blank), rare_dates), rejected)
 
 

@@ -7,14 +7,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions.checks import fail_where
 from lettermill.functions.text import is_blank
 
 # Fixed value: the title of a to-do whose own is blank.
 UNTITLED_TODO = "(untitled to-do)"
 
-# Longest nested checklist of one row; a longer one goes on in further rows of the same to-do.
-CHECKLIST_PART = 1000
-
 
 class Checked(NamedTuple):
     ok: DataFrame
@@ -47,8 +45,7 @@ def require_nonblank(entity: DataFrame, *fields: str, strict: bool = False, name
     rejected = entity.where(missing.isNotNull()).withColumn("reason", message)
     if not strict:
         return Checked(entity.where(missing.isNull()), rejected)
-    first = fields[0]
-    return Checked(entity.withColumn(first, F.when(missing.isNotNull(), F.raise_error(message)).otherwise(F.col(first))), rejected)
+    return Checked(fail_where(entity, missing.isNotNull(), message), rejected)
 
 
 def todo_title(title: Column) -> Column:
@@ -102,30 +99,22 @@ def checklist_rows(todos: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(flagged, "todo_uuid", "left_semi")
 
 
-def checklist_hydrate(todos: DataFrame, items: DataFrame, part_size: int = CHECKLIST_PART) -> DataFrame:
-    """To-dos with their items nested in list order.
+def checklist_hydrate(todos: DataFrame, items: DataFrame) -> DataFrame:
+    """To-dos with their items: a row for each item, with its place ``pos``, and one with nulls for a to-do without items.
 
-    ``todos`` are mapped to-dos with their ``has_checklist`` flag. ``pos`` is unique per to-do. Normally a
-    to-do is one row with ``part`` 0; a list longer than ``part_size`` is continued in further rows, so that
-    no task has to hold an endless list and nothing is cut off.
+    ``todos`` are mapped to-dos with their ``has_checklist`` flag. The shape is the same for a list of two and of a million
+    items: no list is gathered, and the join's item side may be split if one to-do has most of the items.
     """
-    part = F.floor(F.col("pos") / part_size).cast("int")
-    rows = checklist_rows(todos, items).select("todo_uuid", part.alias("part"), F.struct("pos", "uuid", "title", "status").alias("item"))
-    nested = rows.groupBy("todo_uuid", "part").agg(F.sort_array(F.collect_list("item")).alias("sorted"))
-    bare = F.transform("sorted", lambda i: F.struct(i["uuid"].alias("uuid"), i["title"].alias("title"), i["status"].alias("status")))
-    lists = nested.select(F.col("todo_uuid").alias("uuid"), "part", bare.alias("checklist_items"))
-    # An inner join, whose list side AQE may split if one to-do has most of the parts; the others are added.
-    plain = todos.drop("has_checklist")
-    filled = plain.join(lists, "uuid")
-    none = F.array().cast("array<struct<uuid:string,title:string,status:string>>")
-    empty = plain.join(rows.select(F.col("todo_uuid").alias("uuid")), "uuid", "left_anti")
-    return filled.unionByName(empty.withColumns({"part": F.lit(0), "checklist_items": none}))
+    rows = checklist_rows(todos, items).select(
+        F.col("todo_uuid").alias("uuid"), "pos", F.struct("uuid", "title", "status").alias("checklist_item")
+    )
+    return todos.drop("has_checklist").join(rows, "uuid", "left")
 
 
 def checklist_flatten(hydrated: DataFrame) -> DataFrame:
-    """Nested items back to rows with their to-do."""
-    items = hydrated.select(F.col("uuid").alias("todo_uuid"), F.explode("checklist_items").alias("i"))
-    return items.select("i.uuid", "todo_uuid", "i.title", "i.status")
+    """The items back as rows with their to-do."""
+    items = hydrated.where(F.col("checklist_item").isNotNull()).select(F.col("uuid").alias("todo_uuid"), "checklist_item")
+    return items.select("checklist_item.uuid", "todo_uuid", "checklist_item.title", "checklist_item.status")
 
 
 def collect_notes(projects: DataFrame, todos: DataFrame) -> DataFrame:

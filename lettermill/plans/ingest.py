@@ -169,21 +169,28 @@ def persist_messages(
 
     # The state after the upsert, as far as memberships need it: stored rows of other keys, and the batch.
     # Neither side is joined in full; with a small batch its keys are simply broadcast.
-    keys, narrow = incoming.select("document_key"), ["document_key", "source_type", "metadata"]
+    # Of stored rows only the folders and UIDs are read, picked before the join so that the scan is pruned to them.
+    keys = incoming.select("document_key")
+    slim = F.struct("metadata.folders", "metadata.folder_uids").alias("metadata")
     batch = incoming
     if merge_metadata:
         same = store.read("vector_documents", store.touched(keys)).join(keys, "document_key", "left_semi")
         batch = U.upsert_documents(same, incoming, observed_at, merge_metadata)
-    others = store.read("vector_documents").join(keys, "document_key", "left_anti")
-    after = others.select(*narrow).unionByName(batch.select(*narrow))
+    stored = store.read("vector_documents").select("document_key", "source_type", slim)
+    batch = batch.select("document_key", "source_type", slim)
+    after = stored.join(keys, "document_key", "left_anti").unionByName(batch)
     if server_uids is None:
         missing = store.spark.createDataFrame([], "document_key string, folder string, folder_ord int, uid long")
     else:
         memberships = S.current_folder_uids(after, folders)
         missing = materialize(S.reconcile_missing(memberships, server_uids, plan), "missing", scratch)
-    orphans = after.where(U.is_orphan()).select("document_key")
-    emptied = U.remove_folder_membership(after.join(missing, "document_key", "left_semi"), missing)
-    purged = orphans.union(emptied.where(U.is_orphan()).select("document_key")).distinct()
+    # Only a document of the batch, or one that has just lost a folder, can have become an orphan.
+    purged = batch.where(U.is_orphan()).select("document_key")
+    if server_uids is not None:
+        gone = missing.groupBy("document_key").agg(F.collect_set("folder").alias("gone"))
+        left = F.array_except(F.coalesce("metadata.folders", F.array().cast("array<string>")), "gone")
+        emptied = after.join(gone, "document_key").where((F.col("source_type") == "email") & (F.size(left) == 0))
+        purged = purged.union(emptied.select("document_key")).distinct()
     purged = materialize(purged, "purged", scratch)
 
     # Only documents without a current vector are embedded, and only their vectors are joined with stored ones.

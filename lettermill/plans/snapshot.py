@@ -46,13 +46,13 @@ def build_snapshot(raw: TaskTables, strict: bool = True) -> Snapshot:
     items = ops.map_checklist_items(raw.items)
     flagged = open_todos.select("uuid", "has_checklist")
     rows = checked(ops.checklist_rows(flagged, items), "checklist item")
-    nested = ops.checklist_hydrate(todos.join(flagged, "uuid"), items)
+    nested = ops.checklist_hydrate(todos.join(flagged, "uuid"), rows)
     return Snapshot(
         areas=checked(ops.map_areas(raw.areas), "area"),
         projects=projects,
         headings=checked(ops.map_headings(ops.open_items(raw.headings, "heading")), "heading"),
         todos=todos,
-        checklist_items=rows.select("uuid", "todo_uuid", "title", "status"),
+        checklist_items=rows.select("uuid", "todo_uuid", "title", "status", "pos"),
         notes=ops.collect_notes(projects, todos),
         nested_todos=nested,
     )
@@ -77,21 +77,19 @@ def snapshot_json(snapshot: Snapshot) -> DataFrame:
     """``(slice, json)``: one JSON object per row with sorted keys and explicit nulls.
 
     The whole snapshot as one object would have to pass through one task; as lines it is written in
-    parallel, for instance with ``.write.partitionBy("slice").text(path)``. A to-do whose checklist is longer
-    than one part has one line per part.
+    parallel, for instance with ``.write.partitionBy("slice").text(path)``. Checklist items are a slice of their own, with the
+    to-do and the place in its list, whatever its length.
     """
     slices = {
         "areas": snapshot.areas,
         "projects": snapshot.projects,
         "headings": snapshot.headings.withColumnRenamed("start_value", "start"),
-        "todos": snapshot.nested_todos.withColumnRenamed("start_value", "start").drop("part"),
+        "todos": snapshot.todos.withColumnRenamed("start_value", "start"),
+        "checklist_items": snapshot.checklist_items,
         "notes": snapshot.notes,
     }
     parts = []
     for name, rows in slices.items():
-        if name == "todos":
-            items = F.transform("checklist_items", lambda i: F.struct(i["status"], i["title"], i["uuid"]))
-            rows = rows.withColumn("checklist_items", items)
         text = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
         parts.append(rows.select(F.lit(name).alias("slice"), text.alias("json")))
     first, *others = parts

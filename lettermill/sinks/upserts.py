@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions.checks import fail_where
 from lettermill import schemas
 
 _DOCUMENT_COLUMNS = [c for c in schemas.DOCUMENTS.names if c not in ("document_key", "created_at", "updated_at")]
@@ -130,8 +131,7 @@ def lookup_documents(keys: DataFrame, documents: DataFrame) -> DataFrame:
     """The document of every key; an unknown key fails the job."""
     found = keys.join(documents.withColumn("_known", F.lit(True)), "document_key", "left")
     message = F.concat(F.lit("unknown document_key "), "document_key")
-    known = F.when(F.col("_known").isNull(), F.raise_error(message)).otherwise(F.col("document_key"))
-    return found.withColumn("document_key", known).drop("_known")
+    return fail_where(found, F.col("_known").isNull(), message).drop("_known")
 
 
 def remove_folder_membership(documents: DataFrame, missing: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def scan_uid_range(messages: DataFrame, folder: str, start_uid: int, end_uid: in
 def folder_status(uids: DataFrame, validity: DataFrame | None = None) -> DataFrame:
     """``(folder, message_count, uidvalidity, uidnext, max_uid)`` from the UIDs on the server.
 
-    ``validity`` (folder, uidvalidity) is one row per folder; without it the validity is 0.
+    ``validity`` (folder, uidvalidity, and uidnext if the server tells it) is one row per folder; a folder that has lost all its
+    mail is there with count 0. Without it only folders with mail are known, and the validity is 0.
     """
     status = uids.groupBy("folder").agg(
         F.count(F.lit(1)).alias("message_count"), F.max("uid").alias("max_uid"), (F.max("uid") + 1).alias("uidnext")
@@ -69,6 +70,9 @@ def folder_status(uids: DataFrame, validity: DataFrame | None = None) -> DataFra
     if validity is None:
         status = status.withColumn("uidvalidity", F.lit(0).cast("long"))
     else:
-        status = status.join(validity, "folder", "left")
+        told = F.col("uidnext").cast("long") if "uidnext" in validity.columns else F.lit(None).cast("long")
+        folders = validity.select("folder", "uidvalidity", told.alias("told"))
+        status = folders.join(status, "folder", "full").withColumn("uidnext", F.coalesce("told", "uidnext"))
     known = F.coalesce("uidvalidity", F.lit(0)).cast("long")
-    return status.select("folder", "message_count", known.alias("uidvalidity"), "uidnext", "max_uid")
+    count = F.coalesce("message_count", F.lit(0)).cast("long")
+    return status.select("folder", count.alias("message_count"), known.alias("uidvalidity"), "uidnext", "max_uid")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import email
 from collections.abc import Iterator
+from email.errors import MessageError
 from email.header import decode_header
 from email.message import Message
 
@@ -14,11 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions.checks import fail_where
 from lettermill.functions.flags import keywords_of, parse_flags, split_recipients
 
 _PARSED = (
     "message_id string, subject string, sender string, to_raw string, cc_raw string, bcc_raw string, "
-    "reply_to_raw string, date_raw string, body string, headers map<string,string>"
+    "reply_to_raw string, date_raw string, body string, headers map<string,string>, error string"
 )
 _HEADER_OF = {
     "message_id": "Message-ID", "subject": "Subject", "sender": "From", "to_raw": "To", "cc_raw": "Cc",
@@ -60,26 +62,44 @@ def _body(message: Message) -> str:
     return "" if first is None else _payload(first)
 
 
-def _row(raw: bytes) -> dict[str, object]:
-    message = email.message_from_bytes(raw)
-    row: dict[str, object] = {column: _header(message.get(name)) for column, name in _HEADER_OF.items()}
-    row["date_raw"] = str(message.get("Date") or "")
-    row["body"] = _body(message)
-    row["headers"] = {name: _header(value) for name, value in message.items()}
-    return row
+_NOTHING: dict[str, object] = dict.fromkeys([*_HEADER_OF, "date_raw", "body", "headers", "error"])
+
+
+def _row(raw: bytes | None) -> dict[str, object]:
+    """The parts of a message, or what is wrong with it."""
+    if raw is None:
+        return _NOTHING | {"error": "no content"}
+    try:
+        message = email.message_from_bytes(bytes(raw))
+        row: dict[str, object] = {column: _header(message.get(name)) for column, name in _HEADER_OF.items()}
+        row["date_raw"] = str(message.get("Date") or "")
+        row["body"] = _body(message)
+        row["headers"] = {name: _header(value) for name, value in message.items()}
+    except (MessageError, ValueError, LookupError, TypeError, AttributeError) as e:  # what the mail parser raises on broken input
+        return _NOTHING | {"error": f"{type(e).__name__}: {e}"}
+    return row | {"error": None}
+
+
+def split_unreadable(parsed: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(readable rows, the others with their ``error``) of :func:`parse_rfc822`; ``strict`` fails the job instead."""
+    bad = F.col("error").isNotNull()
+    rejected = parsed.where(bad)
+    ok = fail_where(parsed, bad, F.concat(F.lit("unreadable message: "), "error")) if strict else parsed.where(~bad)
+    return ok.drop("error"), rejected
 
 
 def parse_rfc822(raw: DataFrame, content: str = "content", flags: str | None = None) -> DataFrame:
     """Parse a binary column; all other columns are kept. ``flags`` names a fetch descriptor column, if any.
 
-    The input can be ``spark.read.format("binaryFile")`` or any table with a binary column.
+    The input can be ``spark.read.format("binaryFile")`` or any table with a binary column. A message that cannot be read has
+    nulls and an ``error``; see :func:`split_unreadable`.
     """
     kept = [c for c in raw.columns if c != content]
     kept_types = "".join(f"{c} {raw.schema[c].dataType.simpleString()}, " for c in kept)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = pd.DataFrame([_row(bytes(b)) for b in frame[content]], columns=[*_HEADER_OF, "date_raw", "body", "headers"])
+            rows = pd.DataFrame([_row(b) for b in frame[content]], columns=list(_NOTHING), dtype=object)
             yield pd.concat([frame[kept].reset_index(drop=True), rows], axis=1)
 
     parsed = raw.mapInPandas(run, kept_types + _PARSED)

@@ -40,8 +40,8 @@ def test_snapshot(spark, store):
     assert [(r.uuid, r.start_value) for r in s.headings.collect()] == [("heading-1", "Anytime")]
     assert {r.uuid: r.title for r in s.todos.collect()} == {"todo-1": "Pack", "todo-2": "(untitled to-do)", "todo-4": "Flag only"}
     assert sorted((r.uuid, r.todo_uuid) for r in s.checklist_items.collect()) == [("c-1", "todo-1"), ("c-2", "todo-1")]
-    nested = {r.uuid: [i.title for i in r.checklist_items] for r in s.nested_todos.collect()}
-    assert nested == {"todo-1": ["Passport", "Shoes"], "todo-2": [], "todo-4": []}
+    nested = sorted((r.uuid, r.pos or 0, r.checklist_item and r.checklist_item.title) for r in s.nested_todos.collect())
+    assert [(u, t) for u, _, t in nested] == [("todo-1", "Passport"), ("todo-1", "Shoes"), ("todo-2", None), ("todo-4", None)]
     notes = sorted((r.item_uuid, r.item_type, r.content, r.project_uuid, r.area_uuid) for r in s.notes.collect())
     assert notes == [("project-1", "project", "Book it", None, "area-1"), ("todo-1", "to-do", "\n keep me ", "project-1", None)]
     assert H.replace_snapshot(store, s, "2026-04-01 00:00:00") == 1
@@ -53,20 +53,21 @@ def test_snapshot(spark, store):
 def test_snapshot_json(spark):
     rows = [(r.slice, json.loads(r.json)) for r in H.snapshot_json(H.build_snapshot(tables(spark))).collect()]
     todo = next(j for s, j in rows if s == "todos" and j["uuid"] == "todo-1")
-    assert todo["checklist_items"] == [{"status": "incomplete", "title": "Passport", "uuid": "c-1"}, {"status": "completed", "title": "Shoes", "uuid": "c-2"}]
+    items = sorted((j["pos"], j["uuid"], j["title"], j["status"]) for s, j in rows if s == "checklist_items" and j["todo_uuid"] == "todo-1")
+    assert [i[1:] for i in items] == [("c-1", "Passport", "incomplete"), ("c-2", "Shoes", "completed")]
     assert list(todo) == sorted(todo) and todo["area_uuid"] is None and todo["start"] == "Someday"
     assert ("areas", {"title": "Family", "uuid": "area-1"}) in rows
 
 
-def test_long_checklist_continues_in_parts(spark):
+@pytest.mark.parametrize("places", [[0, 1], [999, 1000], list(range(5_000))])
+def test_checklist_has_one_shape_at_every_length(spark, places):
     todos = spark.createDataFrame([("t", True), ("u", True)], "uuid string, has_checklist boolean")
-    items = spark.range(25).select(
-        F.format_string("i%02d", "id").alias("uuid"), F.lit("t").alias("todo_uuid"), F.col("id").alias("pos"), F.lit("x").alias("title"), F.lit(None).cast("string").alias("status")
-    )
-    rows = K.checklist_hydrate(todos, items, part_size=10)
-    parts = sorted((r.uuid, r.part, len(r.checklist_items)) for r in rows.collect())
-    assert parts == [("t", 0, 10), ("t", 1, 10), ("t", 2, 5), ("u", 0, 0)]
-    assert K.checklist_flatten(rows).count() == 25
+    items = spark.createDataFrame([(f"i{p}", "t", p, "x", None) for p in places], "uuid string, todo_uuid string, pos long, title string, status string")
+    rows = K.checklist_hydrate(todos, items)
+    found = sorted((r.uuid, r.pos, r.checklist_item.uuid) for r in rows.where("pos is not null").collect())
+    assert found == [("t", p, f"i{p}") for p in places]
+    assert [tuple(r) for r in rows.where("pos is null").collect()] == [("u", None, None)]
+    assert K.checklist_flatten(rows).count() == len(places)
 
 
 def test_required_fields_and_types(spark):
@@ -75,7 +76,7 @@ def test_required_fields_and_types(spark):
     assert [r.uuid for r in checked.ok.collect()] == ["c"]
     assert sorted(r.reason for r in checked.rejected.collect()) == ["area without title", "area without uuid"]
     with pytest.raises(Exception, match="item without"):
-        K.require_nonblank(bad, "uuid", "title", strict=True).ok.collect()
+        K.require_nonblank(bad, "uuid", "title", strict=True).ok.count()
     with pytest.raises(TypeError):
         K.map_areas(spark.createDataFrame([(1, "x")], "uuid int, title string"))
     null_title = spark.createDataFrame([("t", None)], "uuid string, title string")
@@ -88,13 +89,19 @@ def test_digest(spark):
         [("robert", 0, "One"), ("robert", 1, "  "), ("robert", 2, " Two "), (" ", 0, "Default"), ("mARY ann", 0, None), ("mARY ann", 1, "X")],
         "audience string, ord int, item string",
     )
-    got = {(r.audience, r.part): r.markdown for r in D.digest_build(items).collect()}
-    assert got[("mARY ann", 0)] == "## Daily Digest for Mary ann\n\n- X"
+    got = {}
+    for r in D.digest_build(items).orderBy("audience", "line_no").collect():
+        got.setdefault(r.audience, []).append((r.line_no, r.line))
+    assert got["mARY ann"] == [(1, "## Daily Digest for Mary ann"), (2, ""), (3, "- X")]
     # A blank audience is the default one; both lists then are one audience.
-    assert got[("robert", 0)].startswith("## Daily Digest for Robert\n\n- ")
-    parts = D.digest_build(spark.range(25).select(F.lit("bo").alias("audience"), F.col("id").alias("ord"), F.col("id").cast("string").alias("item")), 10)
-    text = "\n".join(r.markdown for r in parts.orderBy("part").collect())
-    assert text == "\n".join(["## Daily Digest for Bo", "", *[f"- {i}" for i in range(25)]])
+    assert got["robert"][:2] == [(1, "## Daily Digest for Robert"), (2, "")] and len(got["robert"]) == 5
+
+
+@pytest.mark.parametrize("places", [[0, 1], [999, 1000], list(range(3_000))])
+def test_digest_has_one_shape_at_every_length(spark, places):
+    items = spark.createDataFrame([("bo", p, str(p)) for p in places] + [("al", 7, "one")], "audience string, ord long, item string").repartition(4)
+    rows = D.digest_build(items).where("audience = 'bo'").orderBy("line_no").collect()
+    assert [(r.line_no, r.line) for r in rows] == list(enumerate(["## Daily Digest for Bo", "", *[f"- {p}" for p in places]], start=1))
 
 
 def test_digest_lines(spark):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lettermill.llm.bytes_of import lower_letters, short_batches, text_blocks
 
@@ -215,7 +216,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     schema = T.StructType(
         [own.schema["doc_id"], T.StructField("item_id", item_type)] + [T.StructField(c, T.LongType()) for c in ("edits", "start", "stop")]
     )
-    found = docs.sparkSession.createDataFrame([], schema)
+    found, arrow_item = docs.sparkSession.createDataFrame([], schema), to_arrow_type(item_type)
     for block in _blocks(benchmark, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(index_of(block))
 
@@ -223,9 +224,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
             for batch in batches:
                 rows = list(leaks_in(batch.column("text"), sent.value))
                 take = [[r[i] for r in rows] for i in range(5)]
-                names = [sent.value.names[i] for i in take[1]]
+                names = pa.array([sent.value.names[i] for i in take[1]], arrow_item)
                 ids = batch.column("doc_id").take(pa.array(take[0], pa.int64()))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": names} | dict(zip(("edits", "start", "stop"), take[2:], strict=True)))
+                yield pa.RecordBatch.from_arrays([ids, names, *(pa.array(x, pa.int64()) for x in take[2:])], names=schema.names)
 
         found = found.unionByName(own.mapInArrow(run, schema))
     return found

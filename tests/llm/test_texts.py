@@ -73,6 +73,8 @@ def test_no_documents_or_no_benchmark(spark):
     assert decontamination.find_leaks(docs, benchmark).collect() == []
     docs, _ = leaks(spark, [PASSAGES[0][1]])
     none = benchmark.limit(0)
+    clean = docs.withColumn("text", F.lit("nothing of the kind")).union(docs)
+    assert [r.item_id for r in decontamination.find_leaks(clean.repartition(2), benchmark).collect()] == [1]
     assert decontamination.find_leaks(docs, none).collect() == [] and decontamination.drop_leaks(docs, none).count() == 1
 
 

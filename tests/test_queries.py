@@ -4,13 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lettermill.catalog import oracle, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-
-# Whole ingest runs beside the one the ingest_* queries share; tests/test_sync.py covers them on small mail.
-COSTLY = {"incremental_ingest", "dry_run", "idempotent_rerun", "stream_ingest"}
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +30,10 @@ def _rows(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - COSTLY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     frame = QUERIES[name](spark, SF)
     found = duck.execute(SQL[name])

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions.vectors import round_vector
+from lettermill.functions.checks import fail_where
+from lettermill.operators import chunks as C
 from lettermill.operators import embed as E
 from lettermill.operators import sync as S
 from lettermill.operators.merge import merge_duplicates
@@ -40,7 +42,10 @@ class HashEmbedder:
 
 @dataclass(frozen=True)
 class ModelEmbedder:
-    """A user-supplied batch model, optionally rescued by feature hashing."""
+    """A user-supplied batch model, optionally rescued by feature hashing.
+
+    Texts that the model finds too long are halved and pooled; the fallback is for what fails nevertheless.
+    """
 
     embed_fn: E.EmbedFn
     provider: str
@@ -49,11 +54,11 @@ class ModelEmbedder:
     fallback: bool = False
 
     def __call__(self, documents: DataFrame) -> DataFrame:
-        answered = E.model_embed(documents, "document_key", self.embed_fn, self.provider, self.model_name)
+        answered = C.embed_long_texts(documents, "document_key", self.embed_fn, self.provider, self.model_name)
+        answered = answered.drop("chunk_count", "chunk_lengths")
         if self.fallback:
             return E.embed_with_fallback(documents, "document_key", answered)
-        vector = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("vector"))
-        return answered.withColumn("vector", vector).drop("error")
+        return fail_where(answered, F.col("error").isNotNull(), F.col("error")).drop("error")
 
 
 @dataclass(frozen=True)

@@ -170,25 +170,28 @@ def _least(pairs: DataFrame) -> DataFrame:
     return materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-least").withColumnRenamed("u", "w")
 
 
+def _single(edges: DataFrame) -> bool:
+    """Whether no node ``u`` has two edges: then, if none is a ``v`` either, all trees are stars."""
+    return edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges(a, b)`` but the smallest of its component, with that. Nodes compare as signed numbers.
 
-    Alternates large-star and small-star until nothing changes: a number of rounds in the logarithm of the nodes. Each step is a
-    grouped minimum and a join with it, both over tables in the shared folder; joins with a hub are split by the adaptive planner.
+    Alternates large-star and small-star until all trees are stars, that is no root is a node below another one: both steps keep
+    components, so there is one star for each then. Rounds grow with the logarithm of the nodes. Each step is a grouped minimum and a
+    join with it, both over tables in the shared folder; joins with a hub are split by the adaptive planner.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, seen = materialize(now, "components"), None
-    while True:
+    now = materialize(now, "components")
+    while not now.join(now.select(F.col("v").alias("root")), F.col("u") == F.col("root"), "left_semi").isEmpty() or not _single(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "components")
         least = _least(large)
         small = large.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "components")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(

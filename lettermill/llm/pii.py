@@ -90,6 +90,11 @@ def canonical(kind: Column, mention: Column) -> Column:
     )
 
 
+def in_form(kind: Column, canon: Column) -> Column:
+    """An entity in the form that surrogates have: a name without its gender."""
+    return F.when(kind == "name", F.substring_index(canon, ":", -1)).otherwise(canon)
+
+
 def _byte(h: Column, i: Column) -> Column:
     """The i-th number from 0 to 255 of a hexadecimal text of 64 bytes, around and around."""
     return F.conv(F.substr(h, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -179,7 +184,7 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     given = None
     for _ in range(ROUNDS):
         drawn = own.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
-        taken = entities.select("kind", F.col("canon").alias("surrogate"))
+        taken = entities.select("kind", in_form(F.col("kind"), F.col("canon")).alias("surrogate"))
         if given is not None:
             taken = taken.unionByName(given.select("kind", "surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).join(taken, ["kind", "surrogate"], "left_anti")

@@ -210,6 +210,15 @@ def test_collisions_are_drawn_anew(spark):
     assert not {(r.kind, r.surrogate) for r in rows} & {(r.kind, r.canon) for r in rows}
 
 
+def test_no_surrogate_name_is_a_name_of_the_corpus(spark):
+    people = [f"{g} {f}" for g in pii.GIVEN["latin", "male"] for f in pii.FAMILY["latin"]]
+    texts = [f"Mr {p} and Dr {p} came." for p in people] + [f"Mr {f} went." for f in pii.FAMILY["latin"]] + ["Mr Joe Smith", "Herr Smith"]
+    found = replaced(spark, texts)
+    given = [n for t, _ in found.values() for n in re.findall(r"(?:Mr|Dr|Herr) (.+?)(?= and| came| went|$)", t)]
+    assert len(given) == len(set(given)) == 2 * len(people) + 18
+    assert not set(given) & {*people, *pii.FAMILY["latin"], "Joe Smith", "Smith"}
+
+
 def test_no_documents_and_another_key(spark):
     assert pii.replace_pii(spark.createDataFrame([], PII), "k").collect() == []
     assert replaced(spark, ["at 10.2.3.4 today"], "a") != replaced(spark, ["at 10.2.3.4 today"], "b")

@@ -19,7 +19,8 @@ FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Mlle|госпожа|г-
 NEUTRAL = "Dr|Prof"
 KINDS = {
     "email": r"(?<![\w.%+@-])[A-Za-z0-9][\w.%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w@])",
-    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32}(?:[0-9a-f]{8}){0,4})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32}(?:[0-9a-f]{8}){0,4}|"
+    r"[0-9A-F]{32}(?:[0-9A-F]{8}){0,4})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![\w])|"
@@ -84,6 +85,7 @@ def canonical(kind: Column, mention: Column) -> Column:
         F.when(kind == "email", F.lower(mention))
         .when(kind.isin("phone", "ssn"), digits)
         .when(kind == "card", F.when(digits.rlike(CARDS) & luhn(digits), digits))
+        .when((kind == "secret") & mention.rlike("^[0-9A-F]{32,}$"), F.lower(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "name", F.concat(gender, F.lit(":"), name))
         .otherwise(mention)
@@ -170,7 +172,7 @@ def render(kind: Column, mention: Column, new: Column) -> Column:
     shouted = (F.upper(mention) == mention) & mention.rlike("[A-Z]")
     return (
         F.when(kind.isin("phone", "ssn", "card"), longer).when(kind == "iban", spaced).when(kind == "name", F.concat(title, new))
-        .when((kind == "email") & shouted, F.upper(new)).otherwise(new)
+        .when(kind.isin("email", "secret") & shouted, F.upper(new)).otherwise(new)
     )
 
 

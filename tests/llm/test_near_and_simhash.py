@@ -106,3 +106,21 @@ def test_forest_reaches_over_others():
     sets = [frozenset(range(i, i + 100)) for i in (0, 8, 16, 24, 400)]
     names = [bytes([i]) for i in range(5)]
     assert len(near_text.forest(names, sets, 0.8)) == 3
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "PART", 12_000)
+    texts = []
+    for group in range(3):
+        base = words(400, 70 + group).split()
+        for copy in range(25):
+            own = list(base)
+            for place in np.random.default_rng(copy).choice(range(8, 390, 9), 8 if copy else 0, replace=False):
+                own[place] = f"x{group}-{copy}-{place}"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    sets = [frozenset(near_text.shingle_hashes(t).tolist()) for t in texts]
+    links = [(a, b) for a in range(75) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert all(0 in {a % 25, b % 25} for a, b in links) and len(links) == 72  # alike to the base only
+    kept = near_text.drop_near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 25, 50]

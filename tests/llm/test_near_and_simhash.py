@@ -124,3 +124,15 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert all(0 in {a % 25, b % 25} for a, b in links) and len(links) == 72  # alike to the base only
     kept = near_text.drop_near_duplicates(docs_of(spark, rows)).collect()
     assert sorted(r.doc_id for r in kept) == [0, 25, 50]
+
+
+def test_a_hot_key_is_summed_up_before_it_is_shuffled(spark):
+    filed = spark.range(4_000).selectExpr("if(id % 2 = 0, -1, id) key", "unhex(md5(cast(id as string))) digest", "id % 3 > 0 own")
+    filed = filed.unionByName(spark.createDataFrame([(5_000, b"a", True), (5_000, b"b", False), (5_001, b"a", True), (5_001, b"b", True), (5_002, b"a", False), (5_002, b"c", False)], "key bigint, digest binary, own boolean"))
+    found = near_text._shared(filed)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # no Python process holds the texts of a key
+    by_bucket = {}
+    for r in found.collect():
+        by_bucket.setdefault(r.bucket, []).append(bytes(r.digest))
+    assert sorted(map(len, by_bucket.values())) == [2, 2_000]
+    assert sorted(min(by_bucket.values(), key=len)) == [b"a", b"b"]

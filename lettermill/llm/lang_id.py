@@ -2,14 +2,14 @@
 
 Texts become normalised TF-IDF vectors of hashed n-grams (of one to three bytes of lower-case letters). A bounded sample of each language's
 labelled texts is clustered into several centroids by spherical k-means, one language per task. A text gets the language of the
-centroid with the largest cosine, and is rejected if that is below what the centroid's own texts show. Prediction is one pass over the
-texts, without a shuffle.
+centroid with the largest cosine, and is rejected if that is below what the labelled texts, cut to its length, show: a short text is
+far from every centroid, whatever its language. Prediction is one pass over the texts, without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,10 @@ from lettermill.session import materialize
 DIM = 4096
 #: Labelled texts of a language that the classifier is fitted on, about, and clusters of a language.
 SAMPLE, CLUSTERS, ROUNDS = 1_000, 4, 8
-#: A text is rejected below this part of the cosine that all but one in a hundred of its centroid's texts reach.
-REJECT = 0.08
+#: A text is rejected below this part of the cosine that all but one in two hundred labelled texts of its length reach.
+REJECT, QUANTILE = 0.9, 0.005
+#: Characters that labelled texts are cut to; lengths that fewer texts have set no limit.
+LENGTHS, LEAST_TEXTS = [8 << i for i in range(10)], 20
 UNKNOWN = "und"
 _BLOCK, _DOCS = 1 << 20, 256
 
@@ -70,8 +72,8 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def cluster(v: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out seeds: (centroids, low cosine of each one's members)."""
+def cluster(v: np.ndarray, clusters: int) -> np.ndarray:
+    """Spherical k-means from spread-out seeds: centroids."""
     seeds = [0]
     for _ in range(min(clusters, len(v)) - 1):
         seeds.append(int((v @ v[seeds].T).max(axis=1).argmin()))
@@ -80,18 +82,19 @@ def cluster(v: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
         nearest = (v @ centre.T).argmax(axis=1)
         sums = np.stack([v[nearest == i].sum(axis=0) if (nearest == i).any() else centre[i] for i in range(len(centre))])
         centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    cosine = v @ centre.T
-    nearest = cosine.argmax(axis=1)
-    low = [np.quantile(cosine[nearest == i, i], 0.01) if (nearest == i).any() else 0.0 for i in range(len(centre))]
-    return centre, np.array(low)
+    return centre
 
 
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    low: np.ndarray
     idf: np.ndarray
+    grams: np.ndarray  # log2 of n-grams, rising
+    limits: np.ndarray  # the least cosine of a text of so many
+
+    def limit(self, counts: np.ndarray) -> np.ndarray:
+        return np.interp(np.log2(np.maximum(counts.sum(axis=1, dtype=np.float64), 1.0)), self.grams, self.limits)
 
 
 def _sample(labelled: DataFrame, sample: int) -> DataFrame:
@@ -113,9 +116,11 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS
         for batch in batches:
             for row, counts in vectors_of(batch.column("text")):
                 cells = pa.array([c.tobytes() for c in counts.astype("<f4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(row, len(counts)), cells], names=["lang", "counts"])
+                columns = [batch.column(c).slice(row, len(counts)) for c in ("lang", "start")]
+                yield pa.RecordBatch.from_arrays([*columns, cells], names=["lang", "start", "counts"])
 
-    vectors = materialize(_sample(own, sample).mapInArrow(count, "lang string, counts binary"), "language-sample")
+    counted = _sample(own, sample).select("lang", F.substring("text", 1, LENGTHS[-1]).alias("start"), "text")
+    vectors = materialize(counted.mapInArrow(count, "lang string, start string, counts binary"), "language-sample")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, dtype=np.int64), 0
@@ -135,13 +140,35 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("counts")
         counts = np.stack([np.frombuffer(c, dtype="<f4") for c in group["counts"]])
-        centre, low = cluster(weigh(counts, idf), clusters)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centre], "low": low})
+        centre = cluster(weigh(counts, idf), clusters)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centre]})
 
-    found = vectors.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, low double").collect()
-    found.sort(key=lambda r: (r["lang"], r["low"], r["centroid"]))
+    found = vectors.select("lang", "counts").groupBy("lang").applyInPandas(fit, "lang string, centroid binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["centroid"]))
     centroids = np.stack([np.frombuffer(r["centroid"], dtype="<f4") for r in found])
-    return Model([r["lang"] for r in found], centroids, np.array([r["low"] for r in found]), idf.astype(np.float32))
+    model = Model([r["lang"] for r in found], centroids, idf.astype(np.float32), np.zeros(1), np.zeros(1))
+    return _limited(model, vectors.select("start"))
+
+
+def _limited(model: Model, starts: DataFrame) -> Model:
+    """``model`` with the limits that labelled texts show, cut to each of ``LENGTHS``. Below a single n-gram nothing is too far."""
+    sent = starts.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("start").to_pylist()
+            for length in LENGTHS:
+                cut = pa.array([t[:length] for t in texts if len(t) >= length], pa.string())
+                for _, counts in vectors_of(cut):
+                    cosine = (weigh(counts, sent.value.idf) @ sent.value.centroids.T).max(axis=1).astype(float)
+                    columns = [pa.array([length] * len(counts), pa.int32()), pa.array(counts.sum(axis=1, dtype=np.float64)), pa.array(cosine)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["length", "grams", "cosine"])
+
+    lettered = starts.mapInArrow(measure, "length int, grams double, cosine double").where("grams > 0")
+    low = lettered.groupBy("length").agg(F.median("grams").alias("grams"), F.percentile("cosine", QUANTILE).alias("low"), F.count("*").alias("n"))
+    rows = sorted((r["grams"], r["low"]) for r in low.where(F.col("n") >= LEAST_TEXTS).collect())
+    grams, limits = np.array([(0.0, 0.0), *((np.log2(max(g, 2.0)), REJECT * c) for g, c in rows)]).T
+    return replace(model, grams=grams, limits=limits)
 
 
 def judge(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -153,7 +180,7 @@ def judge(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndar
         top = np.clip(cosine[np.arange(len(best)), best], 0.0, 1.0)
         end = row + len(best)
         names[row:end] = [model.languages[i] for i in best]
-        cosines[row:end], rejected[row:end] = top, top < REJECT * model.low[best]
+        cosines[row:end], rejected[row:end] = top, top < model.limit(counts)
     return names.tolist(), cosines, rejected
 
 

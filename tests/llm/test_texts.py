@@ -100,6 +100,19 @@ def test_languages_are_told_apart(spark):
     assert all(0.0 <= r.score <= 1.0 for r in found.values())
 
 
+def test_texts_far_from_every_language_are_rejected(spark):
+    rows = [(i, sentence(lang, i, 10 + i % 90), lang) for i, lang in enumerate(["en", "de"] * 150)]
+    model = lang_id.train_on_rest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    thai, chinese = "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำ ", "中文是世界上使用人数最多的语言之一，分布在中国大陆以及台湾。"
+    russian, greek = "Русский язык является одним из восточнославянских языков. ", "Η ελληνική γλώσσα ανήκει στην ινδοευρωπαϊκή οικογένεια. "
+    draw = random.Random(5)
+    far = [t * n for t in (thai, chinese, russian, greek) for n in (1, 4, 40)]
+    far += ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (40, 160, 640, 2_560) for _ in range(5)]
+    clean = [sentence(lang, 900 + n, n) for lang in WORDS for n in (3, 5, 10, 20, 40, 80, 400, 4_000)] + ["der", "and"]
+    assert lang_id.judge(pa.array(far), model)[2].all()
+    assert not lang_id.judge(pa.array(clean), model)[2].any()
+
+
 def test_held_out_are_not_learned_from(spark):
     rows = [(i, sentence("en", i), "en") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

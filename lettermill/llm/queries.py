@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import chat, decontamination, html_text, lang_id, packing, pii, simhash, token_counts, top_k, url_filter
+from lettermill.llm import (
+    chat, decontamination, html_text, lang_id, packing, phrases, pii, quality, simhash, token_counts, top_k, url_filter, vector_codes,
+)
 from lettermill.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +197,102 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), cache, tokenizer_path(), limit=WINDOW)
 
 
+# --- 11: vector codes
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, after four rounds over four codebooks of 256 entries."""
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
+
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The plain rounds: every part against every entry."""
+    ctes = [
+        """rows AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""parts AS MATERIALIZED (
+  SELECT row, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v FROM rows, range({parts}) AS p(part))""",
+        f"book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM parts WHERE row <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"""near{i} AS MATERIALIZED (
+  SELECT row, part, min(struct_pack(
+    d := CAST(list_sum(list_transform(range(1, len(p.v) + 1), lambda j: (p.v[j] - b.v[j]) * (p.v[j] - b.v[j]))) AS BIGINT), e := b.entry)) AS best
+  FROM parts p JOIN book{i} b USING (part) GROUP BY row, part)"""
+        )
+        if i < rounds:
+            ctes.append(
+                f"""cells{i} AS (
+  SELECT part, entry, j, floor(sum(x) / count(*)) AS x FROM (
+    SELECT part, best.e AS entry, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS x FROM near{i} JOIN parts USING (row, part))
+  GROUP BY part, entry, j)"""
+            )
+            ctes.append(
+                f"""book{i + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.v, b.v) AS v FROM book{i} b
+  LEFT JOIN (SELECT part, entry, list(CAST(x AS BIGINT) ORDER BY j) AS v FROM cells{i} GROUP BY part, entry) n USING (part, entry))"""
+            )
+    ctes.append(
+        f"""codes AS (
+  SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY row)"""
+    )
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM codes JOIN rows USING (row)"""
+
+
+OP11_SQL = _vector_codes_sql()
+
+# --- 12: quality rules
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, the classifier being fitted on the labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+# --- 13: phrase collocations
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+grams AS (
+  SELECT lang, w[i : i + k - 1] AS words, count(*) AS f FROM starts, range(1, 5) AS sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE len(words) = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, words, f AS a FROM grams WHERE len(words) > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.words, c.a, k, x.f AS l, y.f AS r,
+         CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.words = c.words[1 : k] JOIN grams y ON y.lang = c.lang AND y.words = c.words[k + 1 :]),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, words[i : i + m - 1] AS words, max(a) AS held
+  FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(words))) AS m FROM candidates))
+  GROUP BY ALL),
+kept AS (
+  SELECT w.lang, array_to_string(w.words, ' ') AS phrase, a, l, r, score FROM worst w LEFT JOIN inside USING (lang, words)
+  WHERE held IS NULL OR 100 * CAST(held AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -206,8 +304,13 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op3_url_filter": op3_url_filter,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_quality": op12_quality,
+    "op13_collocations": op13_collocations,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op8_top_k": OP8_SQL, "op10_chat_format": OP10_SQL}
+SQL = {
+    "op3_url_filter": OP3_SQL, "op8_top_k": OP8_SQL, "op10_chat_format": OP10_SQL, "op11_vector_codes": OP11_SQL, "op13_collocations": OP13_SQL,
+}
 
 
 def queries() -> dict[str, Query]:

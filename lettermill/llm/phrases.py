@@ -27,7 +27,7 @@ from lettermill.session import materialize
 NO_LANG = "und"
 WORDS = ["w1", "w2", "w3", "w4"]
 #: Bytes of text whose windows are counted together before they leave a task; a longer text is counted on its own.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Bits of the map of frequent pairs: ``BITS_PER_PAIR`` for each, and 64 MB at most.
 BITS_PER_PAIR, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 # An odd multiplier, and the number of bits of one bitmap of Spark's bitmap_construct_agg.

@@ -27,7 +27,9 @@ from lettermill.session import materialize
 NO_LANG = "und"
 WORDS = ["w1", "w2", "w3", "w4"]
 #: Bytes of text whose windows are counted together before they leave a task; a longer text is counted on its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Rows of a batch that goes back to the JVM; it holds a whole batch outside its heap.
+ROWS = 16_384
 #: Bits of the map of frequent pairs: ``BITS_PER_PAIR`` for each, and 64 MB at most.
 BITS_PER_PAIR, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 # An odd multiplier, and the number of bits of one bitmap of Spark's bitmap_construct_agg.
@@ -50,6 +52,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
         yield from ((b.column("text"), b.column("lang")) for b in pa.Table.from_batches(held).combine_chunks().to_batches())
 
 
+def _batches(arrays: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(arrays, names=names)
+    yield from (whole.slice(at, ROWS) for at in range(0, len(whole), ROWS))
+
+
 class _Words:
     """The words of some texts in order: codes into a dictionary, their language, and whether the next word is of the same piece."""
 
@@ -83,14 +90,14 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for texts, langs in _blocks(batches):
         words = _Words(texts, langs)
         keys, counts = np.unique(words.pair_keys()[words.joined], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["pair", "n"])
+        yield from _batches([pa.array(keys.view(np.int64)), pa.array(counts)], ["pair", "n"])
 
 
 def _distinct_rows(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """First places and counts of the distinct rows of small non-negative codes below ``sizes``."""
-    key, distinct = columns[0], sizes[0]
+    key = columns[0]
     for column, size in zip(columns[1:], sizes[1:], strict=True):
-        key, distinct = np.unique(key * size + column, return_inverse=True)[1], 0
+        key = np.unique(key * size + column, return_inverse=True)[1]
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     return first, counts
 
@@ -113,7 +120,7 @@ def _count_windows(frequent: object):  # noqa: ANN202
             taken = [c[first] - 1 for c in columns]
             arrays = [words.dictionary.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in taken]
             lang = words.langs.take(pa.array(words.lang[first])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang, *arrays, pa.array(counts)], names=["lang", *WORDS, "n"])
+            yield from _batches([lang, *arrays, pa.array(counts)], ["lang", *WORDS, "n"])
 
     return run
 

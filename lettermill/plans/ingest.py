@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lettermill.functions.vectors import round_vector
@@ -17,6 +17,7 @@ from lettermill.operators import sync as S
 from lettermill.operators.merge import merge_duplicates
 from lettermill.operators.normalize import has_rare_dates, normalize_messages, repair_rare_dates, to_document
 from lettermill.session import drop_folder, fresh_dir, materialize
+from lettermill.sinks import memberships as M
 from lettermill.sinks import upserts as U
 from lettermill.sinks.store import Store
 from lettermill.sources.mailbox import folder_selection, normalize_folders
@@ -166,41 +167,50 @@ def persist_messages(
     """
     moment = F.lit(observed_at).cast("timestamp")
     scratch = fresh_dir(store.spark, "ingest")
-    normalized = materialize(normalize_messages(fetched, strict, rare_dates=False).ok, "normalized", scratch)
+    seen: dict[str, Observation] = {}
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        """Rows are counted by the job that writes them."""
+        seen[name] = Observation(name)
+        return df.observe(seen[name], F.count(F.lit(1)).alias("rows"))
+
+    ok = normalize_messages(counted(fetched, "total_fetched"), strict, rare_dates=False).ok
+    normalized = materialize(counted(ok, "total_normalized"), "normalized", scratch)
     if has_rare_dates(normalized):
         normalized = repair_rare_dates(normalized)
     merged = merge_duplicates(normalized).ok
-    incoming = materialize(to_document(merged), "incoming", scratch)
+    incoming = materialize(counted(to_document(merged), "total_deduped"), "incoming", scratch)
 
-    # The state after the upsert, as far as memberships need it: stored rows of other keys, and the batch.
-    # Neither side is joined in full; with a small batch its keys are simply broadcast.
-    # Of stored rows only the folders and UIDs are read, picked before the join so that the scan is pruned to them.
+    # The batch as it will be stored. Folders are rows of a narrow table: what vanished, and who is left without a folder, is found
+    # there, and of the stored documents only the type is read.
     keys = incoming.select("document_key")
-    slim = F.struct("metadata.folders", "metadata.folder_uids").alias("metadata")
     batch = incoming
     if merge_metadata:
         same = store.read("vector_documents", store.touched(keys)).join(keys, "document_key", "left_semi")
-        batch = U.upsert_documents(same, incoming, observed_at, merge_metadata)
-    stored = store.read("vector_documents").select("document_key", "source_type", slim)
-    batch = batch.select("document_key", "source_type", slim)
-    after = stored.join(keys, "document_key", "left_anti").unionByName(batch)
+        batch = materialize(U.upsert_documents(same, incoming, observed_at, merge_metadata).drop("inserted"), "batch", scratch)
+    purged = batch.where(U.is_orphan()).select("document_key")
     if server_uids is None:
         missing = store.spark.createDataFrame([], "document_key string, folder string, folder_ord int, uid long")
     else:
-        memberships = S.current_folder_uids(after, folders)
-        missing = materialize(S.reconcile_missing(memberships, server_uids, plan), "missing", scratch)
-    # Only a document of the batch, or one that has just lost a folder, can have become an orphan.
-    purged = batch.where(U.is_orphan()).select("document_key")
-    if server_uids is not None:
-        gone = missing.groupBy("document_key").agg(F.collect_set("folder").alias("gone"))
-        left = F.array_except(F.coalesce("metadata.folders", F.array().cast("array<string>")), "gone")
-        emptied = after.join(gone, "document_key").where((F.col("source_type") == "email") & (F.size(left) == 0))
-        purged = purged.union(emptied.select("document_key")).distinct()
-    purged = materialize(purged, "purged", scratch)
+        after = store.stored("document_folders").join(keys, "document_key", "left_anti").unionByName(M.memberships_of(batch))
+        with_uid = after.where(F.col("uid").isNotNull()).select("document_key", "folder", "uid")
+        if folders is not None:
+            with_uid = with_uid.where(F.col("folder").isin(*folders))
+        missing = S.reconcile_missing(with_uid, server_uids, plan)
+        missing = materialize(counted(missing, "reconciled_missing"), "missing", scratch)
+        # Only a document of the batch, or one that has just lost a folder, can have become an orphan.
+        losers = missing.select("document_key").distinct()
+        left = after.where(F.col("ord").isNotNull()).join(losers, "document_key", "left_semi")
+        left = left.join(missing, ["document_key", "folder"], "left_anti").select("document_key")
+        types = store.stored("vector_documents").select("document_key", "source_type").join(keys, "document_key", "left_anti")
+        emails = types.unionByName(batch.select("document_key", "source_type")).where("source_type = 'email'")
+        emptied = losers.join(left, "document_key", "left_anti").join(emails, "document_key", "left_semi")
+        purged = purged.union(emptied).distinct()
+    purged = materialize(counted(purged, "deleted_stale_documents"), "purged", scratch)
 
     # Only documents without a current vector are embedded, and only their vectors are joined with stored ones.
-    embedding_buckets = store.touched(keys, purged)
-    old_vectors = store.read("vector_embeddings", embedding_buckets)
+    document_buckets = store.touched(keys, purged)
+    old_vectors = store.read("vector_embeddings", document_buckets)
     stale = E.stale_documents(incoming, old_vectors, embedder.provider, embedder.model_name, embedder.dimensions)
     vectors = embedder(stale.select("document_key", "searchable_text"))
     vectors = vectors.join(incoming.select("document_key", "content_checksum"), "document_key").withColumn(
@@ -209,7 +219,8 @@ def persist_messages(
     same_vectors = old_vectors.join(keys, "document_key", "left_semi")
     upserted = materialize(U.upsert_embeddings(same_vectors, vectors, observed_at), "embeddings", scratch)
 
-    known = store.read("vector_documents", embedding_buckets).select("document_key", F.lit(True).alias("known"))
+    old_documents = store.stored("vector_documents", document_buckets)
+    known = old_documents.select("document_key", F.lit(True).alias("known"))
     written = upserted.where("updated").select("document_key").distinct().withColumn("written", F.lit(True))
     persisted = (
         incoming.select("document_key", "title")
@@ -224,27 +235,24 @@ def persist_messages(
         )
     )
     persisted = materialize(persisted, "persisted")
-    totals = {
-        "total_fetched": fetched.count(),
-        "total_normalized": normalized.count(),
-        "total_deduped": incoming.count(),
-        "reconciled_missing": missing.count(),
-        "deleted_stale_documents": purged.count(),
-    }
+    names = ["total_fetched", "total_normalized", "total_deduped", "reconciled_missing", "deleted_stale_documents"]
+    totals = {name: seen[name].get.get("rows", 0) if name in seen else 0 for name in names}
     modes = plan.select("folder", "sync_mode", "message_count", "uidvalidity", "uidnext")
     if dry_run:
         drop_folder(store.spark, scratch)
         return IngestReport(totals, modes, persisted, None)
 
     # Untouched rows of a rewritten bucket pass one anti join with the keys of the batch, which is broadcast
-    # when small; only rows of these keys take part in the upsert.
-    changed = materialize(keys.union(missing.select("document_key")).union(purged).distinct(), "changed-keys", scratch)
-    document_buckets = store.touched(changed)
-    old_documents = store.read("vector_documents", document_buckets)
-    affected = old_documents.join(changed, "document_key", "left_semi")
-    affected = U.upsert_documents(affected, incoming, observed_at, merge_metadata).drop("inserted")
-    affected = U.remove_folder_membership(affected, missing).join(purged, "document_key", "left_anti")
-    documents = old_documents.join(changed, "document_key", "left_anti").unionByName(affected)
+    # when small; only rows of these keys take part in the upsert. A run that only takes documents out of folders rewrites no document.
+    rows = batch
+    if not merge_metadata:
+        affected = old_documents.join(keys, "document_key", "left_semi")
+        rows = U.upsert_documents(affected, incoming, observed_at).drop("inserted")
+    documents = old_documents.join(keys, "document_key", "left_anti").unionByName(M.without_memberships(rows))
+    documents = documents.join(purged, "document_key", "left_anti")
+    folder_buckets = store.touched(keys, missing, purged)
+    memberships = M.replace_memberships(store.stored("document_folders", folder_buckets), batch, missing)
+    memberships = memberships.join(purged, "document_key", "left_anti")
 
     embeddings = old_vectors.join(keys.union(purged), "document_key", "left_anti").unionByName(
         upserted.drop("updated").join(purged, "document_key", "left_anti")
@@ -253,10 +261,9 @@ def persist_messages(
     observations = S.present_observations(incoming, run_id, moment).unionByName(
         S.missing_observations(missing, run_id, moment)
     )
-    old_runs = store.read("document_sync_runs", document_buckets)
-    this_run = U.record_document_sync(old_runs.where(F.col("sync_run_id") == run_id), observations, observed_at)
-    runs = old_runs.where(F.col("sync_run_id") != run_id).unionByName(this_run)
-    runs = runs.join(purged, "document_key", "left_anti")
+    # A run writes the history's partition of its own; a replay replaces it.
+    before = store.stored("document_sync_runs").where(F.col("sync_run_id") == run_id)
+    runs = U.record_document_sync(before, observations, observed_at).join(purged, "document_key", "left_anti")
 
     states = cursors.select(
         F.lit(account.user).alias("imap_user"),
@@ -271,8 +278,9 @@ def persist_messages(
     version = store.commit(
         {
             "vector_documents": (documents, document_buckets),
-            "vector_embeddings": (embeddings, embedding_buckets),
-            "document_sync_runs": (runs, document_buckets),
+            "document_folders": (memberships, folder_buckets),
+            "vector_embeddings": (embeddings, document_buckets),
+            "document_sync_runs": (runs, [run_id]),
             "mailbox_sync_state": (U.upsert_sync_state(store.read("mailbox_sync_state"), states, observed_at), None),
         }
     )

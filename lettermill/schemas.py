@@ -31,6 +31,10 @@ DOCUMENTS = _struct(
     content_checksum=STRING, metadata=METADATA, created_at=TIME, updated_at=TIME,
 )
 
+DOCUMENT_FOLDERS = _struct(
+    document_key=STRING, folder=STRING, ord=INT, uid=LONG, flags=STRINGS, keywords=STRINGS,
+)
+
 EMBEDDINGS = _struct(
     document_key=STRING, dimensions=INT, embedding=T.ArrayType(T.DoubleType()), content_checksum=STRING,
     created_at=TIME, updated_at=TIME, provider=STRING, model_name=STRING,

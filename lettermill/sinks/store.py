@@ -3,7 +3,8 @@
 Plain parquet has no MERGE and cannot be overwritten while it is read. A write therefore goes to new
 folders, and a commit publishes one new version of the folder list; readers of the old version are not
 disturbed, and a job that dies before its commit leaves the tables as they were. Big tables are laid out by
-a hash bucket of their key, so that a small batch rewrites the buckets it touches and no others.
+a hash bucket of their key, so that a small batch rewrites the buckets it touches and no others. Folder memberships of
+documents are a narrow table of their own, and the run history is append-only: a partition for each run.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lettermill import schemas
+from lettermill.sinks import memberships as M
 
 BUCKET = "key_bucket"
 _LIST_SCHEMA = "table string, bucket int, path string"
@@ -29,12 +31,14 @@ class TableSpec:
     schema: T.StructType
     key: str | None = None  # bucketed by this column; None for tables that are replaced as a whole
     partition_by: tuple[str, ...] = ()
+    append_by: str | None = None  # append-only: a write replaces the partitions of this column that it has rows of
 
 
 TABLES: dict[str, TableSpec] = {
     "vector_documents": TableSpec(schemas.DOCUMENTS, "document_key"),
     "vector_embeddings": TableSpec(schemas.EMBEDDINGS, "document_key", ("provider", "model_name")),
-    "document_sync_runs": TableSpec(schemas.SYNC_RUNS, "document_key"),
+    "document_folders": TableSpec(schemas.DOCUMENT_FOLDERS, "document_key"),
+    "document_sync_runs": TableSpec(schemas.SYNC_RUNS, append_by="sync_run_id"),
     "mailbox_sync_state": TableSpec(schemas.SYNC_STATE),
     "task_areas": TableSpec(schemas.TASK_AREAS),
     "task_projects": TableSpec(schemas.TASK_PROJECTS),
@@ -64,8 +68,8 @@ class Store:
 
     def version(self) -> int:
         """The newest published version, 0 before the first."""
-        published = [int(name[1:]) for name in self._children(f"{self.root}/current") if name.startswith("v")]
-        for version in sorted(published, reverse=True):
+        found = [int(name[1:]) for name in self._children(f"{self.root}/current") if name.startswith("v")]
+        for version in sorted(found, reverse=True):
             if "_SUCCESS" in self._children(f"{self.root}/current/v{version}"):
                 return version
         return 0
@@ -77,7 +81,7 @@ class Store:
             rows = self.spark.read.schema(_LIST_SCHEMA).json(f"{self.root}/current/v{version}").collect()
             folders: dict[str, dict[int, str]] = {}
             for row in rows:
-                if row.table:
+                if row.table and not TABLES[row.table].append_by:
                     folders.setdefault(row.table, {})[row.bucket] = row.path
             self._known = (version, folders)
         return self._known[0], {table: dict(by_bucket) for table, by_bucket in self._known[1].items()}
@@ -87,8 +91,8 @@ class Store:
         if self.version() == 0:
             self._publish(1, {})
 
-    def _publish(self, version: int, folders: dict[str, dict[int, str]]) -> None:
-        rows = [(t, b, p) for t, by_bucket in folders.items() for b, p in by_bucket.items()] or [("", -1, "")]
+    def _publish(self, version: int, folders: dict[str, dict[int, str]], appended: list[tuple[str, int, str]] = ()) -> None:
+        rows = [(t, b, p) for t, by_bucket in folders.items() for b, p in by_bucket.items()] + list(appended) or [("", -1, "")]
         # One file per version and an error if the version exists: two writers cannot both win.
         self.spark.createDataFrame(rows, _LIST_SCHEMA).coalesce(1).write.json(f"{self.root}/current/v{version}")
 
@@ -101,31 +105,67 @@ class Store:
         return [r[0] for r in reduce(DataFrame.union, buckets).distinct().collect()]
 
     def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        """A table of the current version, or only some of its buckets. Columns that older files lack are null."""
+        """A table of the current version, or only some of its buckets. Columns that older files lack are null.
+
+        Documents have the folders of ``document_folders`` in their metadata. Observations are those of published runs whose document
+        is still the one that was observed: deleting a document deletes its history, and a later one of the same key has its own.
+        """
+        if table == "vector_documents":
+            return M.with_memberships(self.stored(table, buckets), self.stored("document_folders", buckets))
+        if table == "document_sync_runs":
+            documents = self.stored("vector_documents").select("document_key", F.col("created_at").alias("_since"))
+            seen = self.stored(table)
+            alive = (seen["document_key"] == documents["document_key"]) & (seen["created_at"] >= documents["_since"])
+            return seen.join(documents, alive, "left_semi")
+        return self.stored(table, buckets)
+
+    def stored(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of one table as they are written, read by a single scan however many commits wrote them."""
         spec = TABLES[table]
+        if spec.append_by:
+            return self._published(table, spec)
         by_bucket = self._current()[1].get(table, {})
         paths = [p for b, p in by_bucket.items() if buckets is None or b in buckets]
         if not paths:
             return self.spark.createDataFrame([], spec.schema)
-        reader = self.spark.read.schema(spec.schema)
-        parts: dict[str, list[str]] = {}
-        for path in paths:
-            parts.setdefault(path.split("/key_bucket=")[0], []).append(path)
-        frames = [reader.option("basePath", base).parquet(*p) for base, p in parts.items()]
-        return reduce(DataFrame.unionByName, [f.select(*spec.schema.names) for f in frames])
+        reader = self.spark.read.schema(spec.schema).option("basePath", f"{self.root}/{table}")
+        return reader.parquet(*paths).select(*spec.schema.names)
+
+    def _published(self, table: str, spec: TableSpec) -> DataFrame:
+        """Rows of the partitions that a published version names. Each version names its own, so no list of all runs is kept."""
+        if not self._children(f"{self.root}/{table}"):
+            return self.spark.createDataFrame([], spec.schema)
+        rows = self.spark.read.schema(spec.schema).parquet(f"{self.root}/{table}").select(*spec.schema.names)
+        newest = self.version()
+        versions = [name for name in self._children(f"{self.root}/current") if name.startswith("v") and int(name[1:]) <= newest]
+        named = self.spark.read.schema(_LIST_SCHEMA).json([f"{self.root}/current/{name}" for name in versions])
+        named = named.where(F.col("table") == table).select(F.col("path").alias("_named"))
+        return rows.join(named, F.col(spec.append_by) == F.col("_named"), "left_semi")
 
     def commit(self, changes: dict[str, tuple[DataFrame, list[int] | None]]) -> int:
         """Write the new content of tables and publish all of it at once.
 
-        ``changes`` maps a table to its new rows and the buckets these rows fully replace (None for all).
+        ``changes`` maps a table to its new rows and the buckets these rows fully replace (None for all). Documents that come without
+        their ``document_folders`` bring them in their metadata. For an append-only table the values of the partitions are given.
         """
         version, folders = self._current()
+        changes = dict(changes)
+        if "vector_documents" in changes:
+            rows, buckets = changes["vector_documents"]
+            changes.setdefault("document_folders", (M.memberships_of(rows), buckets))
+            changes["vector_documents"] = (M.without_memberships(rows), buckets)
+        appended = [(t, -1, value) for t, (_, values) in changes.items() if TABLES[t].append_by for value in values]
 
         def write(table: str) -> dict[int, str]:
             rows, buckets = changes[table]
             spec = TABLES[table]
-            folder = f"{self.root}/{table}/{version + 1}-{uuid.uuid4().hex}"
             rows = rows.select(*spec.schema.names)
+            if spec.append_by:
+                # Only the partitions of these values are replaced: a retry of a run replaces what it has written before.
+                target = rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                target.partitionBy(spec.append_by).parquet(f"{self.root}/{table}")
+                return {}
+            folder = f"{self.root}/{table}/write={version + 1}-{uuid.uuid4().hex}"
             if spec.key is None:
                 rows.write.parquet(folder)
                 return {0: folder}
@@ -142,6 +182,6 @@ class Store:
         # The tables are written side by side; each write is a Spark job of its own.
         with ThreadPoolExecutor(max_workers=len(changes)) as pool:
             written = list(pool.map(inheritable_thread_target(self.spark)(write), changes))
-        folders.update(zip(changes, written, strict=True))
-        self._publish(version + 1, folders)
+        folders.update((table, by_bucket) for table, by_bucket in zip(changes, written, strict=True) if not TABLES[table].append_by)
+        self._publish(version + 1, folders, appended)
         return version + 1

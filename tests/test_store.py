@@ -1,8 +1,11 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from lettermill import schemas
 from lettermill.operators.embed import stale_documents
+from lettermill.sinks import memberships
 from lettermill.sinks import upserts as U
 from lettermill.sinks.store import TABLES
 
@@ -116,3 +119,104 @@ def test_lookup_of_unknown_document(spark):
     assert [r.document_key for r in U.unknown_documents(keys, docs).collect()] == ["zz"]
     with pytest.raises(Exception, match="unknown document_key zz"):
         U.lookup_documents(keys, docs).collect()
+
+
+def mail(spark, rows):
+    """Documents from (key, folders, uids, flags)."""
+    schema = f"document_key string, folders array<string>, uids {schemas.UID_MAP.simpleString()}, flags {schemas.TERM_MAP.simpleString()}"
+    given = spark.createDataFrame(rows, schema)
+    own = {"folders": F.col("folders"), "folder_uids": F.col("uids"), "folder_flags": F.col("flags")}
+    fields = [own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.METADATA.fields]
+    rows = documents(spark, []).schema
+    values = {"metadata": F.struct(*fields), "source_type": F.lit("email"), "created_at": F.lit(THEN).cast("timestamp")}
+    return given.select(*[values.get(f.name, F.col("document_key") if f.name == "document_key" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.fields])
+
+
+def folders_of(frame):
+    return {r.document_key: r.metadata and (r.metadata.folders, r.metadata.folder_uids, r.metadata.folder_flags) for r in frame.collect()}
+
+
+def test_memberships_there_and_back(spark, store):
+    rows = [
+        ("a", ["INBOX", "Archive"], {"INBOX": 1, "Archive": 2}, {"Archive": ["x"]}), ("b", [], {}, None), ("c", None, None, None),
+        ("d", ["Z", "A", "Z"], {"A": None, "only-uid": 7}, {"only-flag": []}),
+    ]
+    given = mail(spark, rows).unionByName(documents(spark, ["note"]))
+    store.commit({"vector_documents": (given, None)})
+    assert folders_of(store.read("vector_documents")) == {
+        "a": (["INBOX", "Archive"], {"INBOX": 1, "Archive": 2}, {"Archive": ["x"]}), "b": ([], {}, None), "c": (None, None, None),
+        "d": (["Z", "A"], {"only-uid": 7}, {"only-flag": []}), "note": None,
+    }
+    stored = store.stored("vector_documents").where("metadata is not null").select("metadata.folders", "metadata.folder_uids").collect()
+    assert all(not r.folders and not r.folder_uids for r in stored), "folders are stored once, as rows"
+
+
+def test_removing_memberships_writes_no_document(spark, store):
+    many = [(f"k{i}", ["INBOX", "Archive"], {"INBOX": i, "Archive": i}, None) for i in range(20)]
+    store.commit({"vector_documents": (mail(spark, many), None)})
+    before = store._current()[1]["vector_documents"]
+    missing = spark.createDataFrame([("k3", "INBOX"), ("k3", "INBOX"), ("k5", "Archive")], "document_key string, folder string")
+    touched = store.touched(missing)
+    after = memberships.replace_memberships(store.stored("document_folders", touched), mail(spark, []), missing)
+    store.commit({"document_folders": (after, touched)})
+    assert store._current()[1]["vector_documents"] == before
+    found = folders_of(store.read("vector_documents"))
+    assert found["k3"][:2] == (["Archive"], {"Archive": 3}) and found["k5"][0] == ["INBOX"] and found["k4"][0] == ["INBOX", "Archive"]
+
+
+def observed(spark, run, keys, stamp=NOW):
+    rows = [(k, run, True) for k in keys]
+    own = U.backfill_sync_runs(spark.createDataFrame(rows, "document_key string, sync_run_id string, was_present_in_mailbox boolean"))
+    return own.withColumn("created_at", F.lit(stamp).cast("timestamp"))
+
+
+def files_below(path):
+    return sorted(str(p) for p in pathlib.Path(path.removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_history_is_append_only(spark, store):
+    store.commit({"vector_documents": (documents(spark, ["a", "b"]), None)})
+    store.commit({"document_sync_runs": (observed(spark, "run/1", ["a", "b"]), ["run/1"])})
+    first = files_below(f"{store.root}/document_sync_runs")
+    store.commit({"document_sync_runs": (observed(spark, "run-2", ["a"]), ["run-2"])})
+    second = files_below(f"{store.root}/document_sync_runs")
+    assert set(first) < set(second), "old partitions keep their files"
+    # A replay replaces its own partition and no other.
+    store.commit({"document_sync_runs": (observed(spark, "run-2", ["a", "b"]), ["run-2"])})
+    third = files_below(f"{store.root}/document_sync_runs")
+    assert set(first) < set(third) and not (set(second) - set(first)) & set(third)
+    seen = sorted((r.sync_run_id, r.document_key) for r in store.read("document_sync_runs").collect())
+    assert seen == [("run-2", "a"), ("run-2", "b"), ("run/1", "a"), ("run/1", "b")]
+
+
+def test_history_of_an_unpublished_run_is_not_seen(spark, store, monkeypatch):
+    store.commit({"vector_documents": (documents(spark, ["a"]), None)})
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            store.commit({"document_sync_runs": (observed(spark, "run-1", ["a"]), ["run-1"])})
+    store.commit({"document_sync_runs": (observed(spark, "run-2", ["a"]), ["run-2"])})
+    assert [r.sync_run_id for r in store.read("document_sync_runs").collect()] == ["run-2"]
+
+
+def test_history_goes_with_its_document(spark, store):
+    runs = observed(spark, "run-1", ["a", "b"], "2026-01-15 00:00:00")
+    store.commit({"vector_documents": (documents(spark, ["a", "b"]), None), "document_sync_runs": (runs, ["run-1"])})
+    store.commit({"vector_documents": (documents(spark, ["b"]), None)})
+    assert [r.document_key for r in store.read("document_sync_runs").collect()] == ["b"]
+    # A later document of the same key has a history of its own.
+    later = documents(spark, ["a"], NOW).unionByName(documents(spark, ["b"]))
+    store.commit({"vector_documents": (later, None), "document_sync_runs": (observed(spark, "run-2", ["a"]), ["run-2"])})
+    seen = sorted((r.document_key, r.sync_run_id) for r in store.read("document_sync_runs").collect())
+    assert seen == [("a", "run-2"), ("b", "run-1")]
+
+
+def test_one_scan_after_many_commits(spark, store):
+    for i in range(12):
+        one = documents(spark, [f"k{i}"])
+        touched = store.touched(one.select("document_key"))
+        kept = store.stored("vector_documents", touched)
+        store.commit({"vector_documents": (kept.unionByName(one), touched)})
+    rows = store.stored("vector_documents")
+    assert rows.count() == 12 and len(set(p.split("/key_bucket=")[0] for p in store._current()[1]["vector_documents"].values())) > 1
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

@@ -206,3 +206,34 @@ def test_stream_resumes_and_survives_a_replay(spark, store, tmp_path):
     assert sorted(map(str, store.read("vector_documents").drop("updated_at").collect())) == snapshot
     again = {r.imap_folder: (r.last_synced_uid, r.total_emails_in_folder) for r in store.read("mailbox_sync_state").collect()}
     assert again == cursors and store.read("document_sync_runs").count() == 4
+
+
+def test_a_run_that_only_removes_writes_no_document(spark, store):
+    seed(spark, store, [("a", "INBOX", 100), ("both", "INBOX", 99), ("both", "Archive", 8)])
+    before = store._current()[1]
+    status = state(spark, ("INBOX", 1, 999, 101), ("Archive", 1, 999, 9))
+    report = run(store, mail(spark), uids(spark, INBOX=[100], Archive=[8]), status, "run-2", day=12)
+    assert report.totals["reconciled_missing"] == 1 and report.totals["deleted_stale_documents"] == 0
+    after = store._current()[1]
+    for table in ("vector_documents", "vector_embeddings"):
+        assert after[table] == before[table]
+    assert after["document_folders"] != before["document_folders"]
+    assert doc(store, "both").metadata.folders == ["Archive"]
+
+
+def test_mail_is_read_once(spark, store, tmp_path):
+    messages = mail(spark, *[(i, "INBOX", i) for i in range(1, 30)])
+    folder = str(tmp_path)
+
+    def noted(batches):
+        import uuid
+
+        for batch in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write(str(len(batch)))
+            yield batch
+
+    read = messages.mapInArrow(noted, messages.schema)
+    report = run(store, read, uids(spark, INBOX=list(range(1, 30))), state(spark, ("INBOX", 29, 1, 30)), "run-1", folders=("INBOX",))
+    assert report.totals["total_fetched"] == 29
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 29

@@ -2,13 +2,15 @@
 
 Plain parquet has no MERGE and cannot be overwritten while it is read. A write therefore goes to new
 folders, and a commit publishes one new version of the folder list; readers of the old version are not
-disturbed, and a job that dies before its commit leaves the tables as they were. Big tables are laid out by
-a hash bucket of their key, so that a small batch rewrites the buckets it touches and no others. Folder memberships of
-documents are a narrow table of their own, and the run history is append-only: a partition for each run.
+disturbed, and a job that dies before its commit leaves the tables as they were. Big tables are Spark's bucketed tables
+below the store's folder, partitioned by write and bucket: a small batch rewrites the buckets it touches and no others, a read is one scan, and a
+join or aggregation by the key does not shuffle the stored side. Folder memberships of documents are a narrow table of their own, and the
+run history is append-only: a partition for each run.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -21,8 +23,9 @@ from pyspark.sql import types as T
 
 from lettermill import schemas
 from lettermill.sinks import memberships as M
+from lettermill.sinks import upserts as U
 
-BUCKET = "key_bucket"
+BUCKET, WRITE = "key_bucket", "write_id"
 _LIST_SCHEMA = "table string, bucket int, path string"
 
 
@@ -56,6 +59,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 8):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._known: tuple[int, dict[str, dict[int, str]]] = (0, {})
+        self._listed: dict[str, set[str]] = {}  # writes whose partitions this session's catalog has, by table
 
     def _folder(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)  # noqa: SLF001
@@ -97,7 +101,34 @@ class Store:
         self.spark.createDataFrame(rows, _LIST_SCHEMA).coalesce(1).write.json(f"{self.root}/current/v{version}")
 
     def bucket_of(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        """Spark's own bucket of a key, so that a partition of ``key_bucket`` holds files of this bucket alone."""
+        return F.pmod(F.hash(key), F.lit(self.buckets)).cast("int")
+
+    def table_name(self, table: str) -> str:
+        """The name of a bucketed table in the session's catalog; its data stay in the store's folder."""
+        return f"lettermill_{hashlib.md5(self.root.encode()).hexdigest()[:12]}_{table}_{self.buckets}"
+
+    def _layout(self, table: str) -> list[str]:
+        """Columns in the order of the bucketed table: those it is partitioned by come last."""
+        spec = TABLES[table]
+        return [c for c in spec.schema.names if c not in spec.partition_by] + [WRITE, BUCKET, *spec.partition_by]
+
+    def _declare(self, table: str, writes: set[str]) -> str:
+        """Make the table known to the session, with the partitions of the given writes."""
+        spec, name = TABLES[table], self.table_name(table)
+        if table not in self._listed:
+            kinds = {f.name: f.dataType.simpleString() for f in spec.schema.fields} | {WRITE: "string", BUCKET: "int"}
+            columns = ", ".join(f"`{c}` {kinds[c]}" for c in self._layout(table))
+            partitions = ", ".join([WRITE, BUCKET, *spec.partition_by])
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({partitions}) "
+                f"CLUSTERED BY ({spec.key}) SORTED BY ({spec.key}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{table}'"
+            )
+            self._listed[table] = set()
+        if not writes <= self._listed[table]:  # of another session
+            self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+            self._listed[table] |= writes
+        return name
 
     def touched(self, *keys: DataFrame) -> list[int]:
         """The buckets that hold the given keys; a list no longer than ``buckets``."""
@@ -114,7 +145,7 @@ class Store:
             return M.with_memberships(self.stored(table, buckets), self.stored("document_folders", buckets))
         if table == "document_sync_runs":
             documents = self.stored("vector_documents").select("document_key", F.col("created_at").alias("_since"))
-            seen = self.stored(table)
+            seen = U.backfill_sync_runs(self.stored(table))
             alive = (seen["document_key"] == documents["document_key"]) & (seen["created_at"] >= documents["_since"])
             return seen.join(documents, alive, "left_semi")
         return self.stored(table, buckets)
@@ -128,8 +159,12 @@ class Store:
         paths = [p for b, p in by_bucket.items() if buckets is None or b in buckets]
         if not paths:
             return self.spark.createDataFrame([], spec.schema)
-        reader = self.spark.read.schema(spec.schema).option("basePath", f"{self.root}/{table}")
-        return reader.parquet(*paths).select(*spec.schema.names)
+        if spec.key is None:
+            return self.spark.read.schema(spec.schema).parquet(*paths).select(*spec.schema.names)
+        places = [path.removeprefix(f"{self.root}/{table}/{WRITE}=").split(f"/{BUCKET}=") for path in paths]
+        rows = self.spark.table(self._declare(table, {write for write, _ in places}))
+        current = F.concat_ws("/", WRITE, BUCKET).isin([f"{write}/{bucket}" for write, bucket in places])
+        return rows.where(current).select(*spec.schema.names)
 
     def _published(self, table: str, spec: TableSpec) -> DataFrame:
         """Rows of the partitions that a published version names. Each version names its own, so no list of all runs is kept."""
@@ -165,7 +200,8 @@ class Store:
                 target = rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 target.partitionBy(spec.append_by).parquet(f"{self.root}/{table}")
                 return {}
-            folder = f"{self.root}/{table}/write={version + 1}-{uuid.uuid4().hex}"
+            own = f"{version + 1}-{uuid.uuid4().hex}"
+            folder = f"{self.root}/{table}/{WRITE}={own}"
             if spec.key is None:
                 rows.write.parquet(folder)
                 return {0: folder}
@@ -173,8 +209,9 @@ class Store:
             kept = {b: p for b, p in folders.get(table, {}).items() if b not in replaced}
             if replaced:
                 # REBALANCE brings a bucket together and splits it again where it is too large for a task.
-                laid_out = rows.withColumn(BUCKET, self.bucket_of(F.col(spec.key))).hint("rebalance", F.col(BUCKET))
-                laid_out.write.partitionBy(BUCKET, *spec.partition_by).parquet(folder)
+                laid_out = rows.withColumns({WRITE: F.lit(own), BUCKET: self.bucket_of(F.col(spec.key))}).hint("rebalance", F.col(BUCKET))
+                laid_out.select(*self._layout(table)).write.insertInto(self._declare(table, set()))
+                self._listed[table].add(own)
                 names = [name for name in self._children(folder) if name.startswith(f"{BUCKET}=")]
                 kept |= {int(name.split("=")[1]): f"{folder}/{name}" for name in names}
             return kept

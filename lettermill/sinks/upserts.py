@@ -67,7 +67,10 @@ def upsert_embeddings(stored: DataFrame, incoming: DataFrame, now: datetime | st
     """
     key = ["document_key", "provider", "model_name"]
     old, new = stored.alias("old"), incoming.alias("new")
-    on = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in key]
+    # The space is no key of the join but a condition on its pairs, of which a document has a few: stored vectors are bucketed by
+    # their document, and a join by more columns than that would shuffle them.
+    space = lambda side: F.struct(f"{side}.provider", f"{side}.model_name")
+    on = (F.col("old.document_key") == F.col("new.document_key")) & F.array_contains(F.array(space("new")), space("old"))
     given, had = F.col("new.document_key").isNotNull(), F.col("old.document_key").isNotNull()
     same = F.col("old.content_checksum").eqNullSafe(F.col("new.content_checksum")) & F.col(
         "old.dimensions"

@@ -1,5 +1,6 @@
 import pathlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from lettermill import schemas
 from lettermill.operators.embed import stale_documents
 from lettermill.sinks import memberships
 from lettermill.sinks import upserts as U
-from lettermill.sinks.store import TABLES
+from lettermill.sinks.store import TABLES, Store
 
 THEN, NOW = "2026-01-01 00:00:00", "2026-02-01 00:00:00"
 
@@ -108,8 +109,9 @@ def test_backfill(spark):
 def test_older_files_without_a_column_read_as_null(spark, store):
     store.commit({"vector_documents": (documents(spark, ["a"]), None)})
     path = next(iter(store._current()[1]["vector_documents"].values()))
-    narrow = spark.read.parquet(path).drop("source_id")
-    narrow.write.mode("append").parquet(path)
+    file = pathlib.Path(files_below(path)[0])
+    pq.write_table(pq.read_table(file, partitioning=None).drop_columns(["source_id"]), file.with_name(file.name.replace("part-", "old-part-")))
+    spark.catalog.refreshTable(store.table_name("vector_documents"))
     assert store.read("vector_documents").where("source_id is null").count() == 2
 
 
@@ -220,3 +222,48 @@ def test_one_scan_after_many_commits(spark, store):
     rows = store.stored("vector_documents")
     assert rows.count() == 12 and len(set(p.split("/key_bucket=")[0] for p in store._current()[1]["vector_documents"].values())) > 1
     assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def plan_above_scans(frame):
+    """(operators from the root to each table scan), by indentation of the plan."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "FileScan" in line:
+            above, level = [], depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < level:
+                    above.append(lines[j])
+                    level = depth[j]
+            yield line, above
+
+
+def test_upserts_do_not_shuffle_the_stored_side(spark, store):
+    """The joins by key use the buckets; only the batch is brought to them."""
+    store.commit({"vector_documents": (documents(spark, [f"k{i}" for i in range(30)]), None)})
+    vectors = spark.createDataFrame([(f"k{i}", "p", "m", 1, [1.0], "c") for i in range(30)], EMB)
+    stamped = vectors.withColumns({"created_at": F.lit(THEN).cast("timestamp"), "updated_at": F.lit(THEN).cast("timestamp")})
+    store.commit({"vector_embeddings": (stamped, None)})
+    batch = documents(spark, ["k3", "new"], title="new")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = U.upsert_documents(store.stored("vector_documents"), batch, NOW)
+        two = U.upsert_embeddings(store.stored("vector_embeddings"), vectors.limit(3), NOW)
+        for frame in (one, two):
+            [(line, above)] = list(plan_above_scans(frame))
+            assert "Bucketed: true" in line and not any("Exchange" in operator for operator in above)
+        assert one.where("inserted").count() == 1 and one.count() == 31 and two.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_another_session_sees_the_same_store(spark, store):
+    store.commit({"vector_documents": (documents(spark, ["a", "b"]), None)})
+    other = Store(spark.newSession(), store.root, buckets=4)
+    assert other.read("vector_documents").count() == 2
+    spark.sql(f"DROP TABLE {store.table_name('vector_documents')}")  # a catalog that knows nothing of it
+    fresh = Store(spark, store.root, buckets=4)
+    assert fresh.read("vector_documents").count() == 2
+    fresh.commit({"vector_documents": (documents(spark, ["c"]), None)})
+    late = Store(spark, store.root, buckets=4)
+    assert [r.document_key for r in late.read("vector_documents").collect()] == ["c"]

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text whose pieces are made distinct together; a longer text is encoded on its own.
 BLOCK = 2 << 20
-#: Distinct pieces whose ids a worker remembers at most.
-REMEMBERED = 1_000_000
+#: Distinct pieces whose ids a worker remembers at most, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
 _UNICODE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 # Fixed value: how byte-level BPE of this kind splits a text before merging.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,22 +39,25 @@ def _token_bytes(vocabulary: dict[str, int]) -> list[bytes]:
     return out
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For hashes of byte ranges modulo 2**64: a value for each byte, powers of an odd number, powers of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    values = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    up, down = (np.full(BLOCK + 1, x, dtype=np.uint64) for x in (base, inverse))
-    up[0] = down[0] = 1
-    return values, np.cumprod(up), np.cumprod(down)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers without any algebra between places."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``begin`` and have ``sizes``, one run after the other."""
+    after = np.cumsum(sizes)
+    return np.repeat(begin - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
 
 
 class Codec:
     """Ids of a ``.json`` (tokenizers) or ``.model`` (sentencepiece) file, without begin, end or other added tokens.
 
     Byte-level BPE without a normaliser always splits before a single space between two visible characters; so texts are cut there,
-    the pieces of a block of texts are made distinct (by 64-bit hash and length), and each is merged once: by tiktoken with the ranks
-    of the same file, if its merges are in the order of their ids. Texts that hold a special token's string, and tokenizers of other
+    the pieces of a block of texts are made distinct (by a 64-bit hash, and by their bytes where it is equal), and each is merged once: by
+    tiktoken with the ranks of the same file, if its merges are in the order of their ids. Texts that hold a special token's string, and tokenizers of other
     kinds, are encoded whole by the library itself.
     """
 
@@ -93,8 +96,8 @@ class Codec:
         tokens = _token_bytes(ordinary)
         ranks = {b: i for i, b in enumerate(tokens) if b}
         self.lengths = np.array([len(b) for b in tokens])
-        self.values, self.up, self.down = _powers()
         self.keys = np.zeros(0, dtype=np.uint64)  # of remembered pieces, sorted; where their ids begin, and how many they are
+        self.at, self.long, self.bytes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)  # their bytes
         self.begin, self.sizes, self.store = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
         self.ranks = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
@@ -118,15 +121,18 @@ class Codec:
             stop = int(np.searchsorted(ends, ends[row] + BLOCK, side="right")) - 1
             stop = max(stop, row + 1)
             block = bytes(view[ends[row] : ends[stop]])
-            if self.ranks is None or len(block) > BLOCK or any(s.encode() in block for s in self.special):
+            found = None
+            if self.ranks is not None and len(block) <= BLOCK and not any(s.encode() in block for s in self.special):
+                found = self._block(block, ends[row : stop + 1] - ends[row])
+            if found is None:
                 each = [self.ids(texts[i].as_py()) for i in range(row, stop)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-                yield row, np.concatenate(each), offsets
-            else:
-                yield row, *self._block(block, ends[row : stop + 1] - ends[row])
+                found = np.concatenate(each), offsets
+            yield row, *found
             row = stop
 
-    def _block(self, block: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, block: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a block of texts and where each text's begin; None if two of its pieces have one key."""
         data = np.frombuffer(block, dtype=np.uint8)
         if not len(data):
             return np.zeros(0, dtype="<u4"), np.zeros(len(ends), dtype=np.int64)
@@ -138,13 +144,16 @@ class Codec:
         cut[ends[:-1][ends[:-1] < ends[1:]]] = True  # texts that are not empty
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], len(data))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
-        keys = (sums[stops] - sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64)
+        long = stops - starts
+        place = (np.arange(len(data)) - np.repeat(starts, long)).astype(np.uint64)
+        keys = np.add.reduceat(_mixed(data + (place << np.uint64(8))), starts) ^ _mixed(long.astype(np.uint64))
         codes, distinct = pd.factorize(keys)
         first = np.empty(len(distinct), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        ids, begin, sizes = self._look_up(block, visible, distinct, starts[first], stops[first])
+        like = first[codes]
+        if (long[like] != long).any() or (data[_runs(starts[like], long)] != data).any():
+            return None
+        ids, begin, sizes = self._look_up(block, data, visible, distinct, starts[first], stops[first])
         own = sizes[codes]
         after = np.cumsum(own)
         out = ids[np.repeat(begin[codes] - (after - own), own) + np.arange(after[-1])]
@@ -152,21 +161,30 @@ class Codec:
         return out, counted[np.searchsorted(starts, ends)]
 
     def _look_up(
-        self, block: bytes, visible: np.ndarray, keys: np.ndarray, starts: np.ndarray, stops: np.ndarray
+        self, block: bytes, data: np.ndarray, visible: np.ndarray, keys: np.ndarray, starts: np.ndarray, stops: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A store of ids, and where each key's ids are in it. Merges the pieces that are new and remembers some."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        at, long = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0)), stops - starts
+        taken = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        known = taken.copy()
+        known[taken] = self.long[at[taken]] == long[taken]
+        own = np.flatnonzero(known)
+        if len(own):
+            same = self.bytes[_runs(self.at[at[own]], long[own])] == data[_runs(starts[own], long[own])]
+            known[own] = np.logical_and.reduceat(same, np.cumsum(long[own]) - long[own])
         new_ids, new_begin = self._pieces(block, visible, starts[~known], stops[~known])
         begin, sizes = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
         begin[known], sizes[known] = self.begin[at[known]], self.sizes[at[known]]
         begin[~known], sizes[~known] = len(self.store) + new_begin[:-1], np.diff(new_begin)
         store = np.concatenate([self.store, new_ids])
-        if len(self.keys) < REMEMBERED:
-            all_keys = np.concatenate([self.keys, keys[~known]])
-            order = np.argsort(all_keys)
-            self.begin, self.sizes = np.concatenate([self.begin, begin[~known]])[order], np.concatenate([self.sizes, sizes[~known]])[order]
-            self.keys, self.store = all_keys[order], store
+        kept = ~taken  # one piece for each key
+        if len(self.keys) < REMEMBERED and len(self.bytes) + long[kept].sum() < REMEMBERED_BYTES:
+            after = len(self.bytes) + np.cumsum(long[kept])
+            self.bytes = np.concatenate([self.bytes, data[_runs(starts[kept], long[kept])]])
+            order = np.argsort(np.concatenate([self.keys, keys[kept]]))
+            join = lambda old, new: np.concatenate([old, new])[order]
+            self.keys, self.at, self.long = join(self.keys, keys[kept]), join(self.at, after - long[kept]), join(self.long, long[kept])
+            self.begin, self.sizes, self.store = join(self.begin, begin[kept]), join(self.sizes, sizes[kept]), store
         return store, begin, sizes
 
     def _pieces(self, block: bytes, visible: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

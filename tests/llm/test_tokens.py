@@ -43,6 +43,33 @@ def test_codec_equals_library(rows):
     assert got == {i: wanted(t) for i, t in rows}
 
 
+def _alike(letters, n):
+    """A word over two letters and its complement: a polynomial hash modulo 2 ** 64 is the same for both, whatever its base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1_024, 2_048, 4_096, 8_192])
+def test_pieces_of_one_length_are_told_apart(n):
+    words = [w for letters in ("ab", "xy") for w in _alike(letters, n)]
+    together = pa.array([" ".join(words), *words, words[1] + " " + words[0]])
+    one = Codec(PATH)
+    for texts in (together, *[pa.array([w]) for w in words], together):  # alone, together and after one another in one worker
+        got = [x.tolist() for first, ids, begin in one.encode(texts) for x in np.split(ids, begin[1:-1])]
+        assert got == [wanted(t) for t in texts.to_pylist()]
+
+
+def test_pieces_with_equal_keys(monkeypatch):
+    """Were keys to collide, the bytes would still decide: within a block, and against remembered pieces."""
+    from lettermill.llm import codec as module
+
+    monkeypatch.setattr(module, "_mixed", lambda x: np.zeros_like(x))
+    one = Codec(PATH)
+    for texts in (["word"], ["lord"], ["some lord", "word word"], ["some word", "some word"], ["", "a b c"], ["longer"]):
+        got = [x.tolist() for first, ids, begin in one.encode(pa.array(texts)) for x in np.split(ids, begin[1:-1])]
+        assert got == [wanted(t) for t in texts]
+
+
 def test_other_tokenizers_are_used_whole():
     import sentencepiece
 

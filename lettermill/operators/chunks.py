@@ -79,50 +79,38 @@ def chunk_text(texts: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     return chunk_nodes(texts, key, text, limit).where(F.col("chunk").isNotNull())
 
 
+def _fold(stack: Column, node: Column) -> Column:
+    """One step through a tree's nodes, children before their parent: a parent takes its children off the stack, a leaf is put on it."""
+    last, before = F.try_element_at(stack, F.lit(-1)), F.try_element_at(stack, F.lit(-2))
+    is_child = lambda entry, side: F.coalesce(entry["path"] == F.concat(node["path"], F.lit(side)), F.lit(False))
+    both = is_child(last, "R") & is_child(before, "L")
+    left, right, total = before["vector"], last["vector"], before["chunk_length"] + last["chunk_length"]
+    mean = F.when(
+        F.size(left) != F.size(right), F.raise_error(F.lit("chunk vectors of one text differ in length")).cast("array<double>")
+    ).otherwise(F.zip_with(left, right, lambda a, b: (a * before["chunk_length"] + b * last["chunk_length"]) / total))
+    taken = F.when(both, 2).when(is_child(last, "L") | is_child(last, "R"), 1).otherwise(0)
+    pooled = F.when(both, scale_to_unit(mean, l2_norm(mean)))
+    entry = F.struct(node["path"].alias("path"), node["chunk_length"].alias("chunk_length"), F.coalesce(node["vector"], pooled).alias("vector"))
+    return F.concat(F.slice(stack, F.lit(1), F.size(stack) - taken), F.array(entry))
+
+
 def pool_chunks(nodes: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Vectors of whole texts from the vectors of their chunks.
 
-    ``nodes`` come from :func:`chunk_nodes` and should be stored, as they are read several times; ``vectors``
-    are ``(key, path, vector)`` of the leaves. Level by
-    level from the deepest, two siblings become the length-weighted mean, scaled to unit length. A text that
-    was not split keeps its vector. All rows of a text are brought together once, by ``key``; every level
-    then works inside that partitioning. Output: ``(key, vector, chunk_count, chunk_lengths)`` where the
-    counts describe the root's direct children.
+    ``nodes`` come from :func:`chunk_nodes`, ``vectors`` are ``(key, path, vector)`` of the leaves. The nodes of a text are
+    brought together once, as one array, children before their parent, and folded over a stack: two siblings become the length-weighted mean,
+    scaled to unit length. A text that was not split keeps its vector; a part without a vector leaves those above it without one. Output:
+    ``(key, vector, chunk_count, chunk_lengths)`` where the counts describe the root's direct children.
     """
-    leaves = nodes.join(vectors, [key, "path"], "left")
-    depth = nodes.agg(F.max(F.length("path"))).first()[0] or 0
-    level = leaves.select(key, "path", "chunk_length", "vector").repartition(key)
-    for d in range(depth, 0, -1):
-        level = _pool_level(level, key, d)
-    children = F.when(F.length("path") == 1, F.struct("path", "chunk_length"))
-    top = nodes.groupBy(key).agg(F.sort_array(F.collect_list(children)).alias("top"))  # at most two entries
-    lengths = F.transform("top", lambda e: e["chunk_length"])
-    return level.join(top, key).select(key, "vector", F.size("top").alias("chunk_count"), lengths.alias("chunk_lengths"))
-
-
-def _pool_level(level: DataFrame, key: str, depth: int) -> DataFrame:
-    deep = F.length("path") == depth
-    parent = F.when(deep, F.expr("left(path, length(path) - 1)")).otherwise(F.col("path"))
-    side = lambda name, value: F.max(F.when(deep & F.col("path").endswith(name), value))
-    pairs = level.groupBy(key, parent.alias("parent")).agg(
-        F.max(F.when(~deep, F.col("chunk_length"))).alias("chunk_length"),
-        F.max(F.when(~deep, F.col("vector"))).alias("own"),
-        side("L", F.col("vector")).alias("left"),
-        side("R", F.col("vector")).alias("right"),
-        side("L", F.col("chunk_length")).alias("left_length"),
-        side("R", F.col("chunk_length")).alias("right_length"),
-    )
-    total = F.col("left_length") + F.col("right_length")
-    mean = F.when(
-        F.size("left") != F.size("right"), F.raise_error(F.lit("chunk vectors of one text differ in length"))
-    ).otherwise(F.zip_with("left", "right", lambda a, b: (a * F.col("left_length") + b * F.col("right_length")) / total))
-    pooled = pairs.withColumn("mean", mean).withColumn("norm", l2_norm(F.col("mean")))
-    return pooled.select(
-        key,
-        F.col("parent").alias("path"),
-        "chunk_length",
-        F.coalesce("own", scale_to_unit(F.col("mean"), F.col("norm"))).alias("vector"),
-    )
+    own = nodes.join(vectors, [key, "path"], "left")
+    # Z comes after L and R, so a node sorts after all nodes below it.
+    order = F.concat("path", F.lit("Z")).alias("place")
+    node = F.struct(order, "path", F.col("chunk_length").cast("int").alias("chunk_length"), F.col("vector").cast("array<double>").alias("vector"))
+    trees = own.groupBy(key).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    empty = F.array().cast("array<struct<path:string,chunk_length:int,vector:array<double>>>")
+    root = F.element_at(F.aggregate("nodes", empty, _fold), -1)
+    top = F.transform(F.filter("nodes", lambda n: F.length(n["path"]) == 1), lambda n: n["chunk_length"])
+    return trees.select(key, root["vector"].alias("vector"), F.size(top).alias("chunk_count"), top.alias("chunk_lengths"))
 
 
 def embed_long_texts(

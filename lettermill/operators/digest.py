@@ -54,7 +54,9 @@ def digest_build(items: DataFrame) -> DataFrame:
     span many tasks; lines are counted per range and audience, and only these counts are summed in order. Equal or null ``ord`` are
     ordered by the text. Audiences without any item have no digest.
     """
-    lines = digest_lines(items, ["ord"]).repartitionByRange("audience", "section", "ord", "line")
+    # Ranges are set by a sample of the lines, so they are written before: making them may be costly.
+    written = materialize(digest_lines(items, ["ord"]), "digest-unordered")
+    lines = written.repartitionByRange("audience", "section", "ord", "line")
     placed = lines.sortWithinPartitions("audience", "section", "ord", "line").select(
         "audience", "line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")
     )

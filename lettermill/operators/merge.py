@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from lettermill.functions.checks import fail_where
 from lettermill import schemas
 
-_FIRST_WINS = (
-    "source_message_id", "subject", "sender", "recipients", "raw_date", "sent_at", "sent_at_iso", "body",
-    "searchable_text", "content_checksum", "headers",
-)
+_FIRST_WINS = ("source_message_id", "subject", "sender", "recipients", "raw_date", "sent_at", "sent_at_iso", "content_checksum")
+_LONG = ("body", "searchable_text", "headers")
 
 
 class Merged(NamedTuple):
@@ -23,9 +21,11 @@ class Merged(NamedTuple):
 
 def _heads(normalized: DataFrame) -> DataFrame:
     """The earliest copy per fingerprint. ``min_by`` combines on the map side, so a fingerprint with very
-    many copies sends one row per map task."""
+    many copies sends one row per map task. Texts are picked apart from the short columns: who reads none of them, as reports do, has
+    no text in the aggregation and its shuffle."""
     return normalized.groupBy("fingerprint").agg(
         F.min_by(F.struct(*_FIRST_WINS), "seq").alias("head"),
+        F.min_by(F.struct(*_LONG), "seq").alias("texts"),
         F.min("seq").alias("first_seq"),
         F.count(F.lit(1)).alias("copies"),
         (F.min("content_checksum") != F.max("content_checksum")).alias("checksum_conflict"),
@@ -95,6 +95,7 @@ def merged_rows(normalized: DataFrame) -> DataFrame:
         "first_seq",
         "copies",
         "head.*",
+        "texts.*",
         F.coalesce("folders", F.array().cast("array<string>")).alias("folders"),
         *[
             F.coalesce(name, F.create_map().cast(kind)).alias(name)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lettermill.catalog import queries
 from lettermill.operators.merge import merge_duplicates
 from lettermill.operators.normalize import normalize_messages, to_document
 from lettermill.operators.sync import latest_sync_state
@@ -59,3 +60,11 @@ def test_hot_cursor_history(spark):
     latest = latest_sync_state(states)
     assert latest.where("imap_folder = 'Hot'").first().last_synced_uid == 4998
     assert "partial_max_by" in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_shuffle_no_texts(spark):
+    """Who reads no text of a merged message has none in the aggregation of its copies."""
+    documents = queries._documents(spark, "/root/testdata/sf0.001")
+    plan = report_terms_summary(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "min_by(struct(source_message_id" in plan and "min_by(struct(body" not in plan
+    assert "min_by(struct(body" in documents.select("body")._jdf.queryExecution().executedPlan().toString()

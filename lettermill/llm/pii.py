@@ -75,6 +75,17 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
+def _heads(mention: Column) -> list[tuple[int, Column]]:
+    """(n, the start of the mention that holds its first n digits) for the lengths of card numbers; empty if a digit follows at once."""
+    return [(n, F.regexp_extract(mention, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0)) for n in range(13, 20)]
+
+
+def _card(mention: Column) -> Column:
+    """The digits of the first card number that the mention starts with: an expiry date or check number may follow."""
+    found = [_digits(head) for _, head in _heads(mention)]
+    return F.coalesce(*[F.when(d.rlike(CARDS) & luhn(d), d) for d in found])
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     """What two mentions of one entity have in common; null if the mention is none after all (a number that no card can have)."""
     digits = _digits(mention)
@@ -84,7 +95,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind.isin("phone", "ssn"), digits)
-        .when(kind == "card", F.when(digits.rlike(CARDS) & luhn(digits), digits))
+        .when(kind == "card", _card(mention))
         .when((kind == "secret") & mention.rlike("^[0-9A-F]{32,}$"), F.lower(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "name", F.concat(gender, F.lit(":"), name))
@@ -160,8 +171,10 @@ def _name(canon: Column, h: Column, attempt: Column) -> Column:
     return F.concat(F.when(parts > 1, F.concat(given, F.lit(" "))).otherwise(""), family, extra)
 
 
-def render(kind: Column, mention: Column, new: Column) -> Column:
-    """A mention's replacement: the surrogate in the mention's own form."""
+def render(kind: Column, whole: Column, canon: Column, new: Column) -> Column:
+    """A mention's replacement: the surrogate in the mention's own form. What follows a card number stays."""
+    head = F.coalesce(*[F.when((kind == "card") & (F.length(canon) == n), head) for n, head in _heads(whole)], whole)
+    mention = head
     between = F.split(mention, "[0-9]", -1)
     filled = F.array_join(
         F.transform(between, lambda p, i: F.concat(p, F.when(i < F.size(between) - 1, F.substr(new, i + 1, F.lit(1))).otherwise(""))), ""
@@ -171,7 +184,8 @@ def render(kind: Column, mention: Column, new: Column) -> Column:
     title = F.regexp_extract(mention, rf"^((?:{MALE}|{FEMALE}|{NEUTRAL})\.? )", 1)
     shouted = (F.upper(mention) == mention) & mention.rlike("[A-Z]")
     return (
-        F.when(kind.isin("phone", "ssn", "card"), longer).when(kind == "iban", spaced).when(kind == "name", F.concat(title, new))
+        F.when(kind == "card", F.concat(longer, F.substr(whole, F.length(head) + 1)))
+        .when(kind.isin("phone", "ssn"), longer).when(kind == "iban", spaced).when(kind == "name", F.concat(title, new))
         .when(kind.isin("email", "secret") & shouted, F.upper(new)).otherwise(new)
     )
 
@@ -215,7 +229,7 @@ def replace_pii(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFra
     mentions = materialize(mentions.withColumn("canon", canonical(F.col("kind"), F.col("mention"))), "pii-mentions")
     entities = materialize(mentions.where(F.col("canon").isNotNull()).select("kind", "canon").distinct(), "pii-entities")
     surrogates = draw_surrogates(entities, key)
-    known = mentions.join(surrogates, ["kind", "canon"]).select("mention", render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
+    known = mentions.join(surrogates, ["kind", "canon"]).select("mention", render(F.col("kind"), F.col("mention"), F.col("canon"), F.col("surrogate")).alias("new"))
     known = materialize(known.where("mention <> new"), "pii-replacements")
 
     places = found.dropDuplicates(["pii_digest"]).select("pii_digest", F.posexplode("found").alias("at", "own"))

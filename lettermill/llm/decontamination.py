@@ -9,7 +9,7 @@ small side: their q-grams go to the tasks in blocks of bounded size, the documen
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +204,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield sorted(((r["item"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0], x[1]))
 
 
+def _sent(docs: DataFrame, block: list[tuple]) -> object:
+    """A block's index as plain arrays: the class itself travels with the function, so that workers need no installed copy."""
+    index = index_of(block)
+    return docs.sparkSession.sparkContext.broadcast(tuple(getattr(index, f.name) for f in fields(index)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, start, stop): every passage in every text, once, at the place with the fewest edits.
 
@@ -218,13 +224,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     )
     found, arrow_item = docs.sparkSession.createDataFrame([], schema), to_arrow_type(item_type)
     for block in _blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(index_of(block))
+        sent = _sent(docs, block)
 
         def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            index = Index(*sent.value)
             for batch in batches:
-                rows = list(leaks_in(batch.column("text"), sent.value))
+                rows = list(leaks_in(batch.column("text"), index))
                 take = [[r[i] for r in rows] for i in range(5)]
-                names = pa.array([sent.value.names[i] for i in take[1]], arrow_item)
+                names = pa.array([index.names[i] for i in take[1]], arrow_item)
                 ids = batch.column("doc_id").take(pa.array(take[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, names, *(pa.array(x, pa.int64()) for x in take[2:])], names=schema.names)
 
@@ -235,12 +242,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no passage; see :func:`find_leaks`. Nothing is shuffled or joined."""
     for block in _blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(index_of(block))
+        sent = _sent(docs, block)
 
         def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            index = Index(*sent.value)
             for batch in batches:
                 clean = np.ones(len(batch), dtype=bool)
-                clean[[r[0] for r in leaks_in(batch.column(text_col), sent.value)]] = False
+                clean[[r[0] for r in leaks_in(batch.column(text_col), index)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ far from every centroid, whatever its language. Prediction is one pass over the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -152,15 +152,16 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS
 
 def _limited(model: Model, starts: DataFrame) -> Model:
     """``model`` with the limits that labelled texts show, cut to each of ``LENGTHS``. Below a single n-gram nothing is too far."""
-    sent = starts.sparkSession.sparkContext.broadcast(model)
+    sent = starts.sparkSession.sparkContext.broadcast((model.idf, model.centroids))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, centroids = sent.value
         for batch in batches:
             texts = batch.column("start").to_pylist()
             for length in LENGTHS:
                 cut = pa.array([t[:length] for t in texts if len(t) >= length], pa.string())
                 for _, counts in vectors_of(cut):
-                    cosine = (weigh(counts, sent.value.idf) @ sent.value.centroids.T).max(axis=1).astype(float)
+                    cosine = (weigh(counts, idf) @ centroids.T).max(axis=1).astype(float)
                     columns = [pa.array([length] * len(counts), pa.int32()), pa.array(counts.sum(axis=1, dtype=np.float64)), pa.array(cosine)]
                     yield pa.RecordBatch.from_arrays(columns, names=["length", "grams", "cosine"])
 
@@ -197,11 +198,13 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: the class itself travels with the function, so that workers need no installed copy.
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value)
         for batch in batches:
-            names, scores, rejected = judge(batch.column(text_col), sent.value)
+            names, scores, rejected = judge(batch.column(text_col), own)
             new = [pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, "lang_pred", "score", "rejected"])
 

@@ -191,3 +191,15 @@ def task_checklist_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Part "), _text("l_partkey")).alias("title"),
         F.when(F.col("l_linestatus") == "F", "completed").otherwise("incomplete").alias("status"),
     )
+
+
+def task_todos_with_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The to-dos of an export: every third one carries its items, the others a flag."""
+    items = task_checklist_items(spark, sf_dir)
+    entry = F.struct("pos", "uuid", "title", "status")
+    lists = items.groupBy("todo_uuid").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    as_json = F.to_json(F.transform("entries", lambda e: F.struct(e["uuid"].alias("uuid"), e["title"].alias("title"), e["status"].alias("status"))))
+    third = F.substring("uuid", 6, 20).cast("bigint") % 3 == 0
+    checklist = F.when(third, as_json).otherwise(F.col("has_checklist").cast("string"))
+    todos = task_todos(spark, sf_dir).join(lists, F.col("uuid") == F.col("todo_uuid"), "left")
+    return todos.withColumn("checklist", checklist).drop("todo_uuid", "entries", "has_checklist")

@@ -427,6 +427,12 @@ SELECT uuid, 'project without notes' AS reason FROM open_projects WHERE notes IS
     q["checklist_hydrate"] = f"""WITH {TODOS}
 SELECT t.uuid, t.title, cast(coalesce(c.pos, -1) AS bigint) AS pos, c.uuid AS item_uuid, c.title AS item_title, c.status AS item_status
 FROM open_todos t LEFT JOIN checklist c ON c.todo_uuid = t.uuid"""
+    q["checklist_inline"] = f"""WITH {TODOS},
+places AS (SELECT *, row_number() OVER (PARTITION BY todo_uuid ORDER BY pos, uuid, title, status) - 1 AS place FROM items),
+third AS (SELECT *, cast(substr(uuid, 6) AS bigint) % 3 = 0 AS carries FROM open_todos)
+SELECT t.uuid, t.title, cast(coalesce(CASE WHEN t.carries THEN c.place ELSE c.pos END, -1) AS bigint) AS pos,
+       c.uuid AS item_uuid, c.title AS item_title, c.status AS item_status
+FROM third t LEFT JOIN places c ON c.todo_uuid = t.uuid AND (t.carries OR t.has_checklist)"""
     q["checklist_flatten"] = f"WITH {TODOS} SELECT uuid, todo_uuid, title, status FROM checklist"
     q["collect_notes"] = f"WITH {NOTES} SELECT * FROM notes"
     q["replace_snapshot"] = f"""WITH {AREAS}, {HEADINGS}, {NOTES}

@@ -6,6 +6,7 @@ Arrays, maps and instants are rendered as text, so that any engine can compare t
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -817,6 +818,15 @@ def checklist_hydrate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("uuid", "title", F.coalesce("pos", F.lit(-1)).alias("pos"), *item)
 
 
+@_query
+def checklist_inline(spark: SparkSession, sf: str) -> DataFrame:
+    """To-dos of which some carry their items and some only say that they have some."""
+    raw = replace(_task_tables(spark, sf), todos=X.task_todos_with_lists(spark, sf))
+    rows = H.build_snapshot(raw).nested_todos
+    item = [F.col(f"checklist_item.{c}").alias(f"item_{c}") for c in ("uuid", "title", "status")]
+    return rows.select("uuid", "title", F.coalesce("pos", F.lit(-1)).alias("pos"), *item)
+
+
 @_query
 def checklist_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return K.checklist_flatten(H.build_snapshot(_task_tables(spark, sf)).nested_todos)

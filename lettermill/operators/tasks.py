@@ -90,6 +90,36 @@ def map_checklist_items(items: DataFrame) -> DataFrame:
     return _typed(items, {c: c for c in ("uuid", "todo_uuid", "title", "status")}, F.col("pos").cast("long").alias("pos"))
 
 
+class Inline(NamedTuple):
+    todos: DataFrame
+    items: DataFrame
+
+
+def inline_checklists(todos: DataFrame, column: str = "checklist") -> Inline:
+    """Take apart a JSON column that is a flag or the list of items itself, as exports have it.
+
+    ``todos`` loses the column and gains ``has_checklist``, which is true where it is the flag ``true``: the items of such a to-do are in
+    the item table. ``items`` are those of lists, as (uuid, todo_uuid, title, status, pos) with the place in the list. Null and ``false``
+    are no checklist. Anything else, an item that is no object, and a field of an item that is no string fail the job.
+    """
+    value = F.parse_json(F.col(column))
+    kind = F.schema_of_variant(value)
+    known = kind.isNull() | kind.isin("BOOLEAN", "VOID") | kind.startswith("ARRAY<")
+    sound = fail_where(todos, ~known, F.concat(F.lit("checklist must be a flag or a list: "), F.col(column)))
+    flag = F.coalesce(F.when(kind == "BOOLEAN", F.variant_get(value, "$", "boolean")), F.lit(False))
+    flagged = sound.withColumn("has_checklist", flag).drop(column)
+
+    # Lists are exploded one by one; no list is gathered.
+    elements = F.variant_get(F.when(kind.startswith("ARRAY<"), value), "$", "array<variant>")
+    rows = sound.select(F.col("uuid").alias("todo_uuid"), F.posexplode(elements).alias("pos", "item"))
+    rows = fail_where(rows, ~F.schema_of_variant("item").startswith("OBJECT<"), F.lit("checklist item must be an object"))
+    for name in ("uuid", "title", "status"):
+        kind_of = F.schema_of_variant(F.variant_get("item", f"$.{name}", "variant"))
+        rows = fail_where(rows, kind_of.isNotNull() & ~kind_of.isin("STRING", "VOID"), F.lit(f"field '{name}' of a checklist item must be a string"))
+    fields = [F.variant_get("item", f"$.{name}", "string").alias(name) for name in ("uuid", "title", "status")]
+    return Inline(flagged, rows.select(fields[0], "todo_uuid", *fields[1:], F.col("pos").cast("long").alias("pos")))
+
+
 def checklist_rows(todos: DataFrame, items: DataFrame) -> DataFrame:
     """The items of the open to-dos that say they have a checklist, one row each and never nested.
 
@@ -105,10 +135,13 @@ def checklist_hydrate(todos: DataFrame, items: DataFrame) -> DataFrame:
     ``todos`` are mapped to-dos with their ``has_checklist`` flag. The shape is the same for a list of two and of a million
     items: no list is gathered, and the join's item side may be split if one to-do has most of the items.
     """
-    rows = checklist_rows(todos, items).select(
-        F.col("todo_uuid").alias("uuid"), "pos", F.struct("uuid", "title", "status").alias("checklist_item")
-    )
-    return todos.drop("has_checklist").join(rows, "uuid", "left")
+    return hydrate(todos.drop("has_checklist"), checklist_rows(todos, items))
+
+
+def hydrate(todos: DataFrame, items: DataFrame) -> DataFrame:
+    """To-dos with the given items, see :func:`checklist_hydrate`."""
+    rows = items.select(F.col("todo_uuid").alias("uuid"), "pos", F.struct("uuid", "title", "status").alias("checklist_item"))
+    return todos.join(rows, "uuid", "left")
 
 
 def checklist_flatten(hydrated: DataFrame) -> DataFrame:

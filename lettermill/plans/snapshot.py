@@ -14,7 +14,8 @@ from lettermill.sinks.store import TABLES, Store
 
 @dataclass(frozen=True)
 class TaskTables:
-    """The raw task tables. ``items`` are checklist items with ``todo_uuid`` and ``pos``."""
+    """The raw task tables. ``items`` are checklist items with ``todo_uuid`` and ``pos``; to-dos have a flag ``has_checklist``, or a JSON
+    column ``checklist`` that is the flag or the items themselves."""
 
     areas: DataFrame
     projects: DataFrame
@@ -40,13 +41,18 @@ def build_snapshot(raw: TaskTables, strict: bool = True) -> Snapshot:
     def checked(rows: DataFrame, name: str) -> DataFrame:
         return ops.require_nonblank(rows, "uuid", "title", strict=strict, name=name).ok
 
-    open_todos = ops.open_items(raw.todos)
+    open_todos, inline = ops.open_items(raw.todos), None
+    if "checklist" in open_todos.columns:
+        open_todos, inline = ops.inline_checklists(open_todos)
     projects = checked(ops.map_projects(ops.open_items(raw.projects)), "project")
     todos = checked(ops.map_todos(open_todos), "to-do")
     items = ops.map_checklist_items(raw.items)
     flagged = open_todos.select("uuid", "has_checklist")
-    rows = checked(ops.checklist_rows(flagged, items), "checklist item")
-    nested = ops.checklist_hydrate(todos.join(flagged, "uuid"), rows)
+    listed = ops.checklist_rows(flagged, items)
+    if inline is not None:
+        listed = listed.unionByName(inline)
+    rows = checked(listed, "checklist item")
+    nested = ops.hydrate(todos, rows)
     return Snapshot(
         areas=checked(ops.map_areas(raw.areas), "area"),
         projects=projects,

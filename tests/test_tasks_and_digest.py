@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,34 @@ def test_structured_items(spark):
     df = spark.createDataFrame([("plain", None), (None, " s "), (None, None)], "t string, s string")
     got = [r[0] for r in df.select(D.digest_item(F.col("t"), F.col("s"))).collect()]
     assert got == ["plain", "s", None]
+
+
+def exported(spark, *checklists):
+    rows = [(f"todo-{i}", "T", "incomplete", False, c) for i, c in enumerate(checklists)]
+    return spark.createDataFrame(rows, "uuid string, title string, status string, trashed boolean, checklist string")
+
+
+def test_checklists_inside_the_export(spark):
+    raw = replace(tables(spark), todos=exported(
+        spark, '[{"uuid": "a", "title": "One", "status": null}, {"uuid": "b", "title": "Two", "more": 1}]', "true", "false", None, "null", "[]",
+    ))
+    raw = replace(raw, items=raw.items.unionByName(spark.createDataFrame([("z", "todo-0", 0, "not asked", None)], raw.items.schema)))
+    s = H.build_snapshot(raw)
+    found = sorted((r.uuid, r.pos, r.checklist_item and tuple(r.checklist_item)) for r in s.nested_todos.collect() if r.pos is not None)
+    assert found == [
+        ("todo-0", 0, ("a", "One", None)), ("todo-0", 1, ("b", "Two", None)), ("todo-1", 0, ("c-1", "Passport", "incomplete")), ("todo-1", 1, ("c-2", "Shoes", "completed")),
+    ]
+    assert s.nested_todos.count() == 8 and s.checklist_items.count() == 4
+
+
+@pytest.mark.parametrize(
+    ("checklist", "message"),
+    [
+        ('"yes"', "flag or a list"), ("3", "flag or a list"), ('{"uuid": "a"}', "flag or a list"), ('["a"]', "must be an object"),
+        ('[{"uuid": 3, "title": "t"}]', "must be a string"), ('[{"uuid": "a", "title": " "}]', "without title"), ('[{"title": "t"}]', "without uuid"),
+        ('[{"uuid": "a", "title": "t", "status": true}]', "must be a string"),
+    ],
+)
+def test_checklists_of_another_shape_fail(spark, checklist, message):
+    with pytest.raises(Exception, match=message):
+        H.build_snapshot(replace(tables(spark), todos=exported(spark, checklist))).nested_todos.collect()

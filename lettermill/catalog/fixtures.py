@@ -203,3 +203,80 @@ def task_todos_with_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     checklist = F.when(third, as_json).otherwise(F.col("has_checklist").cast("string"))
     todos = task_todos(spark, sf_dir).join(lists, F.col("uuid") == F.col("todo_uuid"), "left")
     return todos.withColumn("checklist", checklist).drop("todo_uuid", "entries", "has_checklist")
+
+
+def task_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items as one table, as an export file has them."""
+    parts = {
+        "area": task_areas(spark, sf_dir),
+        "project": task_projects(spark, sf_dir),
+        "heading": task_headings(spark, sf_dir),
+        "to-do": task_todos_with_lists(spark, sf_dir),
+        "checklist-item": task_checklist_items(spark, sf_dir).withColumn("pos", F.col("pos").cast("long")),
+    }
+    typed = [rows.withColumn("type", F.lit(kind)) for kind, rows in parts.items()]
+    export = typed[0]
+    for rows in typed[1:]:
+        export = export.unionByName(rows, allowMissingColumns=True)
+    # A checklist is a JSON value, not a text that holds one.
+    return export.withColumn("checklist", F.parse_json("checklist"))
+
+
+def _escaped(data: Column, break_lines: bool) -> Column:
+    """Every byte as =XX, in lines of 24 bytes if asked."""
+    escaped = F.regexp_replace(F.hex(data), "(..)", "=$1")
+    return F.regexp_replace(escaped, "(.{72})", "$1=\n") if break_lines else escaped
+
+
+def _latin(text: Column) -> Column:
+    """What Latin-1 has no letter for becomes a question mark."""
+    return F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+
+
+def encoded_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an RFC 822 message (doc_id, content): whole texts as subject and body, in the encodings mail has.
+
+    Subjects by ``doc_id % 4``: folded base64 words; ASCII and a quoted word; a quoted word in Latin-1; words of two charsets with plain text
+    between them. Bodies by ``doc_id % 6``: base64; an attached text before the text; an alternative with markup first, the text
+    quoted-printable in a part within a part; Latin-1 as it is; markup alone; quoted-printable.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = spread(documents, "doc_id")
+    text, key = F.col("text"), F.col("doc_id")
+    base64 = F.base64(F.encode(text, "UTF-8"))
+    one_line = F.regexp_replace(base64, "\r?\n", "")
+
+    def word(charset: str, encoding: str, payload: Column) -> Column:
+        return F.concat(F.lit(f"=?{charset}?{encoding}?"), payload, F.lit("?="))
+
+    folded = F.regexp_replace(F.regexp_replace(one_line, "(.{1,60})", "=?utf-8?B?$1?=\n "), "\n $", "")
+    quoted = word("UTF-8", "q", F.regexp_replace(_escaped(F.encode(text, "UTF-8"), False), "=20", "_"))
+    latin = word("iso-8859-1", "Q", _escaped(_latin(text), False))
+    subject = (
+        F.when(key % 4 == 0, folded)
+        .when(key % 4 == 1, F.concat(F.lit("Re: "), quoted))
+        .when(key % 4 == 2, latin)
+        .otherwise(F.concat(word("utf-8", "b", one_line), F.lit(" and "), latin))
+    )
+
+    def part(kind: str, encoding: str, payload: Column, more: str = "") -> Column:
+        return F.concat(F.lit(f"Content-Type: {kind}\nContent-Transfer-Encoding: {encoding}\n{more}\n"), payload, F.lit("\n"))
+
+    def parts(kind: str, boundary: str, *inner: Column) -> Column:
+        opened = [F.concat(F.lit(f"--{boundary}\n"), p) for p in inner]
+        return F.concat(F.lit(f'Content-Type: multipart/{kind}; boundary="{boundary}"\n\n'), *opened, F.lit(f"--{boundary}--\n"))
+
+    plain, markup = "text/plain; charset=utf-8", "text/html; charset=utf-8"
+    attached = part(plain, "base64", F.base64(F.encode(F.concat(F.lit("attached "), text), "UTF-8")), 'Content-Disposition: ATTACHMENT; filename="a.txt"\n')
+    quoted_text = _escaped(F.encode(text, "UTF-8"), True)
+    html = part(markup, "base64", base64)
+    rest = (
+        F.when(key % 6 == 0, part(plain, "base64", base64))
+        .when(key % 6 == 1, parts("mixed", "outer", attached, part(plain, "base64", base64)))
+        .when(key % 6 == 2, parts("mixed", "outer", parts("alternative", "inner", html, part(plain, "quoted-printable", quoted_text)), attached))
+        .when(key % 6 == 3, F.lit("Content-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\n\n"))
+        .when(key % 6 == 4, parts("alternative", "outer", html))
+        .otherwise(F.concat(F.lit(f"Content-Type: {plain}\nContent-Transfer-Encoding: quoted-printable\n\n"), quoted_text))
+    )
+    raw = F.encode(F.concat(F.lit("Subject: "), subject, F.lit("\nMIME-Version: 1.0\n"), rest), "UTF-8")
+    return d.select("doc_id", F.when(key % 6 == 3, F.concat(raw, _latin(text))).otherwise(raw).alias("content"))

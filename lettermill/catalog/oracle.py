@@ -233,6 +233,14 @@ SELECT seq, {stamp("sent_at")} AS sent_at, sent_at_iso FROM norm"""
 SELECT seq, coalesce(message_id, '') AS message_id, subject, sender, replace(to_raw, ', ', ';') AS recipients, date_raw,
        sha256(body) AS body_hash, 6 AS n_headers, array_to_string(string_split(regexp_extract(flags_raw, 'FLAGS \\(([^)]*)\\)', 1), ' '), ' ') AS flags
 FROM mail"""
+    latin = r"regexp_replace(text, '[^\x00-\xFF]', '?', 'g')"
+    mailed = "mailed AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+    q["extract_body"] = f"""WITH {mailed},
+bodies AS (SELECT doc_id, CASE doc_id % 6 WHEN 3 THEN {latin} WHEN 4 THEN '' ELSE text END AS body FROM mailed)
+SELECT doc_id, sha256(body) AS body_hash, cast(length(body) AS integer) AS n_chars, cast(NULL AS varchar) AS error FROM bodies"""
+    q["decode_headers"] = f"""WITH {mailed},
+subjects AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Re: ' || text WHEN 2 THEN {latin} ELSE text || ' and ' || {latin} END AS subject FROM mailed)
+SELECT doc_id, sha256(subject) AS subject_hash, cast(length(subject) AS integer) AS n_chars, true AS same_in_map, cast(NULL AS varchar) AS error FROM subjects"""
     q["normalize_messages"] = f"""WITH {NORM}
 SELECT seq, fingerprint, source_message_id, subj AS subject, sndr AS sender, array_to_string(recipients, ';') AS recipients,
        date_raw AS raw_date, {stamp("sent_at")} AS sent_at, sent_at_iso, folder || '=' || imap_uid AS folder_uids,
@@ -433,6 +441,12 @@ third AS (SELECT *, cast(substr(uuid, 6) AS bigint) % 3 = 0 AS carries FROM open
 SELECT t.uuid, t.title, cast(coalesce(CASE WHEN t.carries THEN c.place ELSE c.pos END, -1) AS bigint) AS pos,
        c.uuid AS item_uuid, c.title AS item_title, c.status AS item_status
 FROM third t LEFT JOIN places c ON c.todo_uuid = t.uuid AND (t.carries OR t.has_checklist)"""
+    q["snapshot_of_export"] = q["checklist_inline"]
+    q["scan_tasks"] = """SELECT 'to-do' AS type, concat('todo-', o_orderkey) AS uuid,
+       CASE WHEN o_orderkey % 50 = 0 THEN ' ' ELSE concat('Order ', o_orderkey) END AS title, 'incomplete' AS status, false AS trashed,
+       concat('project-', o_custkey) AS project, concat('heading-', o_custkey, '-', left(o_orderpriority, 1)) AS heading,
+       CASE WHEN o_orderkey % 3 = 0 THEN concat('Total ', cast(floor(o_totalprice) AS bigint)) ELSE '' END AS notes
+FROM orders WHERE o_orderstatus NOT IN ('F', 'P') AND o_orderkey % 29 <> 0"""
     q["checklist_flatten"] = f"WITH {TODOS} SELECT uuid, todo_uuid, title, status FROM checklist"
     q["collect_notes"] = f"WITH {NOTES} SELECT * FROM notes"
     q["replace_snapshot"] = f"""WITH {AREAS}, {HEADINGS}, {NOTES}

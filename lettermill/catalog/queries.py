@@ -34,6 +34,7 @@ from lettermill.sinks.store import Store
 from lettermill.sources import mailbox as B
 from lettermill.sources.documents import documents_from_json, documents_to_json
 from lettermill.sources.rfc822 import parse_rfc822
+from lettermill.sources.taskfiles import TODO, scan_tasks, task_tables
 from lettermill.streaming.ingest import stream_ingest as run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +173,21 @@ def parse_rfc822_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def extract_body(spark: SparkSession, sf: str) -> DataFrame:
+    """The bodies of encoded and nested messages."""
+    parsed = parse_rfc822(X.encoded_mail(spark, sf))
+    return parsed.select("doc_id", T.sha256_hex(F.col("body")).alias("body_hash"), F.length("body").alias("n_chars"), "error")
+
+
+@_query
+def decode_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects in encoded words, from their column and from the map of all headers."""
+    parsed = parse_rfc822(X.encoded_mail(spark, sf))
+    same = F.col("headers")["Subject"] == F.col("subject")
+    return parsed.select("doc_id", T.sha256_hex(F.col("subject")).alias("subject_hash"), F.length("subject").alias("n_chars"), same.alias("same_in_map"), "error")
+
+
 # Expressions
 
 
@@ -800,6 +816,27 @@ def map_todo(spark: SparkSession, sf: str) -> DataFrame:
     return todos.select("uuid", "title", "project_uuid", "heading_uuid", "notes", "status")
 
 
+def _exported(spark: SparkSession, sf: str) -> str:
+    """A folder with the export as JSON lines."""
+    path = fresh_dir(spark, "task-export")
+    X.task_export(spark, sf).write.json(path)
+    return path
+
+
+@_query
+def scan_tasks_query(spark: SparkSession, sf: str) -> DataFrame:
+    todos = scan_tasks(spark, _exported(spark, sf), TODO)
+    return todos.select("type", "uuid", "title", "status", "trashed", "project", "heading", "notes")
+
+
+@_query
+def snapshot_of_export(spark: SparkSession, sf: str) -> DataFrame:
+    """To-dos with their checklists from an export file, inline lists and rows of items alike."""
+    rows = H.build_snapshot(task_tables(spark, _exported(spark, sf))).nested_todos
+    item = [F.col(f"checklist_item.{c}").alias(f"item_{c}") for c in ("uuid", "title", "status")]
+    return rows.select("uuid", "title", F.coalesce("pos", F.lit(-1)).alias("pos"), *item)
+
+
 @_query
 def map_checklist_item(spark: SparkSession, sf: str) -> DataFrame:
     return K.map_checklist_items(X.task_checklist_items(spark, sf))

@@ -24,9 +24,9 @@ def short_batches(spark: SparkSession) -> None:
 def text_blocks(texts: pa.Array, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, where each row begins, with the end) for runs of rows of at most ``block`` bytes, or one longer row.
 
-    Nulls count as empty.
+    Letters are in lower case, one for one, so that places counted in characters are those of the texts. Nulls count as empty.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     _, at, data = texts.buffers()
     if not len(texts):
         return
@@ -51,10 +51,29 @@ def _letters() -> np.ndarray:
 _TABLE = _letters()
 
 
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes of spaces and punctuation beyond ASCII: of Latin-1, the general ones, the East Asian and the full-width ones."""
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    follow = data[two + 1]
+    two = two[~np.isin(follow, _LATIN_SIGNS) & (follow >= 0xA0)]
+    three = np.flatnonzero((data[:-2] >= 0xE2) & (data[:-2] <= 0xEF))
+    a, b, c = data[three], data[three + 1], data[three + 2]
+    general = (a == 0xE2) & ((b == 0x80) | (b == 0x81) & (c < 0xB0))
+    asian = (a == 0xE3) & (b == 0x80) & (c <= 0xBF) & ~np.isin(c, _ASIAN_LETTERS)
+    wide = (a == 0xEF) & (b == 0xBC) & (c >= 0x81) & (c <= 0x8F)
+    three = three[general | asian | wide]
+    return np.concatenate([two, two + 1, three, three + 1, three + 2])
+
+
+# Last bytes of the letters and numbers between those signs (feminine and masculine ordinal, superscript 2, 3 and 1, micro;
+# iteration mark, closing mark and zero of East Asian texts).
+_LATIN_SIGNS = [0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA]
+_ASIAN_LETTERS = [0x85, 0x86, 0x87]
+
+
 def lower_letters(data: np.ndarray) -> np.ndarray:
-    """Letters A-Z and those of Latin-1 in lower case, other ASCII but digits as spaces. UTF-8 beyond stays as it is."""
+    """Bytes of lower-case texts with everything that is no letter or digit as spaces; UTF-8 beyond the common signs stays as it is."""
     out = _TABLE[data]
-    after = np.flatnonzero(data[:-1] == 0xC3) + 1
-    upper = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
-    out[upper] += 0x20
+    if len(data) and data.max() >= 0x80:
+        out[_marks(data)] = 32
     return out

@@ -9,7 +9,7 @@ small side: their q-grams go to the tasks in blocks of bounded size, the documen
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ Q = 10
 EDITS, LEAST = 0.08, 4
 #: Characters of benchmark text whose q-grams are sent out at once, and bytes of text looked at in one go.
 BENCHMARK_BLOCK, TEXT_BLOCK = 4_000_000, 1 << 19
+#: Shared q-grams held at once; where there are more, the passages are taken in halves.
+HELD = 1 << 21
 _SIEVE = 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -73,12 +75,13 @@ class Index:
 def index_of(items: list[tuple]) -> Index:
     """``items``: (name, text). Passages of fewer than Q characters have no q-gram and are left out."""
     names, texts = [], []
-    for name, text in items:
-        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        clean = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-        if len(clean) >= Q:
-            names.append(name)
-            texts.append(clean)
+    for row, raw, begin in text_blocks(pa.array([text for _, text in items], pa.large_string()), TEXT_BLOCK):
+        clean, at, _ = normalise(raw, begin)
+        for i in range(len(at) - 1):
+            text = clean[at[i] : at[i + 1]].tobytes().strip()
+            if len(text) >= Q:
+                names.append(items[row + i][0])
+                texts.append(text)
     n = np.array([len(t) for t in texts], dtype=np.int64)
     budget = np.maximum(np.minimum((n * EDITS).astype(np.int64), (n - Q + 1 - LEAST) // Q), 0)
     each = [grams(np.frombuffer(t, dtype=np.uint8)) for t in texts]
@@ -92,19 +95,25 @@ def index_of(items: list[tuple]) -> Index:
 
 
 def shared_grams(data: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the text, item, place in the item) of every shared q-gram."""
+    """(place in the text, first row of the index, number of rows) of every shared q-gram."""
     h = grams(data)
     at = np.flatnonzero(index.sieve[(h >> np.uint64(64 - _SIEVE)).astype(np.int64)])
     left, right = (np.searchsorted(index.hashes, h[at], side=s) for s in ("left", "right"))
     n = right - left
-    at, left, n = at[n > 0], left[n > 0], n[n > 0]
-    rows = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.repeat(at, n), index.item[rows], index.place[rows]
+    return at[n > 0], left[n > 0], n[n > 0]
 
 
 def regions(data: np.ndarray, begin: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
     """(text, item, first diagonal of a band) wherever a band of one text shares enough q-grams with an item."""
-    at, item, place = shared_grams(data, index)
+    at, left, n = shared_grams(data, index)
+    first, last = (int(index.item.min()), int(index.item.max())) if len(at) else (0, 0)
+    if n.sum() > HELD and first < last:
+        upper = index.item > (first + last) // 2
+        for own in (~upper, upper):
+            yield from regions(data, begin, replace(index, hashes=index.hashes[own], item=index.item[own], place=index.place[own]))
+        return
+    rows = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    at, item, place = np.repeat(at, n), index.item[rows], index.place[rows]
     text = np.searchsorted(begin, at, side="right") - 1
     inside = at + Q <= begin[text + 1]
     at, item, place, text = at[inside], item[inside], place[inside], text[inside]
@@ -213,7 +222,7 @@ def _sent(docs: DataFrame, block: list[tuple]) -> object:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, start, stop): every passage in every text, once, at the place with the fewest edits.
 
-    Case, punctuation and white space do not count. ``start`` and ``stop`` are characters of the text. A passage of fewer than Q letters
+    Case (of letters that have one other for one), the common punctuation and white space do not count. ``start`` and ``stop`` are characters of the text. A passage of fewer than Q letters
     is never found. Null and empty texts hold nothing; null and empty passages are nowhere. Repeated rows give rows each, repeated
     passages too. Very long texts are looked at whole, in overlapping parts. Empty tables give no rows; other columns are ignored.
     """

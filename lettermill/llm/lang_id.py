@@ -2,8 +2,9 @@
 
 Texts become normalised TF-IDF vectors of hashed n-grams (of one to three bytes of lower-case letters). A bounded sample of each language's
 labelled texts is clustered into several centroids by spherical k-means, one language per task. A text gets the language of the
-centroid with the largest cosine, and is rejected if that is below what the labelled texts, cut to its length, show: a short text is
-far from every centroid, whatever its language. Prediction is one pass over the texts, without a shuffle.
+centroid with the largest cosine, and is rejected if that is below what labelled texts, cut to its length, show: a short text is
+far from every centroid, whatever its language. For these limits the sample is halved, and each half is compared with centroids of the
+other one, since texts are closest to centroids that were fitted on them. Prediction is one pass over the texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ DIM = 4096
 SAMPLE, CLUSTERS, ROUNDS = 1_000, 4, 8
 #: A text is rejected below this part of the cosine that all but one in two hundred labelled texts of its length reach.
 REJECT, QUANTILE = 0.9, 0.005
-#: Characters that labelled texts are cut to; lengths that fewer texts have set no limit.
-LENGTHS, LEAST_TEXTS = [8 << i for i in range(10)], 20
+#: Characters that labelled texts are cut to; lengths that fewer texts have set no limit, and n texts set one lower by n / (n + SPARE).
+LENGTHS, LEAST_TEXTS, SPARE = [8 << i for i in range(10)], 20, 10
 UNKNOWN = "und"
 _BLOCK, _DOCS = 1 << 20, 256
 
@@ -121,53 +122,64 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS
 
     counted = _sample(own, sample).select("lang", F.substring("text", 1, LENGTHS[-1]).alias("start"), "text")
     vectors = materialize(counted.mapInArrow(count, "lang string, start string, counts binary"), "language-sample")
+    vectors = vectors.withColumn("half", F.pmod(F.xxhash64("counts"), F.lit(2)).cast("int"))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(DIM, dtype=np.int64), 0
+        df = np.zeros((2, DIM + 1), dtype=np.int64)
         for batch in batches:
-            for cell in batch.column("counts").to_pylist():
-                df += np.frombuffer(cell, dtype="<f4") > 0
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(np.append(df, n))], names=["gram", "df"])
-
-    counted = vectors.mapInArrow(frequency, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(DIM + 1)
-    df[counted["gram"].to_numpy()] = counted["df"].to_numpy()
-    if not df[DIM]:
+            for half, cell in zip(batch.column("half").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                df[half] += np.append(np.frombuffer(cell, dtype="<f4") > 0, True)
+        place = pa.array(np.arange(2 * (DIM + 1)))
+        yield pa.RecordBatch.from_arrays([place, pa.array(df.ravel())], names=["place", "df"])
+
+    summed = vectors.select("half", "counts").mapInArrow(frequency, "place bigint, df bigint").groupBy("place").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(2 * (DIM + 1))
+    df[summed["place"].to_numpy()] = summed["df"].to_numpy()
+    df = df.reshape(2, DIM + 1)
+    if not df[:, DIM].any():
         return None
-    idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 0.05
+    # Of each half, and of all: whole is fitted like a third group.
+    idf = [np.log((1 + d[DIM]) / (1 + d[:DIM])) + 0.05 for d in (df[0], df[1], df.sum(axis=0))]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("counts")
         counts = np.stack([np.frombuffer(c, dtype="<f4") for c in group["counts"]])
-        centre = cluster(weigh(counts, idf), clusters)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centre]})
+        lang, part = group["lang"].iloc[0], int(group["part"].iloc[0])
+        centre = cluster(weigh(counts, idf[part]), clusters)
+        return pd.DataFrame({"lang": lang, "part": part, "centroid": [c.astype("<f4").tobytes() for c in centre]})
 
-    found = vectors.select("lang", "counts").groupBy("lang").applyInPandas(fit, "lang string, centroid binary").collect()
+    parts = vectors.select("lang", "counts", F.explode(F.array("half", F.lit(2))).alias("part"))
+    found = parts.groupBy("lang", "part").applyInPandas(fit, "lang string, part int, centroid binary").collect()
     found.sort(key=lambda r: (r["lang"], r["centroid"]))
-    centroids = np.stack([np.frombuffer(r["centroid"], dtype="<f4") for r in found])
-    model = Model([r["lang"] for r in found], centroids, idf.astype(np.float32), np.zeros(1), np.zeros(1))
-    return _limited(model, vectors.select("start"))
+    weights = [x.astype(np.float32) for x in idf]
+    centroids = [[np.frombuffer(r["centroid"], dtype="<f4") for r in found if r["part"] == part] for part in range(3)]
+    model = Model([r["lang"] for r in found if r["part"] == 2], np.stack(centroids[2]), weights[2], np.zeros(1), np.zeros(1))
+    if not centroids[0] or not centroids[1]:
+        return model  # too few texts to tell what is far
+    others = [(weights[1 - half], np.stack(centroids[1 - half])) for half in range(2)]
+    return _limited(model, others, vectors.select("half", "start"))
 
 
-def _limited(model: Model, starts: DataFrame) -> Model:
-    """``model`` with the limits that labelled texts show, cut to each of ``LENGTHS``. Below a single n-gram nothing is too far."""
-    sent = starts.sparkSession.sparkContext.broadcast((model.idf, model.centroids))
+def _limited(model: Model, others: list[tuple[np.ndarray, np.ndarray]], starts: DataFrame) -> Model:
+    """``model`` with the limits that labelled texts show, cut to each of ``LENGTHS`` and compared with ``others`` of their half: weights and
+    centroids that they had no part in. Below a single n-gram nothing is too far."""
+    sent = starts.sparkSession.sparkContext.broadcast(others)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, centroids = sent.value
         for batch in batches:
-            texts = batch.column("start").to_pylist()
-            for length in LENGTHS:
-                cut = pa.array([t[:length] for t in texts if len(t) >= length], pa.string())
-                for _, counts in vectors_of(cut):
-                    cosine = (weigh(counts, idf) @ centroids.T).max(axis=1).astype(float)
-                    columns = [pa.array([length] * len(counts), pa.int32()), pa.array(counts.sum(axis=1, dtype=np.float64)), pa.array(cosine)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["length", "grams", "cosine"])
+            texts, halves = batch.column("start").to_pylist(), batch.column("half").to_pylist()
+            for half, (idf, centroids) in enumerate(sent.value):
+                own = [t for t, h in zip(texts, halves, strict=True) if h == half]
+                for length in LENGTHS:
+                    cut = pa.array([t[:length] for t in own if len(t) >= length], pa.string())
+                    for _, counts in vectors_of(cut):
+                        cosine = (weigh(counts, idf) @ centroids.T).max(axis=1).astype(float)
+                        columns = [pa.array([length] * len(counts), pa.int32()), pa.array(counts.sum(axis=1, dtype=np.float64)), pa.array(cosine)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["length", "grams", "cosine"])
 
     lettered = starts.mapInArrow(measure, "length int, grams double, cosine double").where("grams > 0")
     low = lettered.groupBy("length").agg(F.median("grams").alias("grams"), F.percentile("cosine", QUANTILE).alias("low"), F.count("*").alias("n"))
-    rows = sorted((r["grams"], r["low"]) for r in low.where(F.col("n") >= LEAST_TEXTS).collect())
+    rows = sorted((r["grams"], r["low"] * r["n"] / (r["n"] + SPARE)) for r in low.where(F.col("n") >= LEAST_TEXTS).collect())
     grams, limits = np.array([(0.0, 0.0), *((np.log2(max(g, 2.0)), REJECT * c) for g, c in rows)]).T
     return replace(model, grams=grams, limits=limits)
 

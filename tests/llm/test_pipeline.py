@@ -90,3 +90,24 @@ def test_packing(stages):
         assert r.offset + r.length <= WINDOW and END_ID == 0
     assert packed == sizes
     assert np.all(np.bincount([r.start == 0 for r in after])[1] == len(sizes))
+
+
+ODD = [
+    (1, None, "en", "s", 0, "x"), (2, "", "en", "s", 0, "x"), (3, "12 34", None, None, None, None), (None, "no id, but words enough to be read", "en", "s", 1, "x"),
+    (5, "one and the same text stands here twice over", "en", "s", 3, "x"), (5, "one and the same text stands here twice over", "en", "s", 3, "x"),
+    (6, "long " * 60_000, None, "s", 3, "x"),
+]
+
+
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_stages_on_odd_rows_and_no_labels(spark, rows):
+    docs = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, score string")
+    for name, stage in corpus_pipeline.STAGES:
+        given = materialize(stage(spark, docs, SF), f"odd-{name}")
+        assert name == "packing" or given.columns == docs.columns
+        if name == "language":
+            assert {r.text for r in given.collect()} == {r[1] for r in rows if r[1] and "o" in r[1]}
+        if name == "near-duplicates":
+            assert given.count() == len({r[1] for r in rows if r[1] and "o" in r[1]})
+        docs = given
+    assert {r.doc_id for r in docs.collect()} == ({None, 5, 6} if rows else set())

@@ -42,6 +42,30 @@ def test_leaks_are_found_where_they_are(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6, 10]
 
 
+def test_capitals_of_any_script_and_typographic_signs_do_not_count():
+    russian = "Съешь же ещё этих мягких французских булок, да выпей чаю на крыльце."
+    greek = "η ελληνικη γλωσσα ανηκει στην ινδοευρωπαικη οικογενεια γλωσσων"
+    english = 'He said: "It\'s late - we\'ll go home now, before the rain sets in..." and left the hall.'
+    index = decontamination.index_of([(1, russian), (2, greek), (3, english)])
+    typographic = "He said: \u201cIt\u2019s late \u2014 we\u2019ll go home now,\u00a0before the rain sets in\u2026\u201d and left the hall."
+    texts = [f"a {russian.upper()} z", greek.upper(), typographic, "İ" * 40 + russian.upper(), "ß ẞ ª ² µ º"]
+    found = list(decontamination.leaks_in(pa.array(texts), index))
+    assert [(row, item, edits) for row, item, edits, _, _ in found] == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 0, 0)]
+    places = [texts[row][start:stop] for row, _, _, start, stop in found]
+    assert places == [russian.upper().rstrip("."), greek.upper(), typographic.rstrip("."), russian.upper().rstrip(".")]
+
+
+def test_many_passages_with_one_phrase(monkeypatch):
+    phrase = "the same words stand in every one of these "
+    items = [(i, f"{phrase}{'abcdefghij'[i % 10] * 3} {i * 7919} and {i * 104729} end of it") for i in range(60)]
+    texts = pa.array([phrase * 300, f"{phrase * 5} x {items[7][1]} y {items[33][1]}", items[59][1], None])
+    index = decontamination.index_of(items)
+    whole = list(decontamination.leaks_in(texts, index))
+    assert {(row, index.names[item]) for row, item, edits, *_ in whole if not edits} == {(1, 7), (1, 33), (2, 59)}
+    monkeypatch.setattr(decontamination, "HELD", 500)
+    assert list(decontamination.leaks_in(texts, index)) == whole
+
+
 def test_edits_within_the_budget_are_found():
     draw = random.Random(2)
     text = " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8))) for _ in range(60))
@@ -113,6 +137,25 @@ def test_texts_far_from_every_language_are_rejected(spark):
     assert not lang_id.judge(pa.array(clean), model)[2].any()
 
 
+def test_capitals_are_of_the_same_language(spark):
+    cyrillic = "и в не на я быть он с что а по это она этот к но они мы весь который".split()
+    russian = lambda seed, n: " ".join(random.Random(seed).choices(cyrillic, k=n))
+    rows = [(i, russian(i, 10 + i % 60) if i % 2 else sentence("en", i, 10 + i % 60), "ru" if i % 2 else "en") for i in range(240)]
+    model = lang_id.train_on_rest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    texts = [russian(900, 40), russian(900, 40).upper(), sentence("en", 901, 40), sentence("en", 901, 40).upper()]
+    names, cosines, rejected = lang_id.judge(pa.array(texts), model)
+    assert names == ["ru", "ru", "en", "en"] and not rejected.any()
+    assert cosines[0] == cosines[1] and cosines[2] == cosines[3]
+
+
+@pytest.mark.parametrize("labelled", [3, 20, 60, 240])
+def test_clean_texts_stay_however_few_labels_there_are(spark, labelled):
+    rows = [(i, sentence(lang, i, 10 + i % 90), lang) for i, lang in enumerate(["en", "de"] * (labelled // 2 + 1))][:labelled]
+    model = lang_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    clean = [sentence(lang, 5_000 + n, 5 + n % 100) for lang in {r[2] for r in rows} for n in range(200)]
+    assert lang_id.judge(pa.array(clean), model)[2].sum() <= 2
+
+
 def test_held_out_are_not_learned_from(spark):
     rows = [(i, sentence("en", i), "en") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

@@ -2,9 +2,12 @@
 
 The pages of a host are merged into one tree: a style node is a path of elements with their classes and ids. For every node the
 jobs count on how many pages each layout of its children and each text below it occurs. A node whose layout and texts are much the same
-on many pages carries little information (entropy) and is cut from each page as a branch. What the markup itself says counts first:
-navigation, forms, adverts, comments and the like go, and if a page has an article or a main element, only that is kept. Counts are
-summed per (host, node, feature) before they are shuffled, and no page is collected by its host.
+on many pages carries little information (entropy) and is cut from each page as a branch; so is a single text that most pages repeat. What
+the markup itself says counts first: navigation, forms, adverts, comments and the like go, and if a page has an article or a main element,
+only that is kept, less its own branches of low importance. Inside it a name that merely contains such a word ("related-work") is only
+evidence: it raises the importance the node has to reach. Articles that repeat each other are counted once there, so that copies of an
+article do not look like boilerplate. Each page is parsed once; counts are summed per (host, node, feature) before they are shuffled, and no
+page is collected by its host.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from lettermill.session import materialize
 
 #: Weight of texts against layouts in a node's importance; what is less important is cut, if so many pages have it.
 TEXTS, LOW, LEAST_PAGES = 0.9, 0.2, 8
+MARKED = 0.5  # the limit for nodes inside an article whose name contains a word of MARKS
 DEPTH = 24  # style nodes below this depth count as their ancestor at it
 
 RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object|canvas|audio|video|xmp"
@@ -57,6 +61,11 @@ MARKS = frozenset(
     "footer masthead toolbar share sharing social related recommended comment comments commentlist disqus replies reply respond widget "
     "paywall skip".split()
 )
+#: Words that say nothing about the content beside one of MARKS.
+NEUTRAL = frozenset(
+    "area bar block body bottom box button content container count form head header inner item items label left link links list main outer "
+    "panel right section slot text thread title top unit wrap wrapper".split()
+)
 
 
 @dataclass
@@ -72,10 +81,13 @@ class Element:
 
 @dataclass
 class Page:
-    """``blocks``: (nodes from the outermost, in an article or main, text); ``layouts``: (node, children)."""
+    """``blocks``: (nodes, in an article or main, text); ``layouts``: (node, children, in an article or main).
+
+    Nodes go from the outermost inwards, inside an article or main from this element on, and end in the content node: the text there.
+    """
 
     blocks: list[tuple[tuple[int, ...], bool, str]] = field(default_factory=list)
-    layouts: set[tuple[int, int]] = field(default_factory=set)
+    layouts: set[tuple[int, int, bool]] = field(default_factory=set)
 
 
 def _hash(text: str) -> int:
@@ -90,20 +102,23 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _goes(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
-    """Whether the markup says that this is not text of the page's own."""
+def _goes(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool, bool]:
+    """Whether the markup says that this is not text of the page's own, and whether its name hints at it."""
     if tag in GONE or tag == "header" and not in_main:
-        return True
+        return True, True
     if not attributes:
-        return False
+        return False, False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
-        return True
+        return True, True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
+        return True, True
     if tag in ("html", "body"):
-        return False
-    words = {w.lower() for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    return bool(words & MARKS) or not in_main and "header" in words
+        return False, False
+    names = [{w.lower() for w in _WORD.findall(name)} for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
+    marked = [words for words in names if words & MARKS]
+    if in_main:
+        return any(words <= MARKS | NEUTRAL for words in marked), bool(marked)
+    return bool(marked) or any("header" in words for words in names), bool(marked)
 
 
 def parse(source: str) -> Page:
@@ -115,13 +130,16 @@ def parse(source: str) -> Page:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text and not stack[-1].gone:
-                page.blocks.append((tuple(e.node for e in stack[1:]), stack[-1].main, text))
+                main = stack[-1].main
+                nodes = dict.fromkeys(e.node for e in stack[1:] if e.main or not main)
+                content = _hash(f"{stack[-1].node}|{text}")
+                page.blocks.append(((*nodes, content), main, text))
 
     def pop() -> None:
         flush()
         done = stack.pop()
         if done.depth < DEPTH:
-            page.layouts.add((done.node, _hash(" ".join(done.children))))
+            page.layouts.add((done.node, _hash(" ".join(done.children)), done.main))
 
     def close_within(tags: set[str], bounds: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -171,7 +189,9 @@ def parse(source: str) -> Page:
             continue
         parent = stack[-1]
         attributes = _attributes(m["attr"]) if m["attr"] and not m["attr"].isspace() else {}
-        gone = parent.gone or _goes(tag, attributes, parent.main or tag in MAIN)
+        main = parent.main or tag in MAIN or attributes.get("role") == "main"
+        goes, marked = _goes(tag, attributes, parent.main or tag in MAIN)
+        gone = parent.gone or goes
         if gone and not parent.gone:
             flush()
         sign = tag
@@ -182,9 +202,9 @@ def parse(source: str) -> Page:
             continue
         if not parent.children or parent.children[-1] != sign:
             parent.children.append(sign)
-        deep = parent.depth >= DEPTH
-        node = parent.node if deep else _hash(f"{parent.node}/{sign}")
-        main = parent.main or tag in MAIN or attributes.get("role") == "main"
+        node = parent.node
+        if parent.depth < DEPTH:  # the lowest bit of a node's name says whether its own name is marked
+            node = _hash(f"{parent.node}/{sign}{'@main' if main and not parent.main else ''}") & ~1 | (marked and main)
         stack.append(Element(tag, sign, node, gone, main, parent.depth + 1))
     say(source[at:])
     flush()
@@ -194,38 +214,84 @@ def parse(source: str) -> Page:
 
 
 def main_text(page: Page, low: frozenset[int] | set[int]) -> str:
-    """The blocks in an article or main element if there are any, else those outside branches of low importance."""
-    blocks = [b for b in page.blocks if b[1]] or [b for b in page.blocks if not any(n in low for n in b[0])]
-    return " ".join(b[2] for b in blocks)
+    """The blocks outside branches of low importance: those in an article or main element if there are any, else all.
+
+    The article itself is never a branch to cut; one with nothing left would be repeated as a whole and stays as it is.
+    """
+    inside = [b for b in page.blocks if b[1]]
+    kept = [b for b in inside if low.isdisjoint(b[0][1:])] or inside or [b for b in page.blocks if low.isdisjoint(b[0])]
+    return " ".join(b[2] for b in kept)
+
+
+PARSED = "inside array<boolean>, texts array<string>, nodes array<array<bigint>>, layouts array<array<bigint>>, article bigint"
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """The blocks and layouts of every page, once, beside all columns but ``html``. ``article`` tells articles apart.
+
+    It is the smallest hash of the article's texts: articles that share most texts mostly share it, those that have one sentence in common
+    seldom do. Pages without an article have null. ``row`` numbers the rows of the stored table.
+    """
+    own = [f for f in pages.schema.fields if f.name != "html"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [parse(source.as_py() or "") for source in batch.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(f.name) for f in own),
+                    pa.array([[b[1] for b in page.blocks] for page in done], pa.list_(pa.bool_())),
+                    pa.array([[b[2] for b in page.blocks] for page in done], pa.list_(pa.string())),
+                    pa.array([[b[0] for b in page.blocks] for page in done], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([[(n, c, int(m)) for n, c, m in page.layouts] for page in done], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([min((_hash(b[2]) for b in page.blocks if b[1]), default=None) for page in done], pa.int64()),
+                ],
+                names=[*(f.name for f in own), "inside", "texts", "nodes", "layouts", "article"],
+            )
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, node, text, feature, n): on how many pages a node has this layout, or this text below it. ``pages(host, html)``."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
+    return materialize(pages.mapInArrow(run, f"{schema}, {PARSED}").withColumn("row", F.monotonically_increasing_id()), "style-tree-pages")
+
+
+def style_counts(parsed: DataFrame) -> DataFrame:
+    """(host, node, inside, text, feature, n): on how many pages a node has this layout, or this content node below it.
+
+    Nodes inside articles count one page for each article that a host has, others all pages.
+    """
+    firsts = parsed.where(F.col("article").isNotNull()).groupBy("host", "article").agg(F.min("row").alias("first_row"))
+    narrow = parsed.select("row", "host", "inside", "nodes", "layouts").join(firsts.select("first_row"), F.col("row") == F.col("first_row"), "left")
+    schema = "host string, node bigint, inside boolean, text boolean, feature bigint, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                page = parse(source.as_py() or "")
-                counts.update((host, node, False, layout) for node, layout in page.layouts)
-                own = {(node, _hash(text)) for nodes, _, text in page.blocks for node in set(nodes)}
-                counts.update((host, node, True, feature) for node, feature in own)
-            keys = list(zip(*counts, strict=True)) if counts else [[]] * 4
-            columns = [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.bool_()), pa.array(keys[3], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], names=["host", "node", "text", "feature", "n"])
-
-    return pages.mapInArrow(run, "host string, node bigint, text boolean, feature bigint, n bigint").groupBy("host", "node", "text", "feature").agg(
-        F.sum("n").alias("n")
-    )
+            for row in batch.to_pylist():
+                host, first = row["host"], row["first"]
+                counts.update((host, node, bool(main), False, layout) for node, layout, main in row["layouts"] if first or not main)
+                own = {
+                    (host, node, main, True, nodes[-1])
+                    for nodes, main in zip(row["nodes"], row["inside"], strict=True) if first or not main
+                    for node in nodes[:-1]
+                }
+                counts.update(own)
+            keys = list(zip(*counts, strict=True)) if counts else [[]] * 5
+            kinds = pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()
+            columns = [pa.array(k, kind) for k, kind in zip(keys, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(counts.values(), pa.int64())], names=["host", "node", "inside", "text", "feature", "n"]
+            )
+
+    rows = narrow.select("host", "inside", "nodes", "layouts", F.col("first_row").isNotNull().alias("first")).mapInArrow(run, schema)
+    return rows.groupBy("host", "node", "inside", "text", "feature").agg(F.sum("n").alias("n"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, node, pages, importance): with m pages, the entropy of layouts to base m, and one less the mean entropy of texts.
+    """(host, node, inside, pages, importance): with m pages, the entropy of layouts to base m, and one less the mean entropy of texts.
 
     A text on n of m pages has entropy log n / log m: 0 on one page, 1 on all. A node on one page has importance 1.
     """
     layout, text, n = ~F.col("text"), F.col("text"), F.col("n")
-    sums = counts.groupBy("host", "node").agg(
+    sums = counts.groupBy("host", "node", "inside").agg(
         F.sum(F.when(layout, n)).alias("pages"), F.sum(F.when(layout, n * F.log(n))).alias("layouts"),
         F.sum(F.when(text, F.log(n))).alias("texts"), F.count(F.when(text, 1)).alias("distinct_texts"),
     )
@@ -233,30 +299,48 @@ def importance(counts: DataFrame) -> DataFrame:
     presentation = (log_m - F.col("layouts") / F.col("pages")) / log_m
     content = F.greatest(F.lit(0.0), 1 - F.col("texts") / F.col("distinct_texts") / log_m)
     mixed = F.when(F.col("distinct_texts") > 0, (1 - TEXTS) * presentation + TEXTS * content).otherwise(presentation)
-    return sums.select("host", "node", "pages", F.when(F.col("pages") > 1, mixed).otherwise(1.0).alias("importance"))
+    return sums.select("host", "node", "inside", "pages", F.when(F.col("pages") > 1, mixed).otherwise(1.0).alias("importance"))
+
+
+def low_nodes(counts: DataFrame) -> DataFrame:
+    """(host, node): nodes of low importance, and content nodes of articles that most pages repeat, on hosts with enough pages."""
+    known = importance(counts).where(F.col("pages") >= LEAST_PAGES)
+    limit = F.when(F.col("inside") & (F.col("node").bitwiseAND(1) == 1), MARKED).otherwise(LOW)
+    styles = known.where(F.col("importance") < limit).select("host", "node")
+    # A content node has the importance of its text alone, and must be on most pages of a node above it.
+    n, pages = F.col("n"), F.col("pages")
+    often = counts.where(F.col("inside") & F.col("text") & (n > LEAST_PAGES / 2))
+    repeated = often.join(known.where("inside").select("host", "node", "pages"), ["host", "node"]).where(
+        (2 * n > pages) & (1 - F.log(n) / F.log(pages) < LOW)
+    )
+    return styles.unionByName(repeated.select("host", F.col("feature").alias("node"))).distinct()
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     Null and empty pages have empty text; a null URL, or one without a host, is of the host that has no name. Repeated rows are
-    extracted one by one. A very long page is parsed whole. An empty table gives no rows; other columns are ignored.
+    extracted one by one, and their article counts once in the tree. A very long page is parsed whole. An empty table gives no rows;
+    other columns are ignored.
     """
     short_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    own = own.withColumn("host", url_host(F.col("url")))
-    cut = importance(style_counts(own.select("host", "html"))).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW))
-    cut = materialize(cut.groupBy(F.col("host").alias("cut_host")).agg(F.collect_list("node").alias("low")), "style-tree-low")
+    parsed = parse_pages(own.withColumn("host", url_host(F.col("url"))))
+    counts = materialize(style_counts(parsed), "style-tree-counts")
+    cut = low_nodes(counts).groupBy(F.col("host").alias("cut_host")).agg(F.collect_list("node").alias("low"))
+    cut = materialize(cut, "style-tree-low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows = [frozenset(x or ()) for x in batch.column("low").to_pylist()]
-            texts = [main_text(parse(s.as_py() or ""), low) for s, low in zip(batch.column("html"), lows, strict=True)]
+            rows = batch.select(["inside", "texts", "nodes", "low"]).to_pylist()
+            texts = [
+                main_text(Page(list(zip(map(tuple, r["nodes"]), r["inside"], r["texts"], strict=True))), frozenset(r["low"] or ())) for r in rows
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    joined = own.join(cut, F.col("host") == F.col("cut_host"), "left").select("page_id", "url", "html", "low")
+    joined = parsed.join(cut, F.col("host") == F.col("cut_host"), "left").select("page_id", "url", "inside", "texts", "nodes", "low")
     kind = own.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -1,7 +1,9 @@
 """Decontamination, language ID, HTML extraction and personal data on small tables."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -203,6 +205,54 @@ def test_branches_of_low_importance_go(spark):
     assert html_text.extract_text(pages.limit(0)).collect() == []
 
 
+def plain_low(pages):
+    """The low nodes of one host, from lists of whole pages: ``pages`` are parsed."""
+    seen, firsts = set(), []
+    for page in pages:
+        article = min((html_text._hash(t) for _, inside, t in page.blocks if inside), default=None)
+        firsts.append(article is not None and article not in seen)
+        seen.add(article)
+    low = set()
+    for inside in (False, True):
+        own = [p for p, first in zip(pages, firsts, strict=True) if first or not inside]
+        for node in {n for p in own for n, _, i in p.layouts if i == inside}:
+            having = [p for p in own if any(n == node for n, _, _ in p.layouts)]
+            layouts = Counter(c for p in having for n, c, _ in p.layouts if n == node)
+            texts = Counter(b for p in having for b in {nodes[-1] for nodes, i, _ in p.blocks if i == inside and node in nodes[:-1]})
+            m = sum(layouts.values())
+            if m < html_text.LEAST_PAGES:
+                continue
+            value = -sum(n / m * math.log(n / m, m) for n in layouts.values())
+            if texts:
+                value = 0.1 * value + 0.9 * max(0, 1 - sum(math.log(n, m) for n in texts.values()) / len(texts))
+            if value < (0.5 if inside and node & 1 else 0.2):
+                low.add(node)
+            if inside:
+                low |= {t for t, n in texts.items() if n > m / 2 and 1 - math.log(n, m) < 0.2}
+    return low
+
+
+def test_style_tree_decides_inside_articles(spark):
+    story = "<article><h1>Title {0}</h1><div class=x>Read all of our best stories.</div><p>Story {0} is about {0}.</p><p>{1}</p>{2}</article>"
+    extra = "<div class=related-work>Work {0} by others.</div><div id=reply-letter>Letter {0}.</div><div class=comment-list>Nice {0}!</div>"
+    rows = [(i, f"http://h.org/{i}", story.format(i, "All rights are reserved.", extra.format(i))) for i in range(40)]
+    rows += [(100 + i, f"http://h.org/c{i}", story.format(7, "All rights are reserved.", f"<p>copy {i}</p>")) for i in range(60)]  # near copies
+    rows += [(200 + i, f"http://copies.org/{i}", story.format(1, "Same words.", "")) for i in range(30)]
+    rows += [(300 + i, f"http://few.org/{i}", story.format(i, "Same words.", "")) for i in range(7)]
+    rows += [(400 + i, f"http://hint.org/{i}", f"<article><p>Tale {i}</p><div class=related-tales>Tale {i % 2} of two</div></article>") for i in range(40)]
+    rows += [(500 + i, f"http://hint.org/n{i}", f"<div>plain {i}</div><div class=z>same</div>") for i in range(9)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found[3] == "Title 3 Story 3 is about 3. Work 3 by others. Letter 3."
+    assert found[115] == "Title 7 Story 7 is about 7. copy 15"
+    assert found[201] == "Title 1 Read all of our best stories. Story 1 is about 1. Same words."  # copies tell nothing about a site
+    assert found[303] == "Title 3 Read all of our best stories. Story 3 is about 3. Same words."
+    assert found[403] == "Tale 3" and found[505] == "plain 5"
+    for host in ("h", "copies", "few", "hint"):
+        own = [(i, html_text.parse(h)) for i, url, h in rows if url.startswith(f"http://{host}.org/")]
+        low = plain_low([p for _, p in own])
+        assert {i: found[i] for i, _ in own} == {i: html_text.main_text(p, low) for i, p in own}
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text(html_text.parse("<div>" * 3_000 + "x" + "</div>" * 3_000), set()) == "x"
     assert len(html_text.main_text(html_text.parse("<p>word " * 50_000), set()).split()) == 50_000

@@ -1,10 +1,12 @@
 """Exact top-k by inner product over vectors sorted by length.
 
 Vectors are turned by the eigenvectors of their second moments (the right singular vectors of the matrix they form), so that the first
-coordinates hold most of their length. Candidates are dealt by length into blocks, the longest first. A task takes its block against a
-block of queries: a vector is left out if the product of the lengths cannot reach the query's k-th score so far; of the others the first
-coordinates are multiplied, and only those whose partial product plus the Cauchy-Schwarz bound of the rest reaches that score get their
-exact product. Scores are integers and exact; the turned coordinates serve to prune, with a margin for rounding.
+coordinates hold most of their length. Candidates are dealt by length into spans, the longest first, and queries into blocks by the length
+that a candidate needs to reach their k-th score among the longest vectors of all. A span meets a block only if it is long enough; all these
+pairs are groups of one shuffle. Within a pair a vector is left out if the product of the lengths cannot reach the query's k-th score so
+far; of the others the first coordinates are multiplied, and only those whose partial product plus the Cauchy-Schwarz bound of the rest
+reaches that score get their exact product. Scores are integers and exact; the turned coordinates serve to prune, with a margin for
+rounding. The driver sees the second moments and the longest vectors, no queries.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.session import fresh_dir
+from lettermill.session import materialize
 
-QUERY_BLOCK, HEAD, STEP = 2_048, 512, 1_024
+QUERY_BLOCK, SPAN, HEAD, STEP = 2_048, 16_384, 512, 1_024
+MOST_TASKS = 20_000
 #: Share of the squared lengths that the first turned coordinates hold.
 NEAR = 0.6
 SCORES = "query_id bigint, vec_id bigint, score bigint"
@@ -114,29 +117,64 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64) if top < 2**53 else q @ v.T
 
 
-def _rank(sent: object, k: int, width: int):  # noqa: ANN202
+def _first_floors(sent: object, k: int, width: int):  # noqa: ANN202
+    """(vec_id, v, needs): the length below which no vector can be among a query's k best."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, ids, longest, turn, head = sent.value
-        ranking = Ranking(queries, ids, turn, head, k)
-        if len(ids):
-            ranking.start(*longest)
+        longest, turn, head = sent.value
         for batch in batches:
-            for at in range(0, len(batch) if len(ids) else 0, STEP):
-                some = batch.slice(at, STEP)
-                ranking.add(_matrix(some.column("v"), width), some.column("vec_id").to_numpy())
+            needs = np.zeros(0)
+            if len(batch):
+                ranking = Ranking(_matrix(batch.column("v"), width), batch.column("vec_id").to_numpy(), turn, head, k)
+                ranking.start(*longest)
+                some = (ranking.floor > 0) & (ranking.length > 0)
+                needs = np.where(some, (ranking.floor - 1e-6) / np.where(some, ranking.length, 1), -np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(needs, pa.float64())], names=["vec_id", "v", "needs"])
+
+    return run
+
+
+def _rank(sent: object, k: int, width: int):  # noqa: ANN202
+    """The k best of each pair of a query block and a span: rows come pair by pair, first the queries, then the longest vectors."""
+
+    def best(ranking: Ranking) -> pa.RecordBatch:
         sizes = [len(s) for s, _ in ranking.best]
-        if sum(sizes):
-            scores, names = (np.concatenate([x[i] for x in ranking.best]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, sizes)), pa.array(names), pa.array(scores)], names=["query_id", "vec_id", "score"]
-            )
+        scores, names = (np.concatenate([x[i] for x in ranking.best]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ranking.ids, sizes)), pa.array(names), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest, turn, head = sent.value
+        now, queries, ids, ranking = None, [], [], None
+        for batch in batches:
+            block, span, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "span", "is_query"))
+            new = np.flatnonzero((np.diff(block) != 0) | (np.diff(span) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), len(batch)], strict=True):
+                if a == b:
+                    continue
+                if (block[a], span[a]) != now:
+                    if ranking is not None:
+                        yield best(ranking)
+                    now, queries, ids, ranking = (block[a], span[a]), [], [], None
+                part = batch.slice(a, b - a)
+                if query[a]:
+                    queries.append(_matrix(part.column("v"), width))
+                    ids.append(part.column("vec_id").to_numpy())
+                    continue
+                if ranking is None:
+                    ranking = Ranking(np.concatenate(queries), np.concatenate(ids), turn, head, k)
+                    ranking.start(*longest)
+                for at in range(0, len(part), STEP):
+                    some = part.slice(at, STEP)
+                    ranking.add(_matrix(some.column("v"), width), some.column("vec_id").to_numpy())
+        if ranking is not None:
+            yield best(ranking)
 
     return run
 
 
 def top_k(
     vectors: DataFrame, is_query: object, *, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
-    query_block: int = QUERY_BLOCK,
+    query_block: int = QUERY_BLOCK, span_rows: int = SPAN,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a condition on the id column), the k best other rows.
 
@@ -146,36 +184,37 @@ def top_k(
     by one. Scores have to fit a long. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    path = fresh_dir(spark, "top-k-vectors")
-    usable_vectors(vectors, scale, id_col=id_col, vector_col=vector_col).repartitionByRange(F.desc("norm2"), F.col("vec_id")).sortWithinPartitions(
-        F.desc("norm2"), "vec_id"
-    ).write.parquet(path)
-    usable = spark.read.schema("vec_id bigint, v array<bigint>, norm2 double").parquet(path)
+    usable = usable_vectors(vectors, scale, id_col=id_col, vector_col=vector_col).repartitionByRange(F.desc("norm2"), F.col("vec_id"))
+    usable = usable.sortWithinPartitions(F.desc("norm2"), "vec_id").withColumn("row", F.monotonically_increasing_id())
+    usable = materialize(usable.withColumn("span", F.col("row") - F.pmod("row", F.lit(span_rows))), "top-k-vectors")
     width = usable.agg(F.max(F.size("v"))).first()[0] or 0
     values, axes = np.linalg.eigh(_moments(usable, width)) if width else (np.zeros(0), np.zeros((0, 0)))
     turn = axes[:, ::-1]
     weight = np.cumsum(values[::-1].clip(0)) / max(values.sum(), 1e-300)
     head = min(width, int(np.searchsorted(weight, NEAR)) + 1) if width else 0
 
-    def matrix_of(rows: list) -> np.ndarray:
-        out = np.zeros((len(rows), width), dtype=np.int64)
-        for i, r in enumerate(rows):
-            out[i, : len(r["v"])] = r["v"]
-        return out
-
-    # Queries go out in blocks of bounded size, together with the longest vectors, which set each query's first threshold.
-    first = usable.orderBy(F.desc("norm2"), "vec_id").limit(HEAD).collect()
-    longest = matrix_of(first), np.array([r["vec_id"] for r in first], dtype=np.int64)
-    queries = usable.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-queries.count() // query_block))
-    found = None
-    for block in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
-        ids = np.array([r["vec_id"] for r in some], dtype=np.int64)
-        sent = spark.sparkContext.broadcast((matrix_of(some), ids, longest, turn, head))
-        part = fresh_dir(spark, "top-k-scores")
-        usable.select("vec_id", "v").mapInArrow(_rank(sent, k, width), SCORES).write.parquet(part)
-        own = spark.read.schema(SCORES).parquet(part)
-        found = own if found is None else found.unionByName(own)
+    # The longest vectors, a fixed number, set each query's first threshold.
+    first = usable.orderBy(F.desc("norm2"), "vec_id").limit(HEAD).select("vec_id", "v").toArrow().combine_chunks()
+    longest = np.zeros((0, width), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if len(first):
+        longest = _matrix(first["v"].combine_chunks(), width), first["vec_id"].to_numpy()
+    sent = spark.sparkContext.broadcast((longest, turn, head))
+
+    queries = usable.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(
+        _first_floors(sent, k, width), "vec_id bigint, v array<bigint>, needs double"
+    )
+    queries = queries.repartitionByRange("needs", "vec_id").sortWithinPartitions("needs", "vec_id").withColumn("row", F.monotonically_increasing_id())
+    queries = materialize(queries.withColumn("block", F.col("row") - F.pmod("row", F.lit(query_block))), "top-k-queries")
+
+    # One row a span and one a block: which of them meet.
+    spans = usable.groupBy("span").agg(F.sqrt(F.max("norm2")).alias("longest"))
+    blocks = queries.groupBy("block").agg(F.min("needs").alias("needs"))
+    pairs = materialize(spans.join(blocks, F.col("longest") * (1 + 1e-9) >= F.col("needs")).select("block", "span"), "top-k-pairs")
+    tasks = max(1, min(2 * pairs.count(), MOST_TASKS))
+    asked = queries.join(pairs, "block").select("block", "span", F.lit(True).alias("is_query"), "vec_id", "v", F.lit(0.0).alias("norm2"))
+    against = usable.join(pairs, "span").select("block", "span", F.lit(False).alias("is_query"), "vec_id", "v", "norm2")
+    met = asked.unionByName(against).repartition(tasks, "block", "span")
+    met = met.sortWithinPartitions("block", "span", F.desc("is_query"), F.desc("norm2"), "vec_id")
+    found = materialize(met.select("block", "span", "is_query", "vec_id", "v").mapInArrow(_rank(sent, k, width), SCORES), "top-k-scores")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

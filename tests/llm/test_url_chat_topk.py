@@ -121,6 +121,21 @@ def test_top_k_is_exact(spark, block):
     assert len(found) == len(plain_top(rows, 7))
 
 
+def test_short_spans_meet_only_queries_that_need_them(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=8) * (20 if i % 10 == 5 else 0.05)).tolist()) for i in range(900)]
+    rows += [(5, rows[5][1]), (1000, [0.0] * 8), (1005, [-1.0] * 8)]  # a repeated query, zeros, and one with negative scores
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = top_k.top_k(frame, F.col("vec_id") % 5 == 0, k=4, query_block=7, span_rows=16).collect()
+    usable = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = set()
+    for q in {i for i, _ in rows if i % 5 == 0}:
+        v = next(v for i, v in usable if i == q)
+        best = sorted((-int(v @ w), i) for i, w in usable if i != q)[:4]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found} == want and len(found) == len(want)
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert top_k.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 5 == 0).collect() == []

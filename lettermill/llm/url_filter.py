@@ -1,10 +1,10 @@
 """URL filter: a blocked Bloom filter passes possible hits to an exact hash join.
 
 All listed keys, that is rules (host and path prefix) and canonical URLs, set bits in a split-block Bloom filter: a key picks one
-block of eight 64-bit words and one bit in each word. The filter is a table of at most ``blocks`` rows, whatever the length of the
-list, so it may be broadcast. Each distinct URL probes it with its canonical form and with its (host suffix, path prefix) pairs; what
-passes is joined exactly with the list, which removes the false positives. A list that outgrows the filter costs more probes in the
-exact join, never a wrong verdict.
+block of eight 64-bit words and one bit in each word. The number of blocks follows the length of the list up to a bound, so the filter may
+be broadcast. Each distinct URL probes it with its canonical form and with its (host suffix, path prefix) pairs; what passes is joined
+exactly with the list, which removes the false positives. Rules are few and join by themselves, so that all URLs under one of them do not
+meet on its key. A list that outgrows the filter costs more probes in the exact join, never a wrong verdict.
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
+#: Keys a block of 512 bits is meant for, about one false positive in a hundred; the filter's rows have 72 bytes, so it has at most 38 MB.
+KEYS_A_BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 32, 4096, 1 << 19
+MOST_RULES = 100_000  # more are joined without a broadcast
 
 
 def url_host(url: Column) -> Column:
@@ -45,6 +50,11 @@ def _one_bit(spread: Column, word: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
 
+def blocks_for(n_keys: int) -> int:
+    """Blocks of a filter for so many keys."""
+    return max(LEAST_BLOCKS, min(MOST_BLOCKS, -(-n_keys // KEYS_A_BLOCK)))
+
+
 def bloom_filter(keys: DataFrame, blocks: int = 4096) -> DataFrame:
     """``keys(key)`` as at most ``blocks`` rows (block, w0..w7); null keys set nothing."""
     block, masks = _bits(F.col("key"), blocks)
@@ -75,13 +85,13 @@ def filter_urls(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
-    blocks: int = 4096,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Judge every row of ``pages``: (id, host, path, rule, verdict, listed).
 
     ``rules``: (verdict, host, path prefix) with verdict ``allow`` or ``block``; a rule fits its host and all subdomains, the longest
     wins, ``block`` before ``allow`` for the same rule. ``listed(url)``: blocked URLs in canonical form. A page without a rule is
-    blocked if its canonical URL is listed, else allowed.
+    blocked if its canonical URL is listed, else allowed. ``blocks``: the filter's size, by the length of the list if not given.
 
     Null, empty and host-less URLs: host and path empty, no rule, allow. Repeated rows are judged one by one and stay. Empty tables
     give no rows; an empty list blocks nothing. Other columns of ``pages`` are ignored. A very long URL probes no more than others:
@@ -93,11 +103,10 @@ def filter_urls(
     rows = [(f"r:{h}{p}", f"{h}{p}", v) for v, h, p in rules]
     ruled = spark.createDataFrame(rows, "key string, rule string, verdict string")
     ruled = ruled.groupBy("key", "rule").agg(F.max("verdict").alias("verdict"))  # block > allow
-    entries = ruled.unionByName(
-        listed.where(F.col("url").isNotNull()).select(F.concat(F.lit("u:"), "url").alias("key")).distinct().select(
-            "key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")
-        )
-    )
+    urls_listed = listed.where(F.col("url").isNotNull()).select(F.concat(F.lit("u:"), "url").alias("key")).distinct()
+    urls_listed = materialize(urls_listed, "listed-urls")
+    blocks = blocks or blocks_for(urls_listed.count() + len(rules))
+    all_keys = ruled.select("key").unionByName(urls_listed)
 
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     own = own.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
@@ -114,8 +123,13 @@ def filter_urls(
             probe_keys.append(F.when(F.length("path") >= n, keys))
     probes = urls.select("host", "path", F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*probe_keys))))).alias("key"))
 
-    possible = maybe_listed(probes, bloom_filter(entries.select("key"), blocks), blocks)
-    exact = possible.join(entries, "key")
+    possible = maybe_listed(probes, bloom_filter(all_keys, blocks), blocks)
+    of_rule = F.startswith("key", F.lit("r:"))
+    by_rule = possible.where(of_rule).join(F.broadcast(ruled) if len(rules) <= MOST_RULES else ruled, "key").drop("key")
+    by_url = possible.where(~of_rule).join(urls_listed, "key", "left_semi").select(
+        "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")
+    )
+    exact = by_rule.unionByName(by_url)
     judged = exact.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "verdict", "rule"))).alias("best"),
         F.max(F.col("rule").isNull()).alias("listed"),

@@ -79,6 +79,22 @@ CONTROLS = [
 ]
 
 
+def test_filter_grows_with_the_list(spark):
+    assert [url_filter.blocks_for(n) for n in (0, 131_072, 1_000_000, 10**10)] == [4096, 4096, 31_250, 1 << 19]
+    keys = spark.range(300_000).select(F.concat(F.lit("u:h.org/"), F.col("id").cast("string")).alias("key"))
+    blocks = url_filter.blocks_for(300_000)
+    bloom = url_filter.bloom_filter(keys, blocks)
+    others = spark.range(300_000, 400_000).select(F.concat(F.lit("u:h.org/"), F.col("id").cast("string")).alias("key"))
+    assert url_filter.maybe_listed(keys, bloom, blocks).count() == 300_000
+    assert url_filter.maybe_listed(others, bloom, blocks).count() < 2_000
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}") for i in range(299_990, 300_010)], "page_id bigint, url string")
+    listed = keys.select(F.substring("key", 3, 99).alias("url"))
+    found = url_filter.filter_urls(pages, [("allow", "org", "/29999")], listed).collect()
+    assert {r.page_id: (r.rule, r.verdict, r.listed) for r in found} == {
+        i: ("org/29999", "allow", True) if i < 300_000 else (None, "allow", False) for i in range(299_990, 300_010)
+    }
+
+
 def test_round_trip_of_control_strings(spark):
     turns = [(7, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(CONTROLS)]
     turns += [(8, 0, "odd role\n%", "q"), (8, 1, None, "r"), (8, 1, "assistant", "tie"), (8, 1, "assistant", "tie"), (9, None, "assistant", "no turn")]

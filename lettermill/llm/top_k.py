@@ -117,6 +117,16 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64) if top < 2**53 else q @ v.T
 
 
+def _dealt(ordered: DataFrame, name: str, group: str, size: int) -> DataFrame:
+    """``ordered``, written in its order, with ``group``: its rows in runs of ``size``, however many partitions it has."""
+    own = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), name)
+    part, within = F.shiftright("row", 33), F.col("row").bitwiseAND((1 << 33) - 1)
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    tasks = own.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", before.alias("before"))  # a row for each task that wrote
+    place = F.col("before") + within
+    return own.join(F.broadcast(tasks), part == F.col("part")).withColumn(group, F.floor(place / size)).drop("row", "part", "before")
+
+
 def _first_floors(sent: object, k: int, width: int):  # noqa: ANN202
     """(vec_id, v, needs): the length below which no vector can be among a query's k best."""
 
@@ -185,8 +195,7 @@ def top_k(
     """
     spark = vectors.sparkSession
     usable = usable_vectors(vectors, scale, id_col=id_col, vector_col=vector_col).repartitionByRange(F.desc("norm2"), F.col("vec_id"))
-    usable = usable.sortWithinPartitions(F.desc("norm2"), "vec_id").withColumn("row", F.monotonically_increasing_id())
-    usable = materialize(usable.withColumn("span", F.col("row") - F.pmod("row", F.lit(span_rows))), "top-k-vectors")
+    usable = _dealt(usable.sortWithinPartitions(F.desc("norm2"), "vec_id"), "top-k-vectors", "span", span_rows)
     width = usable.agg(F.max(F.size("v"))).first()[0] or 0
     values, axes = np.linalg.eigh(_moments(usable, width)) if width else (np.zeros(0), np.zeros((0, 0)))
     turn = axes[:, ::-1]
@@ -203,8 +212,8 @@ def top_k(
     queries = usable.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(
         _first_floors(sent, k, width), "vec_id bigint, v array<bigint>, needs double"
     )
-    queries = queries.repartitionByRange("needs", "vec_id").sortWithinPartitions("needs", "vec_id").withColumn("row", F.monotonically_increasing_id())
-    queries = materialize(queries.withColumn("block", F.col("row") - F.pmod("row", F.lit(query_block))), "top-k-queries")
+    queries = queries.repartitionByRange("needs", "vec_id").sortWithinPartitions("needs", "vec_id")
+    queries = _dealt(queries, "top-k-queries", "block", query_block)
 
     # One row a span and one a block: which of them meet.
     spans = usable.groupBy("span").agg(F.sqrt(F.max("norm2")).alias("longest"))

@@ -150,6 +150,8 @@ def test_short_spans_meet_only_queries_that_need_them(spark):
         best = sorted((-int(v @ w), i) for i, w in usable if i != q)[:4]
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found} == want and len(found) == len(want)
+    many = top_k._dealt(frame.repartition(50).sortWithinPartitions("vec_id"), "dealt", "run", 100)
+    assert sorted(r["count"] for r in many.groupBy("run").count().collect()) == [3] + [100] * 9
 
 
 def test_top_k_of_few_and_none(spark):

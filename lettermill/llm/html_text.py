@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.bytes_of import short_batches
 from lettermill.llm.url_filter import url_host
-from lettermill.session import materialize
+from lettermill.session import fresh_dir, materialize
 
 #: Weight of texts against layouts in a node's importance; what is less important is cut, if so many pages have it.
 TEXTS, LOW, LEAST_PAGES = 0.9, 0.2, 8
@@ -250,7 +250,10 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
-    return materialize(pages.mapInArrow(run, f"{schema}, {PARSED}").withColumn("row", F.monotonically_increasing_id()), "style-tree-pages")
+    parsed = pages.mapInArrow(run, f"{schema}, {PARSED}").withColumn("row", F.monotonically_increasing_id())
+    path = fresh_dir(pages.sparkSession, "style-tree-pages")
+    parsed.write.option("compression", "zstd").parquet(path)  # it is as long as the texts
+    return pages.sparkSession.read.schema(parsed.schema).parquet(path)
 
 
 def style_counts(parsed: DataFrame) -> DataFrame:

@@ -28,7 +28,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Candidates are the components of op6's operator and texts that share a sample; links are pairs with a similarity of 0.8 on five-word shingles.
+    """
     return near_text.drop_near_duplicates(docs)
 
 

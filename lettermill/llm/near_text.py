@@ -1,7 +1,7 @@
 """Near-duplicate documents by word shingles: candidates from SimHash and from min-wise samples, verified by exact similarity.
 
-Two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 4 to 14 bits of a 64-bit SimHash, which no small Hamming
-ball reaches. So a text is filed, besides the halves of its fingerprint and the balls around them (:mod:`lettermill.llm.simhash`), under
+The components that SimHash links at three bits (:func:`lettermill.llm.simhash.near_duplicates`) are buckets of texts to compare. Two texts
+whose five-word shingles have a Jaccard similarity of 0.8 may differ in more bits, which no small Hamming ball reaches. So a text is also filed under
 ``SAMPLES`` hashes of ``PER_SAMPLE`` shingles each that are smallest by some permutation: a sample is shared with a chance of
 similarity ** PER_SAMPLE, so at 0.8 all of them differ for 2 pairs in 1,000. Only texts that share a filing with another one are looked
 up again, and a bucket's texts are compared until each is reached from another: a spanning forest, never all pairs.
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm.bytes_of import short_batches
-from lettermill.llm.simhash import connected_components, filings
+from lettermill.llm import simhash
+from lettermill.llm.simhash import connected_components
 from lettermill.llm.url_filter import bloom_filter, maybe_listed, with_bloom
 from lettermill.session import drop_folder, fresh_dir, materialize
 
@@ -62,34 +63,19 @@ def sample_keys(hashes: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) ->
     return keys.view(np.int64).tolist()
 
 
-def fingerprint_of(hashes: np.ndarray) -> int:
-    """SimHash of distinct shingles, signed."""
-    if not len(hashes):
-        return 0
-    counts = sum(
-        np.unpackbits(hashes[a : a + _STEP].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        for a in range(0, len(hashes), _STEP)
-    )
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
-
-
 def _signatures(own: DataFrame) -> DataFrame:
-    """(doc_id, digest, fp, samples) of ``own(doc_id, digest, text)``."""
+    """(doc_id, digest, samples) of ``own(doc_id, digest, text)``."""
     short_batches(own.sparkSession)
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants = _constants()
         for batch in batches:
-            fps, samples = [], []
-            for text in batch.column("text"):
-                hashes = shingle_hashes(text.as_py())
-                fps.append(fingerprint_of(hashes))
-                samples.append(sample_keys(hashes, constants))
-            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "samples"])
+            samples = [sample_keys(shingle_hashes(text.as_py()), constants) for text in batch.column("text")]
+            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(samples, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "samples"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, digest binary, fp bigint, samples array<bigint>")
+    return own.mapInArrow(run, f"doc_id {kind}, digest binary, samples array<bigint>")
 
 
 def _shared(filed: DataFrame, scratch: str | None = None) -> DataFrame:
@@ -245,11 +231,13 @@ def near_duplicate_rows(
     scratch = scratch or fresh_dir(docs.sparkSession, "near")
     own = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("digest"), F.col(text_col).alias("text"))
     signed = _kept(_signatures(own), "signatures", scratch)
-    distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
+    distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("samples").alias("samples"))
     distinct = _kept(distinct, "texts", scratch)
     sampled = distinct.select(F.explode("samples").alias("key"), "digest", F.lit(True).alias("own"))
-    halves = distinct.select("digest", F.explode(filings(F.col("fp"))).alias("f")).select(F.xxhash64("f.key").alias("key"), "digest", "f.own")
-    shared = _kept(_shared(sampled.unionByName(halves), scratch), "buckets", scratch)
+    components = simhash.near_duplicates(own.select("digest", "text"), id_col="digest")
+    linked = components.select(F.xxhash64("component_id").alias("key"), F.col("doc_id").alias("digest"), F.lit(True).alias("own")).distinct()
+    linked = _kept(linked, "simhash", scratch)
+    shared = _kept(_shared(sampled.unionByName(linked), scratch), "buckets", scratch)
 
     needed = _kept(shared.select("digest").distinct(), "needed", scratch)
     # Copies of one text go before the join: they combine on the map side, and the join finds the texts dealt by their digest.

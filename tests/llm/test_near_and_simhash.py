@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lettermill.llm import near_text, simhash
 
@@ -126,6 +127,20 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == [0, 25, 50]
 
 
+def test_links_of_the_simhash_operator_are_candidates(spark, monkeypatch):
+    """Without any shared sample the texts that SimHash links still meet; what is not alike stays."""
+    signatures, operator, calls = near_text._signatures, simhash.near_duplicates, []
+    monkeypatch.setattr(near_text, "_signatures", lambda own: signatures(own).withColumn("samples", F.array(F.xxhash64("digest"))))
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: calls.append(k) or operator(*a, **k))
+    base = [words(4_000, 300 + i) for i in range(12)]
+    rows = list(enumerate(base + [b + " one more" for b in base]))
+    prints = [plain_fingerprint(t) for _, t in rows]
+    wanted = [i for i in range(24) if i < 12 or (prints[i] ^ prints[i - 12]).bit_count() > 3]
+    assert len(wanted) < 24
+    kept = near_text.drop_near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == wanted and len(calls) == 1
+
+
 def test_a_hot_key_is_summed_up_before_it_is_shuffled(spark):
     filed = spark.range(4_000).selectExpr("if(id % 2 = 0, -1, id) key", "unhex(md5(cast(id as string))) digest", "id % 3 > 0 own")
     filed = filed.unionByName(spark.createDataFrame([(5_000, b"a", True), (5_000, b"b", False), (5_001, b"a", True), (5_001, b"b", True), (5_002, b"a", False), (5_002, b"c", False)], "key bigint, digest binary, own boolean"))

@@ -1,10 +1,10 @@
 """Packing of documents into token windows by lexical retrieval.
 
 Documents are encoded once into a table of ids; the same pass counts in how many documents each token occurs, over the whole corpus.
-Each task of the second pass reads its share of that table in shards of bounded size and builds a BM25 index over a shard's tokens.
-A window is opened by a seed document, whose rarest tokens query the index; the best unused neighbours fill it, and the last of them is
-cut, its rest being the next seed. Windows are thus full but for the end of a task's share, which is cut into powers of two. There is no
-shuffle but that of the token counts.
+Documents then move next to those that share their weightiest tokens, wherever in the corpus they were, and each task builds BM25 indexes
+over bounded shards of its range, of all tokens. A window is opened by a seed document, whose tokens all query the index; the best unused
+neighbours fill it, and the last of them is cut, its rest being the next seed. Windows are thus full but for the end of a task's share,
+which is cut into powers of two.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ from lettermill.llm.codec import codec
 from lettermill.session import fresh_dir
 
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 2_048
-QUERY_TERMS = 16
-#: Tokens in a larger part of all documents tell nothing about likeness and are left out of the index.
-COMMON = 0.02
+#: Tokens in at least this part of a shard's documents have a whole row of weights, the others a list of documents.
+DENSE = 0.125
 K1, B = 1.2, 0.75
 _MARKED = 64
 
@@ -91,6 +90,40 @@ def _add_documents(counts: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np
     return counts
 
 
+def bm25(idf: np.ndarray, tf: np.ndarray, size: np.ndarray | int, mean: float) -> np.ndarray:
+    """What tokens add to a document's score."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def _ids(cell: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(cell, dtype="<u2" if len(cell) == 2 * n else "<u4")
+
+
+def near_each_other(rows: DataFrame, idf: object, mean: float) -> DataFrame:
+    """``rows(doc_id, ids, n_tokens)`` in ranges of their two weightiest tokens among those of several documents.
+
+    Equal texts are neighbours; a range may end anywhere in a token's documents, so no token or text is too frequent for a task. ``idf`` is
+    a broadcast (idf, whether several documents have the token).
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("t1", T.IntegerType()), T.StructField("t2", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, several = idf.value
+        for batch in batches:
+            best = np.full((len(batch), 2), -1, dtype=np.int32)
+            for i, (cell, n) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)):
+                terms, tf = np.unique(_ids(cell, n)[:-1], return_counts=True)
+                shared = several[terms]
+                terms, tf = terms[shared], tf[shared]
+                top = np.argsort(-bm25(of[terms], tf, n, mean), kind="stable")[:2]
+                best[i, : len(top)] = terms[top]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best[:, 0]), pa.array(best[:, 1])], names=schema.names)
+
+    order = ["t1", "t2", F.xxhash64("ids"), F.xxhash64("doc_id")]
+    keyed = rows.mapInArrow(run, schema)
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(*rows.columns)
+
+
 class Shard:
     """A BM25 index over some documents; gives the best unused neighbours of one of them."""
 
@@ -98,17 +131,21 @@ class Shard:
         sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         flat = np.concatenate(tokens).astype(np.int64)
         docs = np.repeat(np.arange(len(tokens)), sizes)
-        flat[flat >= len(idf)] = 0
-        kept = idf[flat] > 0
-        pairs, tf = np.unique(docs[kept] * len(idf) + flat[kept], return_counts=True)
+        pairs, tf = np.unique(docs * len(idf) + flat, return_counts=True)
         owner, term = pairs // len(idf), pairs % len(idf)
         terms, code = np.unique(term, return_inverse=True)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean))
+        weight = bm25(idf[term], tf, sizes[owner], mean)
         order = np.argsort(code, kind="stable")
         self.posted, self.weight = owner[order], weight[order]
         self.begin = np.searchsorted(code[order], np.arange(len(terms) + 1))
-        self.rarity, self.code = idf[term], code
+        self.code = code
         self.first = np.searchsorted(owner, np.arange(len(tokens) + 1))
+        often = np.flatnonzero(np.diff(self.begin) >= max(DENSE * len(tokens), 1))
+        self.row = np.full(len(terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(tokens)), dtype=np.float32)
+        of_row = self.row[code]
+        self.rows[of_row[of_row >= 0], owner[of_row >= 0]] = weight[of_row >= 0]
         self.gone = np.zeros(len(tokens))
         self.left, self.at = len(tokens), 0
 
@@ -124,13 +161,11 @@ class Shard:
         return self.at
 
     def neighbours(self, doc: int) -> Iterator[int]:
-        """Unused documents by falling score for the rarest tokens of ``doc``, then the others in order."""
-        a, b = self.first[doc], self.first[doc + 1]
-        own = np.arange(a, b)
-        if b - a > QUERY_TERMS:
-            own = a + np.argpartition(-self.rarity[a:b], QUERY_TERMS)[:QUERY_TERMS]
-        scores = self.gone.copy()
-        for code in self.code[own].tolist():
+        """Unused documents by falling score for the tokens of ``doc``, then the others in order."""
+        own = self.code[self.first[doc] : self.first[doc + 1]]
+        rows = self.row[own]
+        scores = self.gone + self.rows[rows[rows >= 0]].sum(axis=0)
+        for code in own[rows < 0].tolist():
             x, y = self.begin[code], self.begin[code + 1]
             scores[self.posted[x:y]] += self.weight[x:y]
         while self.left:
@@ -158,7 +193,7 @@ class Packer:
 
     def shard(self, docs: list[tuple], idf: np.ndarray, mean: float) -> list[tuple]:
         """Give whole windows to ``put``; returns the pieces of the last one, which is not full."""
-        index, around = Shard([d[1] for d in docs], idf, mean), iter(())
+        index, around = Shard([d[1][:-1] for d in docs], idf, mean), iter(())
         rest: list[tuple] = []  # the open window
         room = self.window
         seed, start = None, 0
@@ -211,11 +246,12 @@ def pack_documents(
     df = dict(zip(counts["term"].tolist(), counts["df"].tolist(), strict=True))
     n_docs, n_tokens = df.pop(-1, 0), df.pop(-2, 0)
     idf = np.zeros(max(df, default=0) + 1)
+    several = np.zeros(len(idf), dtype=bool)
     for term, n in df.items():
-        if n <= max(COMMON * n_docs, 2):
-            idf[term] = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
+        idf[term] = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
+        several[term] = n > 1
     mean = n_tokens / max(n_docs, 1)
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = docs.sparkSession.sparkContext.broadcast((idf, several))
     schema = T.StructType(
         [T.StructField("doc_id", encoded.schema["doc_id"].dataType)]
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -240,13 +276,13 @@ def pack_documents(
             names = batch.column("doc_id").to_pylist()
             for name, cell, n in zip(names, batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
                 if size + n > shard_tokens and held or len(held) >= shard_docs:
-                    rest += packer.shard(held, shared.value, mean)
+                    rest += packer.shard(held, shared.value[0], mean)
                     held, size = [], 0
                     yield from flush()
-                held.append((name, np.frombuffer(cell, dtype="<u2" if len(cell) == 2 * n else "<u4"), n))
+                held.append((name, _ids(cell, n), n))
                 size += n
         if held:
-            rest += packer.shard(held, shared.value, mean)
+            rest += packer.shard(held, shared.value[0], mean)
         _close(packer, rest, window)
         yield from flush()
 
@@ -267,4 +303,4 @@ def pack_documents(
                 packer.sequence, packer.offset = packer.sequence + 1, 0
 
     rows = encoded.where(F.col("term").isNull()).select("doc_id", "ids", "n_tokens")
-    return rows.mapInArrow(run, schema)
+    return near_each_other(rows, shared, mean).mapInArrow(run, schema)

@@ -127,6 +127,25 @@ def test_neighbours_by_score():
     assert list(index.neighbours(index.use(0))) == [2, 3, 1, 4]
 
 
+def test_every_token_of_a_seed_counts():
+    idf = np.linspace(5, 4, 50)
+    docs = [np.arange(20, 50), np.array([1, 2, 3]), np.array([1, 2, 49])]
+    index = packing.Shard(docs, idf, 12.0)
+    assert list(index.neighbours(index.use(0))) == [2, 1]
+
+
+def test_neighbours_come_from_the_whole_corpus(spark):
+    """Texts of one topic lie far from each other; their common word is in far more than a few of all documents."""
+    rows = [(i, f"topic{i % 5}x " * 20 + f"only {i}") for i in range(60)]
+    docs = docs_of(spark, rows).repartition(6, "doc_id")
+    found = packing.pack_documents(docs, PATH, window=256, shard_docs=12).collect()
+    topics = {}
+    for r in found:
+        topics.setdefault(r.sequence_id, set()).add(r.doc_id % 5)
+    assert sum(r.length for r in found) == sum(len(wanted(t)) + 1 for _, t in rows)
+    assert sum(len(t) == 1 for t in topics.values()) >= 0.6 * len(topics)
+
+
 def test_document_counts_match(spark, rows):
     found = packing.encode_documents(docs_of(spark, rows), PATH, 0)
     df = {r.term: r.df for r in found.where("term is not null").groupBy("term").sum("df").withColumnRenamed("sum(df)", "df").collect()}

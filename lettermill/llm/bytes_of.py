@@ -7,18 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
 
-
-#: Rows of one Arrow batch of whole texts; Spark's own 10,000 rows of long texts are much of a worker's memory.
-BATCH_ROWS = 1_000
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in small batches from now on, unless the session asks for smaller ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+from lettermill.session import short_batches  # noqa: F401
 
 
 def text_blocks(texts: pa.Array, block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -11,17 +11,22 @@ from email.errors import MessageError
 from email.header import decode_header
 from email.message import Message
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions.checks import fail_where
 from lettermill.functions.flags import keywords_of, parse_flags, split_recipients
+from lettermill.session import short_batches
 
 _PARSED = (
     "message_id string, subject string, sender string, to_raw string, cc_raw string, bcc_raw string, "
     "reply_to_raw string, date_raw string, body string, headers map<string,string>, error string"
 )
+_COLUMNS = [c.split()[0] for c in _PARSED.split(", ")]
+_HEADERS = pa.map_(pa.string(), pa.string())
+#: Bytes of messages that are parsed before their rows leave a task.
+PIECE = 1 << 20
 _HEADER_OF = {
     "message_id": "Message-ID", "subject": "Subject", "sender": "From", "to_raw": "To", "cc_raw": "Cc",
     "bcc_raw": "Bcc", "reply_to_raw": "Reply-To",
@@ -70,11 +75,19 @@ def _row(raw: bytes | None) -> dict[str, object]:
     if raw is None:
         return _NOTHING | {"error": "no content"}
     try:
-        message = email.message_from_bytes(bytes(raw))
-        row: dict[str, object] = {column: _header(message.get(name)) for column, name in _HEADER_OF.items()}
+        message = email.message_from_bytes(raw)
+        decoded: dict[str, str] = {}  # a header is asked for by its name and in the map of all, and decoded once
+
+        def header(value: object) -> str:
+            text = str(value) if value else ""
+            if text not in decoded:
+                decoded[text] = _header(text)
+            return decoded[text]
+
+        row: dict[str, object] = {column: header(message.get(name)) for column, name in _HEADER_OF.items()}
         row["date_raw"] = str(message.get("Date") or "")
         row["body"] = _body(message)
-        row["headers"] = {name: _header(value) for name, value in message.items()}
+        row["headers"] = {name: header(value) for name, value in message.items()}
     except (MessageError, ValueError, LookupError, TypeError, AttributeError) as e:  # what the mail parser raises on broken input
         return _NOTHING | {"error": f"{type(e).__name__}: {e}"}
     return row | {"error": None}
@@ -95,14 +108,29 @@ def parse_rfc822(raw: DataFrame, content: str = "content", flags: str | None = N
     nulls and an ``error``; see :func:`split_unreadable`.
     """
     kept = [c for c in raw.columns if c != content]
-    kept_types = "".join(f"{c} {raw.schema[c].dataType.simpleString()}, " for c in kept)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = pd.DataFrame([_row(b) for b in frame[content]], columns=list(_NOTHING), dtype=object)
-            yield pd.concat([frame[kept].reset_index(drop=True), rows], axis=1)
-
-    parsed = raw.mapInPandas(run, kept_types + _PARSED)
+    kinds = dict(raw.select(*kept).dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], _PARSED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, first, held = batch.column(content), 0, []
+            size = 0
+            for i in range(len(batch)):
+                cell = contents[i].as_py()
+                held.append(_row(cell))
+                size += len(cell or b"")
+                if size >= PIECE or i + 1 == len(batch):
+                    yield _piece(batch, first, held)
+                    first, held, size = i + 1, [], 0
+
+    def _piece(batch: pa.RecordBatch, first: int, rows: list[dict[str, object]]) -> pa.RecordBatch:
+        own = [batch.column(c).slice(first, len(rows)) for c in kept]
+        parsed = [pa.array([r[c] for r in rows], _HEADERS if c == "headers" else pa.string()) for c in _COLUMNS]
+        return pa.RecordBatch.from_arrays([*own, *parsed], names=[*kept, *_COLUMNS])
+
+    # A batch crosses to Python whole, so it has few messages; what comes back goes in pieces of bounded size.
+    short_batches(raw.sparkSession)
+    parsed = raw.select(*kept, content).mapInArrow(run, schema)
     recipients = {name: split_recipients(F.col(f"{name}_raw")) for name in ("to", "cc", "bcc", "reply_to")}
     columns = parsed.withColumns(recipients).drop(*[f"{name}_raw" for name in recipients])
     if flags is None:

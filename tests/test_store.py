@@ -267,3 +267,18 @@ def test_another_session_sees_the_same_store(spark, store):
     fresh.commit({"vector_documents": (documents(spark, ["c"]), None)})
     late = Store(spark, store.root, buckets=4)
     assert [r.document_key for r in late.read("vector_documents").collect()] == ["c"]
+
+
+def test_searchable_texts_are_stored_once(spark, store):
+    """Title and body are not written a second time; any other searchable text comes back as it was. Files are in zstd."""
+    rows = [("a", "t", "body", "t\n\nbody"), ("b", None, "body", "body"), ("c", "t", "", "t"), ("d", "t", "body", None), ("e", "t", "body", ""),
+            ("f", "t", "body", "\x00"), ("g", "t", "body", "\x00own"), ("h", None, None, ""), ("i", "t", "body", "own")]
+    given = spark.createDataFrame(rows, "document_key string, title string, body string, searchable_text string")
+    blank = documents(spark, [r[0] for r in rows]).drop("title", "body", "searchable_text")
+    store.commit({"vector_documents": (blank.join(given, "document_key"), None)})
+    found = store.read("vector_documents").select("document_key", "title", "body", "searchable_text").collect()
+    assert sorted(map(tuple, found)) == rows
+    files = [pq.ParquetFile(f) for path in store._current()[1]["vector_documents"].values() for f in files_below(path)]
+    written = {k: t for f in files for k, t in zip(*f.read(["document_key", "searchable_text"]).to_pydict().values(), strict=True)}
+    assert written["a"] == written["b"] == written["c"] == "\x00" and written["i"] == "own"
+    assert {f.metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}

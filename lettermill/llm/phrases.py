@@ -1,8 +1,9 @@
 """Phrase collocations by top-order marginalisation.
 
-Every word of a text opens one window: itself and the words that lead it by one, two and three places, padded with nulls where its piece
-ends. Only these longest windows are counted; one ROLLUP over their columns then sums each shorter prefix, down to single words and the
-words of a language, so phrases of two and three words are never exploded on their own.
+Every word of a text opens one window: itself and the words that lead it by one, two and three places, padded where its piece ends. Only these
+longest windows are counted, block by block of text; their columns are then taken off one by one, which sums each shorter prefix, down to single
+words and the words of a language. A prefix that ends in padding is no phrase and is not made, so a block sends each phrase of one to four
+words once, and one aggregation sums the blocks.
 
 Most windows of a large corpus are unique, and would be shuffled for nothing. A first look at pairs of words therefore pads a window
 from the first pair on that is too rare: no phrase that holds the pair can be frequent, so no frequent phrase loses an occurrence. Pairs are
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -25,7 +27,8 @@ from lettermill.llm.bytes_of import short_batches
 from lettermill.session import materialize
 
 NO_LANG = "und"
-WORDS = ["w1", "w2", "w3", "w4"]
+#: Words of a window.
+LONGEST = 4
 #: Bytes of text whose windows are counted together before they leave a task; a longer text is counted on its own.
 BLOCK = 2 << 20
 #: Rows of a batch that goes back to the JVM; it holds a whole batch outside its heap.
@@ -93,17 +96,31 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches([pa.array(keys.view(np.int64)), pa.array(counts)], ["pair", "n"])
 
 
-def _distinct_rows(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """First places and counts of the distinct rows of small non-negative codes below ``sizes``."""
-    key = columns[0]
-    for column, size in zip(columns[1:], sizes[1:], strict=True):
-        key = np.unique(key * size + column, return_inverse=True)[1]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return first, counts
+def _prefixes(words: _Words, kept: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(lang, phrase, count) of the prefixes of all windows: of no word, whose phrase is null, then of one to four words.
+
+    ``kept`` says which words lead on to the next one. A prefix is the number of a shorter one and its last word.
+    """
+    size, at, own = len(words.dictionary), np.arange(len(words.codes)), words.lang
+    langs, phrase = words.langs.cast(pa.string()), None
+    counts = np.bincount(own, minlength=len(langs))
+    seen = np.flatnonzero(counts)
+    yield langs.take(pa.array(seen)), pa.nulls(len(seen), pa.string()), counts[seen]
+    for ahead in range(LONGEST):
+        if ahead:
+            open_ = kept[at + (ahead - 1)]
+            at, own = at[open_], own[open_]
+        if not len(at):
+            return
+        own, seen = pd.factorize(own * size + words.codes[at + ahead])
+        shorter, last = pa.array(seen // size), words.dictionary.take(pa.array(seen % size)).cast(pa.string())
+        langs = langs.take(shorter)
+        phrase = last if phrase is None else pc.binary_join_element_wise(phrase.take(shorter), last, " ")
+        yield langs, phrase, np.bincount(own)
 
 
 def _count_windows(frequent: object):  # noqa: ANN202
-    """Counts of the padded windows of each block. ``frequent`` is a broadcast (bits, bitmap bytes)."""
+    """Counts of the phrases of each block, from its windows. ``frequent`` is a broadcast (bits, bitmap bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, mapped = frequent.value
@@ -111,16 +128,8 @@ def _count_windows(frequent: object):  # noqa: ANN202
             words = _Words(texts, langs)
             bit = words.pair_keys() & np.uint64(bits - 1)
             kept = words.joined & ((mapped[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            columns, open_ = [words.codes + 1], np.ones(len(kept), dtype=bool)  # code 0 pads
-            for ahead in range(1, len(WORDS)):
-                open_ = open_ & np.append(kept, np.zeros(ahead, dtype=bool))[ahead - 1 : ahead - 1 + len(kept)]
-                lead = np.append(words.codes, np.zeros(ahead, dtype=np.int64))[ahead : ahead + len(kept)]
-                columns.append(np.where(open_, lead + 1, 0))
-            first, counts = _distinct_rows([words.lang, *columns], [len(words.langs)] + [len(words.dictionary) + 1] * len(WORDS))
-            taken = [c[first] - 1 for c in columns]
-            arrays = [words.dictionary.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in taken]
-            lang = words.langs.take(pa.array(words.lang[first])).cast(pa.string())
-            yield from _batches([lang, *arrays, pa.array(counts)], ["lang", *WORDS, "n"])
+            for lang, phrase, counts in _prefixes(words, kept):
+                yield from _batches([lang, phrase, pa.array(counts)], ["lang", "phrase", "n"])
 
     return run
 
@@ -148,13 +157,11 @@ def frequent_phrases(docs: DataFrame, least: int, *, text_col: str = "text", lan
     short_batches(spark)
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     pairs = spark.sparkContext.broadcast(_frequent_pairs(own, least))
-    windows = own.mapInArrow(_count_windows(pairs), "lang string, w1 string, w2 string, w3 string, w4 string, n bigint")
-    rolled = windows.rollup("lang", *WORDS).agg(F.grouping_id().alias("rolled"), F.sum("n").alias("f"))
-    # A prefix of k words has 4 - k columns rolled up; one that ends in padding is no phrase.
-    levels = [(F.col("rolled") == (1 << (4 - k)) - 1) & F.col(f"w{k}").isNotNull() & (F.col("f") >= least) for k in (1, 2, 3, 4)]
-    of_lang = F.col("rolled") == 15
-    kept = rolled.where(of_lang | levels[0] | levels[1] | levels[2] | levels[3])
-    return kept.select("lang", F.array_compact(F.array(*WORDS)).alias("words"), "f")
+    counted = own.mapInArrow(_count_windows(pairs), "lang string, phrase string, n bigint")
+    summed = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    kept = summed.where(F.col("phrase").isNull() | (F.col("f") >= least))
+    # Words hold no space.
+    return kept.select("lang", F.coalesce(F.split("phrase", " "), F.array().cast("array<string>")).alias("words"), "f")
 
 
 def _joined(words: Column) -> Column:

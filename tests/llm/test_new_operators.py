@@ -235,6 +235,16 @@ def test_phrases_do_not_depend_on_the_map_of_pairs(spark, phrase_rows, monkeypat
     assert phrases_of(spark, phrase_rows, least=5) == plain_phrases(phrase_rows, 5, 2_000)
 
 
+def test_a_block_sends_each_phrase_once(spark, phrase_rows):
+    """What leaves a task are the phrases of its windows, none that ends in padding, and no row for each level of a window."""
+    given = spark.createDataFrame([(t, lang) for t, lang in phrase_rows], "text string, lang string")
+    found = phrases.frequent_phrases(given, 5)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.lang, tuple(r.words)) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and all(None not in words for _, words in rows)
+    assert {lang for lang, words in rows if not words} == {lang if lang is not None else "und" for t, lang in phrase_rows if t and re.search(r"[^\x20\x09-\x0D.,;:!?]", t)}
+
+
 def test_phrases_of_nothing(spark):
     assert phrases_of(spark, []) == [] == phrases_of(spark, [(None, None), ("rare words only", "en")])
 

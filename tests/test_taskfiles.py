@@ -1,8 +1,13 @@
 """Task exports as files."""
 
+import json
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from lettermill.catalog import fixtures as X
+from lettermill.catalog.queries import _exported
 from lettermill.plans import snapshot as H
 from lettermill.session import fresh_dir
 from lettermill.sources.taskfiles import EXPORT, read_export, scan_tasks, task_tables
@@ -59,3 +64,35 @@ def test_repeated_and_broken_lines(spark):
     spark.createDataFrame([], EXPORT).write.json(empty)
     assert scan_tasks(spark, empty, "to-do").count() == 0
     assert read_export(spark, empty).where(F.col("type") == "area").count() == 0
+
+
+def test_exports_shuffle_and_write_no_more_than_they_need(spark, tmp_path):
+    """Only lines that go into a list are shuffled, as they are in the tables, and the file is compressed; repeated and null keys stay."""
+    orders = [(3, 7, "1-URGENT", 10.5, "O"), (3, 7, "1-URGENT", 10.5, "O"), (4, 8, "2-HIGH", 2.0, "F"), (5, None, None, 1.0, "P"), (None, 9, "2-HIGH", 3.0, "O"), (9, 7, "1-URGENT", 4.0, "O")]
+    lines = [(3, 2, 70, 1, "F"), (3, 1, 71, None, "O"), (3, 1, 71, None, "O"), (4, 1, 72, 2, "F"), (None, 1, 73, 3, "F"), (6, 1, 74, 4, "O")]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double, o_orderstatus string"),
+        "lineitem": (lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string"),
+        "region": ([(0, "A")], "r_regionkey long, r_name string"),
+        "nation": ([(0, 0)], "n_nationkey long, n_regionkey long"),
+        "customer": ([(7, 0, "C", "M", 1.0)], "c_custkey long, c_nationkey long, c_name string, c_mktsegment string, c_acctbal double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    todos = X.task_todos_with_lists(spark, str(tmp_path))
+    plan = todos._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join") :]
+    assert "Part " in plan and "Part " not in joined and "todo-" not in joined and joined.count("% 3) = 0") == 2
+    three = [
+        {"uuid": "check-3-1-71", "title": "Part 71", "status": "incomplete"}, {"uuid": "check-3-1-71", "title": "Part 71", "status": "incomplete"},
+        {"uuid": "check-3-2-70-1", "title": "Part 70", "status": "completed"},
+    ]
+    got = [(r.uuid, json.loads(r.checklist) if r.checklist else None) for r in todos.collect()]
+    wanted = [("todo-3", three), ("todo-3", three), ("todo-4", True), ("todo-5", False), (None, None), ("todo-9", None)]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+    headings = sorted(((r.uuid, r.title, r.project) for r in X.task_headings(spark, str(tmp_path)).collect()), key=str)
+    assert headings == sorted([("heading-7-1", "1-URGENT", "project-7"), ("heading-8-2", "2-HIGH", "project-8"), (None, None, None), ("heading-9-2", "2-HIGH", "project-9")], key=str)
+    path = _exported(spark, str(tmp_path))
+    names = [f.name for f in pathlib.Path(path).iterdir() if f.name.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert read_export(spark, path).groupBy("type").count().collect() and read_export(spark, path).where("type = 'checklist-item'").count() == len(lines)

@@ -46,12 +46,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs that begin at ``begin`` and have ``sizes``, one run after the other."""
     after = np.cumsum(sizes)
     return np.repeat(begin - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
 
 
+def _chunks(block: bytes, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of pieces, eight in a number and zeros after their ends; where each piece's numbers begin, and how many they are."""
+    at_byte = np.ndarray((len(block),), dtype="<u8", buffer=block + bytes(8), strides=(1,))
+    n = (sizes + 7) >> 3
+    after = np.cumsum(n)
+    at = after - n
+    chunks = at_byte[np.repeat(begin - 8 * at, n) + 8 * np.arange(after[-1])]
+    chunks[after - 1] &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 * n - sizes).astype(np.uint64) << np.uint64(3))
+    return chunks, at, n
+
+
 class Codec:
     """Ids of a ``.json`` (tokenizers) or ``.model`` (sentencepiece) file, without begin, end or other added tokens.
 
@@ -145,13 +156,14 @@ class Codec:
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], len(data))
         long = stops - starts
-        place = (np.arange(len(data)) - np.repeat(starts, long)).astype(np.uint64)
-        keys = np.add.reduceat(_mixed(data + (place << np.uint64(8))), starts) ^ _mixed(long.astype(np.uint64))
+        chunks, at, n = _chunks(block, starts, long)
+        place = _mixed(np.arange(n.max(), dtype=np.uint64))[np.arange(len(chunks)) - np.repeat(at, n)]
+        keys = np.add.reduceat(_mixed(chunks ^ place), at) ^ _mixed(long.astype(np.uint64))
         codes, distinct = pd.factorize(keys)
         first = np.empty(len(distinct), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         like = first[codes]
-        if (long[like] != long).any() or (data[_runs(starts[like], long)] != data).any():
+        if (long[like] != long).any() or (chunks[runs(at[like], n)] != chunks).any():
             return None
         ids, begin, sizes = self._look_up(block, data, visible, distinct, starts[first], stops[first])
         own = sizes[codes]
@@ -170,7 +182,7 @@ class Codec:
         known[taken] = self.long[at[taken]] == long[taken]
         own = np.flatnonzero(known)
         if len(own):
-            same = self.bytes[_runs(self.at[at[own]], long[own])] == data[_runs(starts[own], long[own])]
+            same = self.bytes[runs(self.at[at[own]], long[own])] == data[runs(starts[own], long[own])]
             known[own] = np.logical_and.reduceat(same, np.cumsum(long[own]) - long[own])
         new_ids, new_begin = self._pieces(block, visible, starts[~known], stops[~known])
         begin, sizes = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
@@ -180,7 +192,7 @@ class Codec:
         kept = ~taken  # one piece for each key
         if len(self.keys) < REMEMBERED and len(self.bytes) + long[kept].sum() < REMEMBERED_BYTES:
             after = len(self.bytes) + np.cumsum(long[kept])
-            self.bytes = np.concatenate([self.bytes, data[_runs(starts[kept], long[kept])]])
+            self.bytes = np.concatenate([self.bytes, data[runs(starts[kept], long[kept])]])
             order = np.argsort(np.concatenate([self.keys, keys[kept]]))
             join = lambda old, new: np.concatenate([old, new])[order]
             self.keys, self.at, self.long = join(self.keys, keys[kept]), join(self.at, after - long[kept]), join(self.long, long[kept])

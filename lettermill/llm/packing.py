@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lettermill.llm.bytes_of import short_batches
-from lettermill.llm.codec import codec
+from lettermill.llm.codec import codec, runs
 from lettermill.session import fresh_dir
 
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 2_048
@@ -85,7 +85,7 @@ def _add_documents(counts: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np
         rows = np.repeat(np.arange(b - a), np.diff(begin[a : b + 1]))
         tokens = ids[begin[a] : begin[b]]
         marks[rows, tokens] = True
-        counts += marks[: b - a].sum(axis=0)
+        counts += marks[: b - a].sum(axis=0, dtype=np.uint8)  # _MARKED at most
         marks[rows, tokens] = False
     return counts
 
@@ -99,6 +99,22 @@ def _ids(cell: bytes, n: int) -> np.ndarray:
     return np.frombuffer(cell, dtype="<u2" if len(cell) == 2 * n else "<u4")
 
 
+def _weightiest(ids: np.ndarray, idf: np.ndarray, size: int, mean: float) -> list[int]:
+    """The two tokens that add most to a document's score, the smaller id of equal ones; -1 for none. Tokens of an ``idf`` of -inf do not count."""
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, dtype=np.int64)
+    weight = bm25(idf[ids[first]], np.diff(first, append=len(ids)), size, mean)
+    top = []
+    while len(top) < 2:
+        at = int(weight.argmax()) if len(weight) else 0
+        if not len(weight) or weight[at] == -np.inf:
+            top.append(-1)
+            continue
+        top.append(int(ids[first[at]]))
+        weight[at] = -np.inf
+    return top
+
+
 def near_each_other(rows: DataFrame, idf: object, mean: float) -> DataFrame:
     """``rows(doc_id, ids, n_tokens)`` in ranges of their two weightiest tokens among those of several documents.
 
@@ -109,14 +125,11 @@ def near_each_other(rows: DataFrame, idf: object, mean: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, several = idf.value
+        shared = np.where(several, of, -np.inf)
         for batch in batches:
             best = np.full((len(batch), 2), -1, dtype=np.int32)
             for i, (cell, n) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)):
-                terms, tf = np.unique(_ids(cell, n)[:-1], return_counts=True)
-                shared = several[terms]
-                terms, tf = terms[shared], tf[shared]
-                top = np.argsort(-bm25(of[terms], tf, n, mean), kind="stable")[:2]
-                best[i, : len(top)] = terms[top]
+                best[i] = _weightiest(_ids(cell, n)[:-1], shared, n, mean)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best[:, 0]), pa.array(best[:, 1])], names=schema.names)
 
     order = ["t1", "t2", F.xxhash64("ids"), F.xxhash64("doc_id")]
@@ -165,9 +178,9 @@ class Shard:
         own = self.code[self.first[doc] : self.first[doc + 1]]
         rows = self.row[own]
         scores = self.gone + self.rows[rows[rows >= 0]].sum(axis=0)
-        for code in own[rows < 0].tolist():
-            x, y = self.begin[code], self.begin[code + 1]
-            scores[self.posted[x:y]] += self.weight[x:y]
+        few = own[rows < 0]
+        at = runs(self.begin[few], self.begin[few + 1] - self.begin[few])
+        np.add.at(scores, self.posted[at], self.weight[at])
         while self.left:
             best = int(scores.argmax())
             if scores[best] <= 0:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from lettermill.llm import codec as codec_module
 from lettermill.llm import packing, token_counts
 from lettermill.llm.codec import Codec
 from lettermill.session import fresh_dir
@@ -127,6 +128,22 @@ def test_neighbours_by_score():
     assert list(index.neighbours(index.use(0))) == [2, 3, 1, 4]
 
 
+def test_weightiest_tokens_and_packed_bytes():
+    """The tokens of a sort by weight, and pieces as numbers that tell their bytes apart up to the last one."""
+    draw = np.random.default_rng(3)
+    idf = np.where(draw.random(50) < 0.3, -np.inf, draw.integers(1, 4, 50).astype(float))
+    for n in (0, 1, 2, 3, 40, 400):
+        ids = draw.integers(0, 50, n).astype("<u2")
+        terms, tf = np.unique(ids, return_counts=True)
+        shared = np.isfinite(idf[terms])
+        order = np.argsort(-packing.bm25(idf[terms[shared]], tf[shared], n + 1, 20.0), kind="stable")[:2]
+        assert packing._weightiest(ids, idf, n + 1, 20.0) == (terms[shared][order].tolist() + [-1, -1])[:2]
+    block = b"abcdefgh\0abcdefghij"
+    chunks, at, n = codec_module._chunks(block, np.array([0, 9, 9, 9]), np.array([9, 8, 9, 10]))
+    assert n.tolist() == [2, 1, 2, 2] and at.tolist() == [0, 2, 3, 5]
+    assert [int(c).to_bytes(8, "little").rstrip(b"\0") for c in chunks] == [b"abcdefgh", b"", b"abcdefgh", b"abcdefgh", b"i", b"abcdefgh", b"ij"]
+
+
 def test_every_token_of_a_seed_counts():
     idf = np.linspace(5, 4, 50)
     docs = [np.arange(20, 50), np.array([1, 2, 3]), np.array([1, 2, 49])]

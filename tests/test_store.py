@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lettermill import schemas
 from lettermill.operators.embed import stale_documents
 from lettermill.sinks import memberships
+from lettermill.sinks import store as S
 from lettermill.sinks import upserts as U
 from lettermill.sinks.store import TABLES, Store
 
@@ -282,3 +283,15 @@ def test_searchable_texts_are_stored_once(spark, store):
     written = {k: t for f in files for k, t in zip(*f.read(["document_key", "searchable_text"]).to_pydict().values(), strict=True)}
     assert written["a"] == written["b"] == written["c"] == "\x00" and written["i"] == "own"
     assert {f.metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+def test_long_rows_are_written_where_they_are(spark, store, monkeypatch):
+    """With few buckets a task writes a file for each of them; a shuffle brought every text to its bucket."""
+    rows = documents(spark, [f"k{i}" for i in range(120)]).repartition(3, F.col("title"), F.col("document_key"))
+    per_bucket = []
+    for most in (S.FILES_OF_A_TASK, 3):
+        monkeypatch.setattr(S, "FILES_OF_A_TASK", most)
+        store.commit({"vector_documents": (rows, None)})
+        per_bucket.append({len(files_below(path)) for path in store._current()[1]["vector_documents"].values()})
+        assert sorted(r.document_key for r in store.read("vector_documents").collect()) == sorted(f"k{i}" for i in range(120))
+    assert per_bucket == [{3}, {1}]

@@ -1,9 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lettermill.operators import sync as S
+from lettermill.plans import ingest
 from lettermill.plans.ingest import Account, HashEmbedder, ModelEmbedder, ingest_mailbox, run_counters
-from lettermill.session import fresh_dir
+from lettermill.session import fresh_dir, materialize
 from lettermill.sinks.store import Store
 from lettermill.streaming.ingest import ingest_batch, stream_ingest
 
@@ -237,3 +240,40 @@ def test_mail_is_read_once(spark, store, tmp_path):
     report = run(store, read, uids(spark, INBOX=list(range(1, 30))), state(spark, ("INBOX", 29, 1, 30)), "run-1", folders=("INBOX",))
     assert report.totals["total_fetched"] == 29
     assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 29
+
+
+def test_a_rerun_writes_no_vector_and_moves_texts_once(spark, store, monkeypatch):
+    """It rewrote all vectors of the touched buckets, and shuffled the texts to look for stale vectors and for the upsert."""
+    rows = [(i, folder, n + 1) for n, (i, folder) in enumerate([(i, f) for i in range(20) for f in ("INBOX", "Archive")])]
+    server, status = uids(spark, INBOX=list(range(1, 41)), Archive=list(range(1, 41))), state(spark, ("INBOX", 20, 9, 41), ("Archive", 20, 9, 41))
+    run(store, mail(spark, *rows), server, status, "run-1")
+    before = store._current()[1]["vector_embeddings"]
+    plans = {}
+
+    def noted(frame, name, *folder):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return materialize(frame, name, *folder)
+
+    monkeypatch.setattr(ingest, "materialize", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        changed = [r + ("Other",) if r[0] == 3 else r for r in rows if r[0] != 4]
+        run(store, mail(spark, *[r for r in rows if r[0] != 4]), server, status, "run-2", day=12, incremental=False)
+        assert store._current()[1]["vector_embeddings"] == before
+        assert not re.search("body|searchable_text", plans["stale"])
+        moved = [line for line in plans["incoming"].splitlines() if "Aggregate" in line and "body" in line]
+        assert len(moved) == 2, "one partial and one final aggregation have texts"
+        monkeypatch.setattr(ingest, "BROADCAST_KEYS", 0)
+        report = run(store, mail(spark, *changed), server, status, "run-3", day=13, incremental=False)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r.subject, r.inserted) for r in report.persisted.where("embedding_updated").collect()] == [("Subject 3", False)]
+    now = store._current()[1]["vector_embeddings"]
+    assert len([b for b in now if now[b] != before[b]]) == 1, "the bucket of the changed text"
+    found = {r.source_id[1:].split("@")[0]: r for r in store.read("vector_documents").collect()}
+    assert sorted(map(int, found)) == list(range(20)) and store.read("vector_embeddings").count() == 20
+    for number, r in found.items():
+        body = "Other" if number == "3" else "Body"
+        assert (r.title, r.body, r.searchable_text) == (f"Subject {number}", body, f"Subject {number}\n\n{body}")
+        assert sorted(r.metadata.folders) == ["Archive", "INBOX"]
+        assert (r.created_at.day, r.updated_at.day) == (11, 11 if number == "4" else 13)
